@@ -21,13 +21,26 @@ def trim_compensation(cut: float) -> float:
     return sum(c * limit**i for i, c in enumerate(TRIM_POLYNOMIAL))
 
 
+def _median(values: np.ndarray) -> float:
+    ordered = np.sort(values)
+    middle = ordered.size // 2
+    return ordered[middle] if ordered.size % 2 else (ordered[middle - 1] + ordered[middle]) / 2
+
+
 def inliers(residual: np.ndarray, cut: float) -> np.ndarray:
     """Mask of the residuals within ``cut`` robust deviations; missing values are outliers."""
-    deviation = np.abs(residual - np.nanmedian(residual))
-    sigma = np.nanmedian(deviation) / MAD_SCALE_ROUNDED
+    known = residual[np.isfinite(residual)]
+    if not known.size:
+        return np.zeros(residual.size, bool)
+    deviation = np.abs(residual - _median(known))
+    sigma = _median(np.abs(known - _median(known))) / MAD_SCALE_ROUNDED
     if abs(sigma) <= 1e-8:
-        sigma = MEAN_DEVIATION_SCALE * np.nanmean(deviation)
+        sigma = MEAN_DEVIATION_SCALE * float(np.nanmean(deviation))
     for _ in range(2):
         mask = deviation <= cut * sigma
-        sigma = np.std(residual[mask]) / trim_compensation(cut) if mask.any() else 0.0
+        kept = residual[mask]
+        if not kept.size:
+            break
+        spread = kept - kept.sum() / kept.size
+        sigma = (spread @ spread / kept.size) ** 0.5 / trim_compensation(cut)
     return mask

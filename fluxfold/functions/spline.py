@@ -53,25 +53,27 @@ def determines(x: np.ndarray, t: np.ndarray, k: int) -> bool:
     return bool(np.all(x[pick] < t[inner + k + 1]))
 
 
+def solve_normal(full: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(full, vector)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(full, vector, rcond=None)[0]
+
+
 def solve_cells(gram: np.ndarray, rhs: np.ndarray, k: int) -> np.ndarray:
     """Spline coefficients from per-cell sums of basis products.
 
     ``gram`` has shape (cells, k+1, k+1) and ``rhs`` (cells, k+1).
     """
     cells = rhs.shape[0]
-    n = cells + k
-    full = np.zeros((n, n))
-    vector = np.zeros(n)
+    full = np.zeros((cells + k, cells + k))
+    vector = np.zeros(cells + k)
     at = np.arange(cells)
     for a in range(k + 1):
-        np.add.at(vector, at + a, rhs[:, a])
+        vector[at + a] += rhs[:, a]
         for b in range(k + 1):
-            np.add.at(full, (at + a, at + b), gram[:, a, b])
-    try:
-        low = np.linalg.cholesky(full)
-        return np.linalg.solve(low.T, np.linalg.solve(low, vector))
-    except np.linalg.LinAlgError:
-        return np.linalg.lstsq(full, vector, rcond=None)[0]
+            full[at + a, at + b] += gram[:, a, b]
+    return solve_normal(full, vector)
 
 
 def to_pieces(coef: np.ndarray, knots: np.ndarray, low: float, high: float, k: int) -> np.ndarray:
@@ -88,33 +90,45 @@ def to_pieces(coef: np.ndarray, knots: np.ndarray, low: float, high: float, k: i
     return powers / span[:, None] ** np.arange(k + 1)
 
 
-def evaluate(x: np.ndarray, pieces: np.ndarray, knots: np.ndarray, low: float) -> np.ndarray:
-    cell = np.searchsorted(knots, x, side="right")
-    distance = x - np.concatenate([[low], knots])[cell]
-    out = np.zeros(x.size)
-    for power in range(pieces.shape[1] - 1, -1, -1):
-        out = out * distance + pieces[cell, power]
-    return out
-
-
-def fit_once(x: np.ndarray, y: np.ndarray, knots: np.ndarray, k: int) -> np.ndarray:
-    """Pieces of the least-squares spline of degree ``k`` with the given interior knots."""
-    low, high = x[0], x[-1]
-    if low >= high or (knots.size and not (low < knots[0] and knots[-1] < high)):
-        raise BadKnotsError("knots outside the data")
-    t = np.concatenate([[low] * (k + 1), knots, [high] * (k + 1)])
-    if not determines(x, t, k):
-        raise BadKnotsError("too few points between knots")
-    cells = knots.size + 1
-    cell = np.minimum(np.searchsorted(knots, x, side="right"), cells - 1)
-    weights = basis(x, t, cell + k, k)
-    gram = np.empty((cells, k + 1, k + 1))
-    rhs = np.empty((cells, k + 1))
-    for a in range(k + 1):
-        rhs[:, a] = np.bincount(cell, weights[a] * y, cells)
-        for b in range(a, k + 1):
-            gram[:, a, b] = gram[:, b, a] = np.bincount(cell, weights[a] * weights[b], cells)
-    return to_pieces(solve_cells(gram, rhs, k), knots, low, high, k)
+class Frame:
+    """Basis values of all points of a segment for one knot vector."""
+
+    # Below this size one dense matrix beats the sums per cell.
+    dense_size = 20_000
+
+    def __init__(self, x: np.ndarray, knots: np.ndarray, low: float, high: float, k: int) -> None:
+        if low >= high or (knots.size and not (low < knots[0] and knots[-1] < high)):
+            raise BadKnotsError("knots outside the data")
+        self.low, self.high, self.k = low, high, k
+        self.t = np.concatenate([[low] * (k + 1), knots, [high] * (k + 1)])
+        self.cells = knots.size + 1
+        self.cell = knots.searchsorted(x, side="right") if knots.size else np.zeros(x.size, int)
+        self.weights = basis(x, self.t, self.cell + k, k)
+        self.matrix = None
+        if x.size * (self.cells + k) <= self.dense_size:
+            self.matrix = np.zeros((x.size, self.cells + k))
+            at = np.arange(x.size)
+            for a in range(k + 1):
+                self.matrix[at, self.cell + a] = self.weights[a]
+
+    def coefficients(self, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        if self.matrix is not None:
+            rows = self.matrix[mask]
+            return solve_normal(rows.T @ rows, rows.T @ y[mask])
+        k, cell, weights, values = self.k, self.cell[mask], self.weights[:, mask], y[mask]
+        gram = np.empty((self.cells, k + 1, k + 1))
+        rhs = np.empty((self.cells, k + 1))
+        for a in range(k + 1):
+            rhs[:, a] = np.bincount(cell, weights[a] * values, self.cells)
+            for b in range(a, k + 1):
+                products = np.bincount(cell, weights[a] * weights[b], self.cells)
+                gram[:, a, b] = gram[:, b, a] = products
+        return solve_cells(gram, rhs, k)
+
+    def values(self, coef: np.ndarray) -> np.ndarray:
+        if self.matrix is not None:
+            return self.matrix @ coef
+        return sum(w * coef[self.cell + a] for a, w in enumerate(self.weights))
 
 
 @dataclass
@@ -136,25 +150,28 @@ def fit_segment(
     if x.size <= k or np.count_nonzero(finite) <= k:
         return SegmentFit("insufficient")
     knots = interior_knots(x[0], x[-1], spacing)
-    mask, values, pieces, low = finite, None, None, x[0]
+    mask, frame, coef = finite, None, None
     for _ in range(max_iter):
-        if values is not None:
-            new = inliers(y - values, cut)
+        if coef is not None:
+            new = inliers(y - frame.values(coef), cut)
             if np.array_equal(new, mask):
                 break
             mask = new
-        if np.count_nonzero(mask) <= k:
+        used = x[mask]
+        if used.size <= k:
             return SegmentFit("insufficient")
         try:
-            pieces = fit_once(x[mask], y[mask], knots, k)
+            if frame is None or (used[0], used[-1]) != (frame.low, frame.high):
+                frame = Frame(x, knots, used[0], used[-1], k)
+            if not determines(used, frame.t, k):
+                raise BadKnotsError("too few points between knots")
         except BadKnotsError:
             return SegmentFit("bad_knots", knots.size)
-        low = x[mask][0]
-        values = evaluate(x, pieces, knots, low)
-    residual = y[mask] - values[mask]
+        coef = frame.coefficients(y, mask)
+    residual = (y - frame.values(coef))[mask]
     return SegmentFit(
-        "ok", knots.size, low, int(np.count_nonzero(mask)), float(residual @ residual),
-        pieces, np.flatnonzero(~mask),
+        "ok", knots.size, frame.low, residual.size, float(residual @ residual),
+        to_pieces(coef, knots, frame.low, frame.high, k), np.flatnonzero(~mask),
     )
 
 

@@ -61,27 +61,30 @@ class SplineSpec:
             raise ValueError(f"sigma_cut must be > 0, got {self.sigma_cut}")
 
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-    """Whole segments from sorted batches; holds the unfinished last segment only."""
-    key, xs, ys = None, [], []
+def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Whole segments (key, seq, time, value) from sorted batches; holds the last one only."""
+    key, parts = None, []
+
+    def whole() -> tuple:
+        return (key, *(np.concatenate(column) for column in zip(*parts, strict=True)))
+
     for batch in batches:
         if batch.empty:
             continue
         keys = batch[SEGMENT].to_numpy()
-        x = batch["time"].to_numpy(float)
-        y = batch["_y"].to_numpy(float)
+        columns = [batch["seq"].to_numpy(), batch["time"].to_numpy(float),
+                   batch["_y"].to_numpy(float)]
         starts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
         bounds = [0, *starts.tolist(), len(keys)]
         for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
             here = tuple(keys[begin].tolist())
             if key is not None and here != key:
-                yield key, np.concatenate(xs), np.concatenate(ys)
-                xs, ys = [], []
+                yield whole()
+                parts = []
             key = here
-            xs.append(x[begin:end])
-            ys.append(y[begin:end])
+            parts.append([c[begin:end] for c in columns])
     if key is not None:
-        yield key, np.concatenate(xs), np.concatenate(ys)
+        yield whole()
 
 
 def _fitter(spec: SplineSpec) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -89,7 +92,7 @@ def _fitter(spec: SplineSpec) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
-        for key, x, y in _segments(batches):
+        for key, _, x, y in _segments(batches):
             flat = None
             for i, spacing in enumerate(spec.spacings):
                 # All spacings wider than the segment give the same knot-free fit.
@@ -114,15 +117,33 @@ def _fitter(spec: SplineSpec) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     return fit
 
 
-def fit_segment_splines(rows: DataFrame, value: str, spec: SplineSpec = SplineSpec()) -> DataFrame:
-    """One row per segment and knot spacing: fit status, points, squares and spline pieces."""
-    ordered = (
+def _by_segment(rows: DataFrame, value: str) -> DataFrame:
+    # A fixed number of partitions: few bytes per row, but much work, so no coalescing.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
         rows.select(*SEGMENT, *ORDER, F.col(value).alias("_y"))
-        .repartition(*SEGMENT)
+        .repartition(tasks, *SEGMENT)
         .sortWithinPartitions(*SEGMENT, *ORDER)
-        .drop("seq")
     )
-    return ordered.mapInPandas(_fitter(spec), FIT_SCHEMA)
+
+
+def fit_segment_splines(rows: DataFrame, value: str, spec: SplineSpec = SplineSpec()) -> DataFrame:
+    """One row per segment and knot spacing: fit status, points, squares and spline pieces."""
+    return _by_segment(rows, value).mapInPandas(_fitter(spec), FIT_SCHEMA)
+
+
+def detrend_with(
+    rows: DataFrame, value: str, trend: Callable[[np.ndarray, np.ndarray], np.ndarray], out: str
+) -> DataFrame:
+    """Divide each segment by a trend of the user's own: ``trend(time, values)`` per segment."""
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, seq, x, y in _segments(batches):
+            frame = pd.DataFrame({"seq": seq, "time": x, out: y / trend(x, y)})
+            yield frame.assign(**dict(zip(SEGMENT, key, strict=True)))
+
+    schema = f"target_id long, quarter int, segment_id long, seq long, time double, `{out}` double"
+    return _by_segment(rows, value).mapInPandas(apply, schema)
 
 
 def score_spacings(fits: DataFrame, sigma: DataFrame, spec: SplineSpec = SplineSpec()) -> DataFrame:

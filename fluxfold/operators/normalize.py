@@ -74,11 +74,11 @@ def views_std(views: DataFrame, values: Iterable[str], train: DataFrame) -> Data
 def normalize_view_by_std(views: DataFrame, values: list[str], std: DataFrame) -> DataFrame:
     """Shift every view by its own median and divide by one deviation for all views."""
     medians = group_medians(views, EVENT_KEY, {f"_m_{c}": c for c in values}, may_be_hot=False)
-    scale = std.select(F.struct(*values)).scalar()
-    out = views.join(medians, EVENT_KEY)
+    out = views.join(medians, EVENT_KEY).withColumn("_std", std.select(F.struct(*values)).scalar())
     for c in values:
-        out = out.withColumn(c, F.try_divide(F.col(c) - F.col(f"_m_{c}"), scale.getField(c)))
-    return out.drop(*[f"_m_{c}" for c in values])
+        shifted = F.col(c) - F.col(f"_m_{c}")
+        out = out.withColumn(c, F.try_divide(shifted, F.col("_std").getField(c)))
+    return out.drop("_std", *[f"_m_{c}" for c in values])
 
 
 def normalize_scalars(
@@ -107,30 +107,30 @@ def normalize_scalars(
     stats = group_medians(
         long, ["_field"], {"_median": "_value"}, extra={"_std": F.stddev_samp("_value")}
     )
-    packed = stats.agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("_field", F.struct("_median", "_std")))
-        ).alias("s")
-    ).scalar()
+    entry = F.struct("_field", F.struct("_median", "_std"))
+    # One subquery in one column: a reference per field would plan the statistics per field.
+    packed = stats.agg(F.map_from_entries(F.collect_list(entry)).alias("s")).scalar()
 
     def scaled(c: str) -> Column:
-        at = packed[F.lit(c)]
+        at = F.col("_stats")[F.lit(c)]
         return F.try_divide(F.col(c) - at["_median"], at["_std"]).alias(c)
 
     passed = [F.col(c) for c in df.columns if c not in fields]
-    normal = df.select(*passed, *[scaled(c) for c in fields])
+    normal = df.withColumn("_stats", packed).select(*passed, *[scaled(c) for c in fields])
     if not sigma_cut:
         return normal.select(*df.columns)
     low, high = sigma_cut if isinstance(sigma_cut, tuple) else (-sigma_cut, sigma_cut)
     spread = normal.agg(F.struct(*[F.stddev_samp(c).alias(c) for c in fields]).alias("s")).scalar()
 
     def clipped(c: str) -> Column:
-        limit = spread.getField(c)
+        limit = F.col("_spread").getField(c)
         bounded = F.least(F.greatest(F.col(c), limit * F.lit(float(low))),
                           limit * F.lit(float(high)))
         return F.when(F.col(c).isNotNull(), bounded).alias(c)
 
-    return normal.select(*[clipped(c) if c in fields else F.col(c) for c in df.columns])
+    return normal.withColumn("_spread", spread).select(
+        *[clipped(c) if c in fields else F.col(c) for c in df.columns]
+    )
 
 
 def robust_rows(

@@ -42,13 +42,15 @@ def ranked_split(
         },
         hot_rows=hot_rows,
     )
-    edge = edges.select(F.struct("test", "validation")).scalar()
+    edge = F.col("_edge")
     split = (
         F.when(F.col("target_id") < edge["test"], "test")
         .when(F.col("target_id") < edge["validation"], "validation")
         .otherwise("train")
     )
-    return rows.select("target_id").distinct().withColumn("split", split)
+    targets = rows.select("target_id").distinct()
+    bounded = targets.withColumn("_edge", edges.select(F.struct("test", "validation")).scalar())
+    return bounded.select("target_id", split.alias("split"))
 
 
 def hash_split(

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxfold.functions.periodic import (
@@ -27,6 +28,7 @@ from fluxfold.functions.periodic import (
 from fluxfold.operators.mapping import secondary_events
 from fluxfold.operators.quantiles import group_medians
 from fluxfold.operators.skew import HotKeys, join_per_key
+from fluxfold.session import materialize
 
 EVENT_KEY = ["target_id", "tce_id"]
 Aggregate = Callable[[Column], Column]
@@ -39,15 +41,17 @@ def bin_rows(
 ) -> DataFrame:
     """One row per row and bin that holds it: ``low + i*spacing <= x < low + width + i*spacing``."""
     at, lo, hi, w, s = (F.col(c) for c in (x, low, high, width, spacing))
-    inside = df.where((at >= lo) & (at < hi))
     first = F.floor((at - lo - w) / s - F.lit(_EDGE)) + 1
     last = F.floor((at - lo) / s + F.lit(_EDGE))
     candidates = F.sequence(
         F.greatest(F.lit(0), first.cast("int")), F.least(F.lit(num_bins - 1), last.cast("int"))
     )
-    # A gap between bins makes the candidate range run backwards; it then fails the edge check.
+    # Rows outside the bounds explode to nothing. As a filter, the bounds would be pushed below
+    # the projection of ``x`` and fold every row three times. A gap between bins makes the
+    # candidates run backwards; they then fail the edge check.
+    inside = F.when((at >= lo) & (at < hi), candidates)
     offset = F.col("bin") * s
-    return inside.withColumn("bin", F.explode(candidates)).where(
+    return df.withColumn("bin", F.explode(inside)).where(
         (at >= lo + offset) & (at < lo + w + offset)
     )
 
@@ -287,3 +291,30 @@ def view_arrays(rows: DataFrame, keys: list[str], values: list[str]) -> DataFram
     point = F.struct("bin", *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in values])
     grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("_points"))
     return grouped.select(*keys, *[F.col(f"_points.{c}").alias(c) for c in values])
+
+
+def rank_folded(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``rank``: the position of each row of its group in folded order, from 1 on.
+
+    Rows are range-partitioned by group and order, so a large group spreads over tasks; the rank
+    is the position inside a task plus the rows of the group in the tasks before.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = materialize(
+        rows.repartitionByRange(tasks, *keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_task", F.spark_partition_id()),
+        "folded_order",
+    )
+    sizes = sliced.groupBy(*keys, "_task").agg(F.count("*").alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *keys, "_task", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    )
+    inside = F.row_number().over(W.partitionBy(*keys, "_task").orderBy(*order))
+    return (
+        sliced.withColumn("_inside", inside)
+        .join(offsets, [*keys, "_task"])
+        .withColumn("rank", F.col("_inside") + F.col("_offset"))
+        .drop("_inside", "_offset", "_task")
+    )

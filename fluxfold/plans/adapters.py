@@ -55,6 +55,31 @@ def heavy_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+FILE_ROWS = 50_000
+
+
+def raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations as array rows, one per target, quarter and file.
+
+    A file covers ``FILE_ROWS`` consecutive observation numbers, so no array is longer.
+    """
+    point = F.struct("time", "seq", "flux", "centroid_x", "centroid_y")
+    file = F.floor(F.col("seq") / FILE_ROWS).alias("file")
+    return (
+        observations(spark, sf_dir)
+        .groupBy("target_id", "quarter", file)
+        .agg(F.array_sort(F.collect_list(point)).alias("p"))
+        .select(
+            F.col("target_id").alias("KEPLERID"),
+            F.col("quarter").alias("QUARTER"),
+            F.col("p.time").alias("TIME"),
+            F.col("p.flux").alias("PDCSAP_FLUX"),
+            F.col("p.centroid_x").alias("MOM_CENTR1"),
+            F.col("p.centroid_y").alias("MOM_CENTR2"),
+        )
+    )
+
+
 def raw_tces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two events per target in the layout of the raw event table."""
     users = table(spark, sf_dir, "events").select("user_id").distinct()

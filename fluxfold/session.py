@@ -27,6 +27,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "fluxfold")
     return (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )

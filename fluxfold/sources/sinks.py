@@ -91,7 +91,8 @@ def encode_example(row: Row, schema: T.StructType) -> bytes:
     Numbers with a fraction are stored as 32-bit floats, as the format has no doubles.
     """
     entries = []
-    for name, value, dtype in zip(schema.names, row, schema.types, strict=True):
+    for value, column in zip(row, schema, strict=True):
+        name, dtype = column.name, column.dataType
         if value is None:
             continue
         item = dtype.elementType if isinstance(dtype, T.ArrayType) else dtype
@@ -147,9 +148,9 @@ def decode_example(data: bytes, schema: T.StructType) -> tuple:
                         values.append(value - (1 << 64) if value >> 63 else value)
             found[parts[1].decode()] = values
     return tuple(
-        None if name not in found
-        else found[name] if isinstance(dtype, T.ArrayType) else found[name][0]
-        for name, dtype in zip(schema.names, schema.types, strict=True)
+        None if c.name not in found
+        else found[c.name] if isinstance(c.dataType, T.ArrayType) else found[c.name][0]
+        for c in schema
     )
 
 
