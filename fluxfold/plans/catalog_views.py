@@ -365,5 +365,6 @@ def join_features_query(spark, sf):
 
 @query("create_features")
 def create_features_query(spark, sf):
-    obs, tces = A.observations(spark, sf), A.tces(spark, sf)
-    return create_features(obs, tces, A.stellar(spark, sf))
+    # The event table is a small table of its own, not a query over the observations.
+    tces = materialize(A.tces(spark, sf), "tces")
+    return create_features(A.observations(spark, sf), tces, A.stellar(spark, sf))

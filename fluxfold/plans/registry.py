@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxfold.plans.adapters import with_tables
+from fluxfold.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +20,11 @@ def query(name: str, sql: str | None = None, tables: str = "") -> Callable[[Quer
     """Register a query; ``sql`` may use the derived tables named in ``tables``."""
 
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_tables(tables, sql) if tables else sql.strip()
         return function
