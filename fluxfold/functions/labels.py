@@ -24,3 +24,10 @@ def label_to_int(label: Column) -> Column:
 def is_valid_target_id(target_id: Column) -> Column:
     """Identifiers have one to nine digits and are positive."""
     return F.coalesce(target_id.between(1, 999_999_999), F.lit(False))
+
+
+def require_target_id(target_id: Column) -> Column:
+    """The identifier itself; the job fails on an invalid one."""
+    message = F.concat(F.lit("invalid target id: "), F.coalesce(target_id.cast("string"),
+                                                                F.lit("NULL")))
+    return F.when(is_valid_target_id(target_id), target_id).otherwise(F.raise_error(message))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fluxfold.functions.periodic import EventWidth, bic, width_adjusted
 from fluxfold.functions.spline import fit_segment, piecewise_value
+from fluxfold.operators.large_segments import fit_large_segments
 from fluxfold.operators.masking import flag_events
 from fluxfold.operators.normalize import mad_sigma
 from fluxfold.operators.segments import (
@@ -32,6 +33,8 @@ from fluxfold.schemas import KNOT_SPACINGS
 from fluxfold.session import materialize
 
 SQRT_2 = 1.4142135623730951
+# Rows of a segment that one task may hold.
+SEGMENT_ROWS = 500_000
 
 FIT_SCHEMA = (
     "target_id long, quarter int, segment_id long, spacing_id int, spacing double, status string, "
@@ -61,7 +64,7 @@ class SplineSpec:
             raise ValueError(f"sigma_cut must be > 0, got {self.sigma_cut}")
 
 
-def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+def _segments(batches: Iterator[pd.DataFrame], limit: int = SEGMENT_ROWS) -> Iterator[tuple]:
     """Whole segments (key, seq, time, value) from sorted batches; holds the last one only."""
     key, parts = None, []
 
@@ -83,6 +86,8 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
                 parts = []
             key = here
             parts.append([c[begin:end] for c in columns])
+            if sum(len(p[0]) for p in parts) > limit:
+                raise ValueError(f"segment {key} has more than {limit} rows")
     if key is not None:
         yield whole()
 
@@ -117,33 +122,69 @@ def _fitter(spec: SplineSpec) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     return fit
 
 
-def _by_segment(rows: DataFrame, value: str) -> DataFrame:
+def _by_segment(named: DataFrame) -> DataFrame:
     # A fixed number of partitions: few bytes per row, but much work, so no coalescing.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        rows.select(*SEGMENT, *ORDER, F.col(value).alias("_y"))
-        .repartition(tasks, *SEGMENT)
-        .sortWithinPartitions(*SEGMENT, *ORDER)
-    )
+    tasks = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named.repartition(tasks, *SEGMENT).sortWithinPartitions(*SEGMENT, *ORDER)
 
 
-def fit_segment_splines(rows: DataFrame, value: str, spec: SplineSpec = SplineSpec()) -> DataFrame:
-    """One row per segment and knot spacing: fit status, points, squares and spline pieces."""
-    return _by_segment(rows, value).mapInPandas(_fitter(spec), FIT_SCHEMA)
+def fit_segment_splines(
+    rows: DataFrame, value: str, spec: SplineSpec = SplineSpec(), segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
+    """One row per segment and knot spacing: fit status, points, squares and spline pieces.
+
+    Segments of at most ``segment_rows`` rows are fitted in one task each; longer ones by sums
+    that no task gathers.
+    """
+    named = rows.select(*SEGMENT, *ORDER, F.col(value).cast("double").alias("_y"))
+    if rows.count() <= segment_rows:
+        return _by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA)
+    large = materialize(
+        rows.groupBy(*SEGMENT)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > segment_rows)
+        .select(*SEGMENT),
+        "long_segment_keys",
+    )
+    # At most (rows / segment_rows) keys.
+    if large.isEmpty():
+        return _by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA)
+    short = named.join(F.broadcast(large), SEGMENT, "left_anti")
+    return _by_segment(short).mapInPandas(_fitter(spec), FIT_SCHEMA).unionByName(
+        fit_large_segments(named.drop("seq"), large, spec, segment_rows)
+    )
 
 
 def detrend_with(
-    rows: DataFrame, value: str, trend: Callable[[np.ndarray, np.ndarray], np.ndarray], out: str
+    rows: DataFrame, value: str, trend: Callable[[DataFrame, str], DataFrame], out: str
 ) -> DataFrame:
-    """Divide each segment by a trend of the user's own: ``trend(time, values)`` per segment."""
+    """Divide ``value`` by a trend of the user's own.
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, seq, x, y in _segments(batches):
-            frame = pd.DataFrame({"seq": seq, "time": x, out: y / trend(x, y)})
+    ``trend(rows, value)`` returns the rows with a column ``trend``, by whatever DataFrame
+    operations it needs.
+    """
+    fitted = trend(rows, value)
+    return fitted.withColumn(out, F.try_divide(F.col(value), F.col("trend"))).drop("trend")
+
+
+def segment_trend(
+    function: Callable[[np.ndarray, np.ndarray], np.ndarray], segment_rows: int = SEGMENT_ROWS
+) -> Callable[[DataFrame, str], DataFrame]:
+    """A trend for ``detrend_with`` from a numpy function ``(time, values) -> trend`` of a whole
+    segment. The function needs its segment in one task, so a longer one is an error."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, seq, x, y in _segments(batches, segment_rows):
+            frame = pd.DataFrame({"seq": seq, "trend": function(x, y)})
             yield frame.assign(**dict(zip(SEGMENT, key, strict=True)))
 
-    schema = f"target_id long, quarter int, segment_id long, seq long, time double, `{out}` double"
-    return _by_segment(rows, value).mapInPandas(apply, schema)
+    schema = "target_id long, quarter int, segment_id long, seq long, trend double"
+
+    def trend(rows: DataFrame, value: str) -> DataFrame:
+        named = rows.select(*SEGMENT, *ORDER, F.col(value).cast("double").alias("_y"))
+        return rows.join(_by_segment(named).mapInPandas(fit, schema), [*SEGMENT, "seq"])
+
+    return trend
 
 
 def score_spacings(fits: DataFrame, sigma: DataFrame, spec: SplineSpec = SplineSpec()) -> DataFrame:
@@ -207,6 +248,7 @@ def flatten_series(
     width: EventWidth = width_adjusted,
     hot: HotKeys | None = None,
     hot_rows: int | None = None,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Divide each series by its best spline; the events do not take part in the fit.
 
@@ -226,7 +268,7 @@ def flatten_series(
         sigma = mad_sigma(
             scaled_diffs(filled, "_filled", SQRT_2, hot), ["target_id"], hot=hot, hot_rows=hot_rows
         )
-        fits = materialize(fit_segment_splines(filled, "_filled", spec), "fits")
+        fits = materialize(fit_segment_splines(filled, "_filled", spec, segment_rows), "fits")
         best = select_best_spacing(score_spacings(fits, sigma, spec))
         chosen = fits.where(F.col("status") == "ok").join(
             best.select("target_id", "spacing_id"), ["target_id", "spacing_id"], "left_semi"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from fluxfold.operators import detrend as D
@@ -264,8 +263,9 @@ def flatten_series(spark, sf):
     return tidy(rows.select(*_KEY, "flat_flux", "flat_flux_status"))
 
 
-def _segment_mean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.full(y.size, y.mean())
+def _segment_mean(rows, value):
+    means = rows.groupBy(*G.SEGMENT).agg(F.avg(value).alias("trend"))
+    return rows.join(means, G.SEGMENT)
 
 
 @query(
