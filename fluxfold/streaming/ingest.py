@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def ingest_available(
     spark: SparkSession,
@@ -24,7 +26,7 @@ def ingest_available(
 ) -> None:
     """Append everything new under ``source`` to the parquet table ``output``, then stop."""
     reader = spark.readStream.format(format).option("maxFilesPerTrigger", files_per_batch)
-    reader = reader if schema is None else reader.schema(schema)
+    reader = reader.schema(FILE_SCHEMA if schema is None else schema)
     query = (
         transform(reader.load(source))
         .writeStream.format("parquet")
