@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,11 +77,12 @@ def csv_convert(spark, sf):
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     arrays = ["TIME", "PDCSAP_FLUX", "MOM_CENTR1", "MOM_CENTR2"]
     for batch in batches:
+        files = []
         for row in batch.to_dict("records"):
             meta = {"KEPLERID": int(row["KEPLERID"]), "QUARTER": int(row["QUARTER"])}
-            content = encode_file("LIGHTCURVE", {c: np.asarray(row[c]) for c in arrays}, meta)
             path = f"kplr{meta['KEPLERID']:09d}-{meta['QUARTER']}_llc.fits"
-            yield pd.DataFrame({"path": [path], "content": [content]})
+            files.append((path, encode_file("LIGHTCURVE", {c: row[c] for c in arrays}, meta)))
+        yield pd.DataFrame(files, columns=["path", "content"])
 
 
 @query(
@@ -91,7 +91,9 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     "obs",
 )
 def ingest_light_curve_files(spark, sf):
-    files = A.raw_series(spark, sf).mapInPandas(_encode, "path string, content binary")
+    # Small rows, much work per row: spread before the Python step.
+    series = A.raw_series(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    files = series.mapInPandas(_encode, "path string, content binary")
     return tidy(explode_series(map_series(decode_files(files))).drop("seq"))
 
 

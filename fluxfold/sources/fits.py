@@ -13,6 +13,8 @@ from fluxfold.schemas import RAW_SERIES
 
 BLOCK = 2880
 CARD = 80
+# Decoded files are handed on in chunks of about this size.
+CHUNK_BYTES = 16 << 20
 # Binary table format codes of the file standard.
 FORMATS = {"L": "i1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8"}
 
@@ -123,12 +125,18 @@ def decode_files(
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            # One file at a time: the memory of a task is one file, not one batch of files.
+            rows, size = [], 0
             for content in batch["content"]:
                 row = decode_file(content, extension, columns, meta)
-                for c in columns:
-                    row[c] = row[c].astype("f8") if row[c].dtype.kind == "f" else row[c]
-                yield pd.DataFrame({k: [v] for k, v in row.items()}, columns=schema.names)
+                # Native byte order for Arrow; this also releases the file.
+                rows.append({k: v.astype(v.dtype.newbyteorder("=")) if k in columns else v
+                             for k, v in row.items()})
+                size += len(content)
+                if size > CHUNK_BYTES:
+                    yield pd.DataFrame(rows, columns=schema.names)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=schema.names)
 
     return files.select("content").mapInPandas(decode, schema)
 
