@@ -29,13 +29,16 @@ def _median(values: np.ndarray) -> float:
 
 def inliers(residual: np.ndarray, cut: float) -> np.ndarray:
     """Mask of the residuals within ``cut`` robust deviations; missing values are outliers."""
-    known = residual[np.isfinite(residual)]
+    finite = np.isfinite(residual)
+    known = residual if finite.all() else residual[finite]
     if not known.size:
-        return np.zeros(residual.size, bool)
-    deviation = np.abs(residual - _median(known))
-    sigma = _median(np.abs(known - _median(known))) / MAD_SCALE_ROUNDED
+        return finite
+    centre = _median(known)
+    deviation = np.abs(residual - centre)
+    spreads = deviation if known is residual else deviation[finite]
+    sigma = _median(spreads) / MAD_SCALE_ROUNDED
     if abs(sigma) <= 1e-8:
-        sigma = MEAN_DEVIATION_SCALE * float(np.nanmean(deviation))
+        sigma = MEAN_DEVIATION_SCALE * spreads.sum() / spreads.size
     for _ in range(2):
         mask = deviation <= cut * sigma
         kept = residual[mask]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxfold.functions.periodic import EventWidth, is_even_period, phase_fold, width_adjusted
 from fluxfold.operators.skew import HotKeys, join_per_key
 
 NO_EVENT = "no detected"
+# Targets have a handful of events; beyond this many they are not gathered in one row.
+EVENTS_PER_TARGET = 1000
 
 
 def join_series_events(
@@ -25,7 +27,7 @@ def _intervals(events: DataFrame, width: EventWidth) -> DataFrame:
     ).where(F.col("period") > 0)
 
 
-def _inside() -> F.Column:
+def _inside() -> Column:
     return F.abs(phase_fold(F.col("l.time"), F.col("r.epoch"), F.col("r.period"))) <= F.col(
         "r.reach"
     )
@@ -43,19 +45,46 @@ def mask_events(
     )
 
 
+def event_arrays(events: DataFrame, *columns: str) -> DataFrame | None:
+    """``events_of``: the events of each target as one array in event order.
+
+    None if any target has more than ``EVENTS_PER_TARGET`` (counted first).
+    """
+    most = events.groupBy("target_id").count().agg(F.max("count")).first()[0]
+    if (most or 0) > EVENTS_PER_TARGET:
+        return None
+    return events.groupBy("target_id").agg(
+        F.array_sort(F.collect_list(F.struct(*columns))).alias("events_of")
+    )
+
+
+def _covers(time: Column, event: Column) -> Column:
+    return F.abs(phase_fold(time, event["epoch"], event["period"])) <= event["reach"]
+
+
 def flag_events(
     obs: DataFrame,
     events: DataFrame,
     width: EventWidth = width_adjusted,
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Keep all observations and add ``masked``: whether an event of the target covers the row."""
-    covered = join_per_key(
-        obs, _intervals(events, width), ["target_id"], hot, "left_semi", _inside()
-    )
-    clear = mask_events(obs, events, width, hot)
-    return covered.withColumn("masked", F.lit(True)).unionByName(
-        clear.withColumn("masked", F.lit(False))
+    """Keep all observations and add ``masked``: whether an event of the target covers the row.
+
+    One pass with the events of a target at hand; two anti/semi joins where they are too many.
+    """
+    intervals = _intervals(events, width)
+    arrays = event_arrays(intervals, "epoch", "period", "reach")
+    if arrays is None:
+        covered = join_per_key(obs, intervals, ["target_id"], hot, "left_semi", _inside())
+        clear = mask_events(obs, events, width, hot)
+        return covered.withColumn("masked", F.lit(True)).unionByName(
+            clear.withColumn("masked", F.lit(False))
+        )
+    hit = F.exists("events_of", lambda e: _covers(F.col("time"), e))
+    return (
+        join_per_key(obs, arrays, ["target_id"], hot, "left")
+        .withColumn("masked", F.coalesce(hit, F.lit(False)))
+        .drop("events_of")
     )
 
 
@@ -84,10 +113,19 @@ def mark_transits(
         "target_id", "tce_id", "epoch", "period", F.col("duration").alias("reach"),
         name.alias("label_text"),
     )
-    hits = join_per_key(obs, events, ["target_id"], hot, "left", _inside())
+    arrays = event_arrays(events, "tce_id", "epoch", "period", "reach", "label_text")
+    if arrays is not None:
+        # No shuffle of the observations beyond what the join needs.
+        hits = F.filter("events_of", lambda e: _covers(F.col("time"), e))
+        last = F.get(hits, F.size(hits) - 1)["label_text"]
+        return (
+            join_per_key(obs, arrays, ["target_id"], hot, "left")
+            .withColumn("transit", F.coalesce(last, F.lit(default)))
+            .drop("events_of")
+        )
+    joined = join_per_key(obs, events, ["target_id"], hot, "left", _inside())
     # The combiner keeps one mark per observation before anything is shuffled.
-    keys = obs.columns
-    return hits.groupBy(*keys).agg(
+    return joined.groupBy(*obs.columns).agg(
         F.coalesce(F.max_by("label_text", "tce_id"), F.lit(default)).alias("transit")
     )
 

@@ -27,7 +27,7 @@ from fluxfold.functions.periodic import (
 )
 from fluxfold.operators.mapping import secondary_events
 from fluxfold.operators.quantiles import group_medians
-from fluxfold.operators.skew import HotKeys, join_per_key
+from fluxfold.operators.skew import BROADCAST_ROWS, HotKeys, join_per_key
 from fluxfold.session import materialize
 
 EVENT_KEY = ["target_id", "tce_id"]
@@ -36,24 +36,41 @@ Aggregate = Callable[[Column], Column]
 _EDGE = 1e-9
 
 
+def bin_range(
+    x: Column, num_bins: int, low: Column, high: Column, width: Column, spacing: Column
+) -> tuple[Column, Column]:
+    """First and last bin with ``low + i*spacing <= x < low + width + i*spacing``.
+
+    The bins of a point are contiguous. The quotients are right to within one bin, so one exact
+    comparison with an edge settles each end. NULL outside the bounds; first > last in a gap.
+    """
+    first = F.floor((x - low - width) / spacing - F.lit(_EDGE)) + 1
+    first = F.when(x < low + width + first * spacing, first).otherwise(first + 1)
+    last = F.floor((x - low) / spacing + F.lit(_EDGE))
+    last = F.when(x >= low + last * spacing, last).otherwise(last - 1)
+    inside = (x >= low) & (x < high)
+    return (
+        F.when(inside, F.greatest(F.lit(0), first.cast("int"))),
+        F.when(inside, F.least(F.lit(num_bins - 1), last.cast("int"))),
+    )
+
+
+def _explode_bins(df: DataFrame) -> DataFrame:
+    return df.withColumn("bin", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+
+
 def bin_rows(
     df: DataFrame, x: str, num_bins: int, low: str, high: str, width: str, spacing: str
 ) -> DataFrame:
-    """One row per row and bin that holds it: ``low + i*spacing <= x < low + width + i*spacing``."""
-    at, lo, hi, w, s = (F.col(c) for c in (x, low, high, width, spacing))
-    first = F.floor((at - lo - w) / s - F.lit(_EDGE)) + 1
-    last = F.floor((at - lo) / s + F.lit(_EDGE))
-    candidates = F.sequence(
-        F.greatest(F.lit(0), first.cast("int")), F.least(F.lit(num_bins - 1), last.cast("int"))
-    )
-    # Rows outside the bounds explode to nothing. As a filter, the bounds would be pushed below
-    # the projection of ``x`` and fold every row three times. A gap between bins makes the
-    # candidates run backwards; they then fail the edge check.
-    inside = F.when((at >= lo) & (at < hi), candidates)
-    offset = F.col("bin") * s
-    return df.withColumn("bin", F.explode(inside)).where(
-        (at >= lo + offset) & (at < lo + w + offset)
-    )
+    """Add ``_first`` and ``_last``, the bins of each row; rows in no bin are dropped.
+
+    They are dropped by a generator: a filter would be pushed below the projections, where it
+    folds every row again for each comparison.
+    """
+    first, last = bin_range(F.col(x), num_bins, *map(F.col, (low, high, width, spacing)))
+    ranged = df.withColumn("_from", first).withColumn("_to", last)
+    found = F.when(F.col("_from") <= F.col("_to"), F.array(F.struct("_from", "_to")))
+    return ranged.select(*df.columns, F.inline(found).alias("_first", "_last"))
 
 
 def assign_bins(
@@ -87,9 +104,8 @@ def assign_bins(
         "_s", (F.col("_hi") - F.col("_lo") - F.col("_w")) / F.lit(float(num_bins - 1))
     )
     rows = rows.where((F.col("_w") > 0) & (F.col("_s") > 0))
-    return bin_rows(rows, x, num_bins, "_lo", "_hi", "_w", "_s").drop(
-        "_min", "_max", "_lo", "_hi", "_w", "_s"
-    )
+    binned = bin_rows(rows, x, num_bins, "_lo", "_hi", "_w", "_s")
+    return _explode_bins(binned).drop("_min", "_max", "_lo", "_hi", "_w", "_s")
 
 
 @dataclass(frozen=True)
@@ -128,6 +144,15 @@ def event_frames(events: DataFrame, spec: ViewSpec) -> DataFrame:
     return framed.where((period > 0) & (F.col("_w") > 0) & (F.col("_s") > 0))
 
 
+def _placed(events: DataFrame, frames: DataFrame, hot: HotKeys | None) -> tuple[DataFrame, bool]:
+    """``frames`` marked for broadcast if the counted events allow it, and whether they are.
+
+    Beyond the limit both sides are shuffled by target, and the views need no further shuffle.
+    """
+    small = events.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return (F.broadcast(frames) if small and hot is None else frames), small and hot is None
+
+
 def fold_rows(series: DataFrame, frames: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Series rows joined with the events of their target, with the folded time ``folded``."""
     return join_per_key(series, frames, ["target_id"], hot).withColumn(
@@ -144,25 +169,34 @@ def view_of_folded(
     defaults: DataFrame,
     hot: HotKeys | None = None,
     hot_rows: int | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Bin folded rows: one row per view (``keys``) and bin.
 
+    ``spread`` says that the rows are not yet partitioned by target (they met their events in a
+    broadcast join) and no view is too large for one task.
+
     ``defaults`` holds the fill value of every series as ``_d<i>`` for the i-th value column; its
     keys are a subset of ``keys``. A view exists where the series has a default.
     """
     sources = list(dict.fromkeys(values.values()))
     key = [*keys, "bin"]
-    binned = bin_rows(folded, "folded", spec.num_bins, "_lo", "_hi", "_w", "_s").select(
-        *key, *sources, F.lit(1).alias("_real")
+    ranged = bin_rows(folded, "folded", spec.num_bins, "_lo", "_hi", "_w", "_s").select(
+        *keys, *sources, "_first", "_last", F.lit(1).alias("_real")
     )
-    # One empty row per view and bin rides along, so every bin is there without another join.
+    # One empty row per view covers all bins, so every bin is there without another join.
     scaffold = frames.select(
         *keys,
-        F.explode(F.sequence(F.lit(0), F.lit(spec.num_bins - 1))).alias("bin"),
         *[F.lit(None).cast("double").alias(c) for c in sources],
+        F.lit(0).alias("_first"),
+        F.lit(spec.num_bins - 1).alias("_last"),
         F.lit(0).alias("_real"),
     )
-    stacked = binned.unionByName(scaffold)
+    stacked = ranged.unionByName(scaffold)
+    if spread:
+        # Shuffle the rows, not their copies in overlapping bins.
+        stacked = stacked.repartition(*keys)
+    stacked = _explode_bins(stacked)
     filled = {"_real": F.max("_real")}
     if spec.aggregate is None:
         names = {f"_v{i}": c for i, c in enumerate(sources)}
@@ -216,9 +250,12 @@ def folded_view(
     """
     frames = event_frames(events.select(*EVENT_KEY, "epoch", "period", "duration"), spec)
     rows = series.select("target_id", "time", *dict.fromkeys(values.values()))
-    folded = fold_rows(rows, frames, hot)
+    side, spread = _placed(events, frames, hot)
+    folded = fold_rows(rows, side, hot)
     defaults = series_defaults(series, ["target_id"], spec, values, hot, hot_rows)
-    return view_of_folded(folded, frames, EVENT_KEY, spec, values, defaults, hot, hot_rows)
+    return view_of_folded(
+        folded, frames, EVENT_KEY, spec, values, defaults, hot, hot_rows, spread
+    )
 
 
 def odd_even_views(
@@ -234,13 +271,16 @@ def odd_even_views(
     One row per event, parity (``even``) and bin. A parity without observations has no view.
     """
     frames = event_frames(events.select(*EVENT_KEY, "epoch", "period", "duration"), spec)
-    folded = fold_rows(series.select("target_id", "time", value), frames, hot).withColumn(
+    side, spread = _placed(events, frames, hot)
+    folded = fold_rows(series.select("target_id", "time", value), side, hot).withColumn(
         "even", is_even_period(F.col("time"), F.col("epoch"), F.col("period"))
     )
     keys = [*EVENT_KEY, "even"]
     both = frames.withColumn("even", F.explode(F.array(F.lit(False), F.lit(True))))
     defaults = series_defaults(folded, keys, spec, {value: value}, hot, hot_rows)
-    return view_of_folded(folded, both, keys, spec, {"value": value}, defaults, hot, hot_rows)
+    return view_of_folded(
+        folded, both, keys, spec, {"value": value}, defaults, hot, hot_rows, spread
+    )
 
 
 def secondary_rows(
@@ -252,8 +292,9 @@ def secondary_rows(
     primary = events.where(F.col("secondary_phase").isNotNull() & (F.col("period") > 0)).select(
         *EVENT_KEY, "epoch", "period", "duration", "secondary_phase", reach.alias("_reach")
     )
+    side, _ = _placed(events, primary, hot)
     return (
-        fold_rows(series.select("target_id", "time", value), primary, hot)
+        fold_rows(series.select("target_id", "time", value), side, hot)
         .where(F.abs("folded") > F.col("_reach"))
         .drop("_reach", "folded")
     )
@@ -281,8 +322,9 @@ def secondary_views(
     # The frame follows from the event columns the rows already carry: no second join.
     folded = event_frames(rows, spec)
     defaults = series_defaults(rows, EVENT_KEY, spec, {value: value}, hot, hot_rows)
+    _, spread = _placed(events, frames, hot)
     return view_of_folded(
-        folded, frames, EVENT_KEY, spec, {"value": value}, defaults, hot, hot_rows
+        folded, frames, EVENT_KEY, spec, {"value": value}, defaults, hot, hot_rows, spread
     )
 
 
