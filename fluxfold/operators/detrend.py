@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,11 +21,11 @@ from fluxfold.functions.spline import fit_segment, piecewise_value
 from fluxfold.operators.large_segments import fit_large_segments
 from fluxfold.operators.masking import flag_events
 from fluxfold.operators.normalize import mad_sigma
+from fluxfold.operators.ordered import with_previous
 from fluxfold.operators.segments import (
     ORDER,
     SEGMENT,
     interpolate_masked,
-    scaled_diffs,
     split_at_gaps,
 )
 from fluxfold.operators.skew import HotKeys, join_per_key
@@ -37,7 +37,7 @@ SQRT_2 = 1.4142135623730951
 SEGMENT_ROWS = 500_000
 
 FIT_SCHEMA = (
-    "target_id long, quarter int, segment_id long, spacing_id int, spacing double, status string, "
+    "target_id long, quarter int, segment_id long, series int, spacing_id int, spacing double, status string, "
     "n_knots int, low double, first_knot double, n_points long, ssr double, "
     "pieces array<double>, rejected array<int>"
 )
@@ -65,7 +65,7 @@ class SplineSpec:
 
 
 def _segments(batches: Iterator[pd.DataFrame], limit: int = SEGMENT_ROWS) -> Iterator[tuple]:
-    """Whole segments (key, seq, time, value) from sorted batches; holds the last one only."""
+    """Whole segments (key, seq, time, values...) from sorted batches; holds the last one only."""
     key, parts = None, []
 
     def whole() -> tuple:
@@ -75,8 +75,8 @@ def _segments(batches: Iterator[pd.DataFrame], limit: int = SEGMENT_ROWS) -> Ite
         if batch.empty:
             continue
         keys = batch[SEGMENT].to_numpy()
-        columns = [batch["seq"].to_numpy(), batch["time"].to_numpy(float),
-                   batch["_y"].to_numpy(float)]
+        values = [batch[c].to_numpy(float) for c in batch.columns if c.startswith("_y")]
+        columns = [batch["seq"].to_numpy(), batch["time"].to_numpy(float), *values]
         starts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
         bounds = [0, *starts.tolist(), len(keys)]
         for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
@@ -97,22 +97,21 @@ def _fitter(spec: SplineSpec) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
-        for key, _, x, y in _segments(batches):
-            flat = None
-            for i, spacing in enumerate(spec.spacings):
-                # All spacings wider than the segment give the same knot-free fit.
-                if flat is None or x[0] + spacing < x[-1]:
-                    result = fit_segment(x, y, spacing, spec.k, spec.max_iter, spec.sigma_cut)
-                    if x[0] + spacing >= x[-1]:
-                        flat = result
-                else:
-                    result = flat
-                rows.append(
-                    (*key, i, spacing, result.status, result.n_knots, result.low, x[0] + spacing,
-                     result.n_points, result.ssr,
-                     None if result.pieces is None else result.pieces.ravel(),
-                     None if result.rejected is None else result.rejected.astype("int32"))
-                )
+        for key, _, x, *ys in _segments(batches):
+            for series, y in enumerate(ys):
+                flat = None
+                for i, spacing in enumerate(spec.spacings):
+                    # All spacings wider than the segment give the same knot-free fit.
+                    wide = x[0] + spacing >= x[-1]
+                    if not (wide and flat):
+                        fit = fit_segment(x, y, spacing, spec.k, spec.max_iter, spec.sigma_cut)
+                        flat = fit if wide else None
+                    rows.append(
+                        (*key, series, i, spacing, fit.status, fit.n_knots, fit.low,
+                         x[0] + spacing, fit.n_points, fit.ssr,
+                         None if fit.pieces is None else fit.pieces.ravel(),
+                         None if fit.rejected is None else fit.rejected.astype("int32"))
+                    )
             if len(rows) >= 2000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -129,14 +128,17 @@ def _by_segment(named: DataFrame) -> DataFrame:
 
 
 def fit_segment_splines(
-    rows: DataFrame, value: str, spec: SplineSpec = SplineSpec(), segment_rows: int = SEGMENT_ROWS
-) -> DataFrame:
-    """One row per segment and knot spacing: fit status, points, squares and spline pieces.
+    rows: DataFrame, values: list[str], spec: SplineSpec = SplineSpec(),
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """One row per segment, value column (``series``: its position) and knot spacing: fit status,
+    points, squares and spline pieces.
 
     Segments of at most ``segment_rows`` rows are fitted in one task each; longer ones by sums
     that no task gathers.
     """
-    named = rows.select(*SEGMENT, *ORDER, F.col(value).cast("double").alias("_y"))
+    columns = [F.col(v).cast("double").alias(f"_y{i}") for i, v in enumerate(values)]
+    named = rows.select(*SEGMENT, *ORDER, *columns)
     if rows.count() <= segment_rows:
         return _by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA)
     large = materialize(
@@ -150,9 +152,12 @@ def fit_segment_splines(
     if large.isEmpty():
         return _by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA)
     short = named.join(F.broadcast(large), SEGMENT, "left_anti")
-    return _by_segment(short).mapInPandas(_fitter(spec), FIT_SCHEMA).unionByName(
-        fit_large_segments(named.drop("seq"), large, spec, segment_rows)
-    )
+    fits = _by_segment(short).mapInPandas(_fitter(spec), FIT_SCHEMA)
+    for i in range(len(values)):
+        one = named.select(*SEGMENT, "time", F.col(f"_y{i}").alias("_y"))
+        split = fit_large_segments(one, large, spec, segment_rows)
+        fits = fits.unionByName(split.withColumn("series", F.lit(i)))
+    return fits
 
 
 def detrend_with(
@@ -181,16 +186,16 @@ def segment_trend(
     schema = "target_id long, quarter int, segment_id long, seq long, trend double"
 
     def trend(rows: DataFrame, value: str) -> DataFrame:
-        named = rows.select(*SEGMENT, *ORDER, F.col(value).cast("double").alias("_y"))
+        named = rows.select(*SEGMENT, *ORDER, F.col(value).cast("double").alias("_y0"))
         return rows.join(_by_segment(named).mapInPandas(fit, schema), [*SEGMENT, "seq"])
 
     return trend
 
 
 def score_spacings(fits: DataFrame, sigma: DataFrame, spec: SplineSpec = SplineSpec()) -> DataFrame:
-    """BIC of every usable spacing of a target; one bad segment rules a spacing out."""
+    """BIC of every usable spacing of a target's series; one bad segment rules a spacing out."""
     used = F.col("status") == "ok"
-    per_spacing = fits.groupBy("target_id", "spacing_id", "spacing").agg(
+    per_spacing = fits.groupBy("target_id", "series", "spacing_id", "spacing").agg(
         F.sum(F.when(used, F.col("n_knots") + F.lit(spec.k - 1)).otherwise(0)).alias("n_params"),
         F.sum("n_points").alias("n_points"),
         F.sum("ssr").alias("ssr"),
@@ -202,33 +207,53 @@ def score_spacings(fits: DataFrame, sigma: DataFrame, spec: SplineSpec = SplineS
     return (
         per_spacing.where((F.col("bad") == 0) & (F.col("n_points") > 0))
         .drop("bad")
-        .join(sigma, "target_id")
+        .join(sigma, ["target_id", "series"])
         .withColumn("bic", score)
     )
 
 
 def select_best_spacing(scores: DataFrame) -> DataFrame:
-    """The spacing with the smallest BIC of each target; the first wins ties."""
-    order = W.partitionBy("target_id").orderBy(F.col("bic").asc_nulls_last(), "spacing_id")
-    return (
-        scores.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == 1)
-        .drop("_rank")
-    )
+    """The spacing with the smallest BIC of each target's series; the first wins ties."""
+    order = W.partitionBy("target_id", "series").orderBy(
+        F.col("bic").asc_nulls_last(), "spacing_id"
+    )
+    ranked = scores.withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") == 1).drop("_rank")
 
 
-def evaluate_fits(
-    rows: DataFrame, fits: DataFrame, out: str, k: int, hot: HotKeys | None = None
+def noise_levels(
+    diffs: DataFrame, columns: list[str], hot: HotKeys | None = None, hot_rows: int | None = None
 ) -> DataFrame:
-    """Add the value of each row's segment spline as ``out``; NULL where no fit exists."""
-    pieces = fits.select(*SEGMENT, "spacing", "n_knots", "low", "first_knot", "pieces")
-    joined = join_per_key(rows, pieces, SEGMENT, hot, "left")
-    value = piecewise_value(
-        F.col("time"), F.col("pieces"), F.col("low"), F.col("first_knot"), F.col("spacing"),
-        F.col("n_knots"), k,
-    )
-    return joined.withColumn(out, value).drop(
-        "spacing", "n_knots", "low", "first_knot", "pieces"
-    )
+    """(target_id, series, sigma) from the difference columns of the series."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("series"), F.col(c).alias("diff"))
+                      for i, c in enumerate(columns)])
+    long = diffs.select("target_id", F.inline(pairs)).where(F.col("diff").isNotNull())
+    return mad_sigma(long, ["target_id", "series"], hot=hot, hot_rows=hot_rows)
+
+
+def chosen_fits(fits: DataFrame, best: DataFrame, count: int) -> DataFrame:
+    """One row per segment: the chosen fit of series ``i`` as ``fit<i>`` (NULL where the segment
+    has none) and its target's ``status<i>``."""
+    winners = best.select("target_id", "series", F.col("spacing_id").alias("_best"))
+    marked = fits.join(winners, ["target_id", "series"], "left")
+    piece = F.struct("spacing", "n_knots", "low", "first_knot", "pieces")
+    wins = (F.col("status") == "ok") & (F.col("spacing_id") == F.col("_best"))
+    columns = []
+    for i in range(count):
+        here = F.col("series") == i
+        columns += [
+            F.first(F.when(here & wins, piece), ignorenulls=True).alias(f"fit{i}"),
+            F.coalesce(
+                F.max(F.when(here & F.col("_best").isNotNull(), F.lit("ok"))), F.lit("no_fit")
+            ).alias(f"status{i}"),
+        ]
+    return marked.groupBy(*SEGMENT).agg(*columns)
+
+
+def fit_value(fit: Column, k: int) -> Column:
+    """Value of a chosen fit at the row's time; NULL where there is none."""
+    parts = [fit.getField(c) for c in ("pieces", "low", "first_knot", "spacing", "n_knots")]
+    return F.when(fit.isNotNull(), piecewise_value(F.col("time"), *parts, k))
 
 
 def prepare_segments(
@@ -256,29 +281,24 @@ def flatten_series(
     "ok", or "no_fit" for a target no spacing fits (its output is NULL).
     """
     columns = ["target_id", "quarter", "seq", "time", *dict.fromkeys(values.values())]
+    rows = prepare_segments(obs.select(*columns), events, gap, width, hot)
+    count = len(values)
+    ys, diffs = [f"_y{i}" for i in range(count)], [f"_d{i}" for i in range(count)]
+    # One exchange serves the gaps, the interpolation and the differences of all series.
+    rows = interpolate_masked(rows, dict(zip(ys, values.values(), strict=True)), hot=hot)
+    rows = with_previous(rows, SEGMENT, ORDER, ys, hot)
+    steps = {d: (F.col(y) - F.col(f"prev_{y}")) / F.lit(SQRT_2)
+             for d, y in zip(diffs, ys, strict=True)}
+    rows = rows.withColumns(steps).drop(*[f"prev_{y}" for y in ys])
     # Read by the noise level, the fit and the evaluation: written once, not computed thrice.
-    out = materialize(
-        prepare_segments(obs.select(*columns), events, gap, width, hot), "segments"
-    )
-    for name, value in values.items():
-        filled = interpolate_masked(out, "masked", value, "_filled", hot)
-        filled = materialize(
-            filled.select(*SEGMENT, *ORDER, "_filled"), "filled"
-        )
-        sigma = mad_sigma(
-            scaled_diffs(filled, "_filled", SQRT_2, hot), ["target_id"], hot=hot, hot_rows=hot_rows
-        )
-        fits = materialize(fit_segment_splines(filled, "_filled", spec, segment_rows), "fits")
-        best = select_best_spacing(score_spacings(fits, sigma, spec))
-        chosen = fits.where(F.col("status") == "ok").join(
-            best.select("target_id", "spacing_id"), ["target_id", "spacing_id"], "left_semi"
-        )
-        out = evaluate_fits(out, chosen, "_trend", spec.k, hot)
-        fitted = best.select("target_id", F.lit("ok").alias("_fit"))
-        out = join_per_key(out, fitted, ["target_id"], hot, "left")
-        out = (
-            out.withColumn(name, F.try_divide(F.col(value), F.col("_trend")))
-            .withColumn(f"{name}_status", F.coalesce("_fit", F.lit("no_fit")))
-            .drop("_trend", "_fit")
-        )
-    return out
+    rows = materialize(rows, "segments")
+    sigma = noise_levels(rows, diffs, hot, hot_rows)
+    fits = materialize(fit_segment_splines(rows, ys, spec, segment_rows), "fits")
+    best = select_best_spacing(score_spacings(fits, sigma, spec))
+    out = join_per_key(rows.drop(*ys, *diffs), chosen_fits(fits, best, count), SEGMENT, hot, "left")
+    results = {}
+    for i, (name, value) in enumerate(values.items()):
+        results[name] = F.try_divide(F.col(value), fit_value(F.col(f"fit{i}"), spec.k))
+        results[f"{name}_status"] = F.col(f"status{i}")
+    extra = [f"{c}{i}" for i in range(count) for c in ("fit", "status")]
+    return out.withColumns(results).drop(*extra)

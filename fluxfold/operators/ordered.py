@@ -70,46 +70,42 @@ def with_running_sum(
 
 
 def with_neighbours(
-    df: DataFrame, keys: list[str], order: list[str], column: str, before: str, after: str,
+    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, str]],
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Add the last non-NULL ``column`` up to this row and the first one from it on."""
+    """For each column add (before, after): its last non-NULL value up to this row and its first
+    one from this row on."""
     rows, part = _slices(df, keys, hot)
-    window = W.partitionBy(*part).orderBy(*order)
-    out = rows.withColumn(
-        before,
-        F.last(column, ignorenulls=True).over(
-            window.rowsBetween(W.unboundedPreceding, W.currentRow)
-        ),
-    ).withColumn(
-        # The same running fill in descending order: linear, where a frame that ends at the
-        # last row would be rescanned for every row.
-        after,
-        F.last(column, ignorenulls=True).over(
-            W.partitionBy(*part)
-            .orderBy(*[F.col(c).desc() for c in order])
-            .rowsBetween(W.unboundedPreceding, W.currentRow)
-        ),
-    )
+    up_to = W.partitionBy(*part).orderBy(*order)
+    # The same running fill in descending order: linear, where a frame that ends at the last row
+    # would be rescanned for every row.
+    down_to = W.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
+    out = rows
+    for window, side in ((up_to, 0), (down_to, 1)):
+        running = window.rowsBetween(W.unboundedPreceding, W.currentRow)
+        out = out.withColumns(
+            {names[side]: F.last(c, ignorenulls=True).over(running)
+             for c, names in columns.items()}
+        )
     if hot is None:
         return out
-    known = F.when(F.col(column).isNotNull(), F.struct(*order))
-    ends = hot.only(rows).groupBy(*part).agg(
-        F.max_by(column, known).alias("_last"), F.min_by(column, known).alias("_head")
-    )
+    ends = []
+    for i, c in enumerate(columns):
+        known = F.when(F.col(c).isNotNull(), F.struct(*order))
+        ends += [F.max_by(c, known).alias(f"_last{i}"), F.min_by(c, known).alias(f"_head{i}")]
     slices = W.partitionBy(*keys).orderBy("_piece")
-    carry = ends.select(
-        *part,
-        F.last("_last", ignorenulls=True)
-        .over(slices.rowsBetween(W.unboundedPreceding, -1))
-        .alias("_in"),
-        F.first("_head", ignorenulls=True)
-        .over(slices.rowsBetween(1, W.unboundedFollowing))
-        .alias("_out"),
-    )
+    earlier = slices.rowsBetween(W.unboundedPreceding, -1)
+    later = slices.rowsBetween(1, W.unboundedFollowing)
+    carried = []
+    for i in range(len(columns)):
+        carried += [
+            F.last(f"_last{i}", ignorenulls=True).over(earlier).alias(f"_in{i}"),
+            F.first(f"_head{i}", ignorenulls=True).over(later).alias(f"_out{i}"),
+        ]
+    carry = hot.only(rows).groupBy(*part).agg(*ends).select(*part, *carried)
     out = _carried(out, part, carry, hot)
-    return (
-        out.withColumn(before, F.coalesce(before, "_in"))
-        .withColumn(after, F.coalesce(after, "_out"))
-        .drop("_in", "_out", "_piece")
-    )
+    for i, (before, after) in enumerate(columns.values()):
+        out = out.withColumn(before, F.coalesce(before, f"_in{i}")).withColumn(
+            after, F.coalesce(after, f"_out{i}")
+        )
+    return out.drop("_piece", *[f"{n}{i}" for i in range(len(columns)) for n in ("_in", "_out")])

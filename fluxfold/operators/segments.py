@@ -39,28 +39,32 @@ def scaled_diffs(
 
 
 def interpolate_masked(
-    obs: DataFrame, masked: str = "masked", value: str = "flux", out: str = "interpolated",
-    hot: HotKeys | None = None,
-) -> DataFrame:
-    """Linear interpolation of ``value`` over the rows flagged ``masked``, per segment.
+    obs: DataFrame, values: dict[str, str], masked: str = "masked", hot: HotKeys | None = None
+) -> DataFrame:
+    """Linear interpolation over the rows flagged ``masked``, per segment.
 
-    Outside the unmasked points the nearest one is used; a segment without any stays NULL.
+    ``values`` maps an output column to a series column. Outside the unmasked points the nearest
+    one is used; a segment without any stays NULL.
     """
-    usable = ~F.col(masked) & F.col(value).isNotNull()
-    known = F.when(usable, F.struct(F.col("time").alias("t"), F.col(value).alias("v")))
-    rows = with_neighbours(
-        obs.withColumn("_known", known), SEGMENT, ORDER, "_known", "_left", "_right", hot
-    )
-    left, right = F.col("_left"), F.col("_right")
-    slope = F.try_divide(right.v - left.v, right.t - left.t)
-    between = left.v + F.coalesce(slope, F.lit(0.0)) * (F.col("time") - left.t)
-    filled = (
-        F.when(~F.col(masked), F.col(value))
-        .when(left.isNull(), right.v)
-        .when(right.isNull(), left.v)
-        .otherwise(between)
-    )
-    return rows.withColumn(out, filled).drop("_known", "_left", "_right")
+    known = {}
+    for i, value in enumerate(values.values()):
+        usable = ~F.col(masked) & F.col(value).isNotNull()
+        known[f"_k{i}"] = F.when(usable, F.struct(F.col("time").alias("t"),
+                                                  F.col(value).alias("v")))
+    sides = {k: (f"{k}_left", f"{k}_right") for k in known}
+    rows = with_neighbours(obs.withColumns(known), SEGMENT, ORDER, sides, hot)
+    filled = {}
+    for (name, value), (left_name, right_name) in zip(values.items(), sides.values(), strict=True):
+        left, right = F.col(left_name), F.col(right_name)
+        slope = F.try_divide(right.v - left.v, right.t - left.t)
+        between = left.v + F.coalesce(slope, F.lit(0.0)) * (F.col("time") - left.t)
+        filled[name] = (
+            F.when(~F.col(masked), F.col(value))
+            .when(left.isNull(), right.v)
+            .when(right.isNull(), left.v)
+            .otherwise(between)
+        )
+    return rows.withColumns(filled).drop(*known, *[c for pair in sides.values() for c in pair])
 
 
 def period_edges(obs: DataFrame) -> DataFrame:

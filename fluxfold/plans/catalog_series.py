@@ -131,7 +131,8 @@ def mad_sigma(spark, sf):
 def interpolate_masked(spark, sf):
     obs, hot = _obs(spark, sf)
     rows = G.split_at_gaps(flag_events(obs, A.tces(spark, sf), hot=hot), hot=hot)
-    return tidy(G.interpolate_masked(rows, hot=hot).select(*_KEY, "interpolated"))
+    filled = G.interpolate_masked(rows, {"interpolated": "flux"}, hot=hot)
+    return tidy(filled.select(*_KEY, "interpolated"))
 
 
 @query(
@@ -228,20 +229,22 @@ _ROBUST_SQL = """
 
 @query(
     "robust_mean",
-    f"WITH {_ROBUST_SQL} SELECT target_id, round(mean, 6) AS mean, round(mean_std, 6) AS mean_std, "
+    f"WITH {_ROBUST_SQL} SELECT target_id, round(mean, 9) AS mean, round(mean_std, 9) AS mean_std, "
     "n_kept FROM robust",
     "obs",
 )
 def robust_mean(spark, sf):
     obs, hot = _obs(spark, sf)
     _, stats = N.robust_rows(obs, ["target_id"], "flux", 2.0, hot)
-    return tidy(stats)
+    # Nine digits: a mean of cents over 32 values ends in a tie at six.
+    rounded = [F.round(c, 9).alias(c) for c in ("mean", "mean_std")]
+    return stats.select("target_id", *rounded, "n_kept")
 
 
 @query("fit_segment_spline")
 def fit_segment_spline(spark, sf):
     obs, hot = _obs(spark, sf)
-    fits = D.fit_segment_splines(G.split_at_gaps(obs, hot=hot), "flux")
+    fits = D.fit_segment_splines(G.split_at_gaps(obs, hot=hot), ["flux"])
     return tidy(
         fits.select(*G.SEGMENT, "spacing_id", "status", "n_knots", "n_points",
                     F.size("pieces").alias("n_coefficients"))
@@ -252,8 +255,9 @@ def fit_segment_spline(spark, sf):
 def select_best_spline(spark, sf):
     obs, hot = _obs(spark, sf)
     rows = G.split_at_gaps(obs, hot=hot)
-    sigma = N.mad_sigma(G.scaled_diffs(rows, "flux", D.SQRT_2, hot), ["target_id"], hot=hot)
-    return tidy(D.select_best_spacing(D.score_spacings(D.fit_segment_splines(rows, "flux"), sigma)))
+    sigma = D.noise_levels(G.scaled_diffs(rows, "flux", D.SQRT_2, hot), ["diff"], hot)
+    scores = D.score_spacings(D.fit_segment_splines(rows, ["flux"]), sigma)
+    return tidy(D.select_best_spacing(scores))
 
 
 @query("flatten_series")

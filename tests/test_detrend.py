@@ -80,8 +80,8 @@ def test_fits_by_sums_equal_fits_in_a_task(noisy):
     spec = D.SplineSpec(spacings=(0.02, 0.7, 3.1, 20.0), max_iter=4)
     columns = ["target_id", "spacing_id", "status", "n_knots", "n_points", "ssr", "low", "pieces"]
     order = ["target_id", "spacing_id"]
-    whole = D.fit_segment_splines(noisy, "v", spec).select(*columns).toPandas()
-    split = D.fit_segment_splines(noisy, "v", spec, segment_rows=100).select(*columns).toPandas()
+    whole = D.fit_segment_splines(noisy, ["v"], spec).select(*columns).toPandas()
+    split = D.fit_segment_splines(noisy, ["v"], spec, segment_rows=100).select(*columns).toPandas()
     whole, split = (d.sort_values(order).reset_index(drop=True) for d in (whole, split))
     assert len(whole) == len(split) == 12
     for a, b in zip(whole.itertuples(), split.itertuples(), strict=True):
@@ -97,14 +97,15 @@ def test_flatten(skewed):
     obs, events, local, _ = skewed
     spec = D.SplineSpec(spacings=(2.0, 5.0, 20.0), max_iter=2)
     hot = find_hot_keys(obs, ["target_id"], "time", 50)
-    values = {"flat": "flux"}
+    values = {"flat": "flux", "shift": "centroid_shift"}
     plain = D.flatten_series(obs, events, values, 1.5, spec).toPandas().sort_values("seq")
     cut = D.flatten_series(obs, events, values, 1.5, spec, hot=hot, hot_rows=50, segment_rows=80)
     cut = cut.toPandas().sort_values("seq")
     assert len(plain) == len(cut) == len(local)
     assert (plain.flat_status.to_numpy() == cut.flat_status.to_numpy()).all()
-    a, b = plain.flat.to_numpy(float), cut.flat.to_numpy(float)
-    assert np.allclose(a, b, rtol=1e-6, equal_nan=True)
+    for name in values:
+        a, b = plain[name].to_numpy(float), cut[name].to_numpy(float)
+        assert np.allclose(a, b, rtol=1e-6, equal_nan=True)
     part = plain[plain.target_id == 1]
     assert part.flat_status.eq("ok").all()
     # The slow wave is gone: the flat series scatters around 1.
@@ -112,10 +113,10 @@ def test_flatten(skewed):
 
 
 def test_best_spacing_ties_take_the_first(spark):
-    rows = [(1, 0, 0.5, 2.0), (1, 1, 0.7, 1.0), (1, 2, 0.9, 1.0), (2, 0, 0.5, 3.0)]
-    scores = spark.createDataFrame(rows, "target_id long, spacing_id int, spacing double, bic double")
-    best = {r.target_id: r.spacing_id for r in D.select_best_spacing(scores).collect()}
-    assert best == {1: 1, 2: 0}
+    rows = [(1, 0, 0, 2.0), (1, 0, 1, 1.0), (1, 0, 2, 1.0), (1, 1, 2, 5.0), (2, 0, 0, 3.0)]
+    scores = spark.createDataFrame(rows, "target_id long, series int, spacing_id int, bic double")
+    best = {(r.target_id, r.series): r.spacing_id for r in D.select_best_spacing(scores).collect()}
+    assert best == {(1, 0): 1, (1, 1): 2, (2, 0): 0}
 
 
 def test_user_trends(skewed):

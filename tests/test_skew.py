@@ -77,8 +77,10 @@ def test_ordered(skewed, hot):
     same(G.scaled_diffs(plain, "flux", 2.0), G.scaled_diffs(cut, "flux", 2.0, hot), "seq")
     flagged = M.flag_events(plain, events)
     same(flagged, M.flag_events(cut, events, hot=hot), "seq")
-    same(G.interpolate_masked(flagged), G.interpolate_masked(flagged, hot=hot), "seq")
-    filled = frame(G.interpolate_masked(flagged, hot=hot), "time", "seq")
+    values = {"interpolated": "flux", "second": "centroid_x"}
+    split = G.interpolate_masked(flagged, values, hot=hot)
+    same(G.interpolate_masked(flagged, values), split, "seq")
+    filled = frame(split, "time", "seq")
     for _, part in filled.groupby(["target_id", "quarter", "segment_id"]):
         known = part[~part.masked]
         if len(known):
