@@ -7,6 +7,8 @@ A fitted spline is stored as polynomial pieces, so executors evaluate it in the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column
@@ -39,6 +41,25 @@ def basis(x: np.ndarray, t: np.ndarray, cell: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+@lru_cache
+def bernstein_powers(k: int) -> np.ndarray:
+    """Row ``a``: Bernstein polynomial ``a`` of degree ``k`` in powers of its argument."""
+    out = np.zeros((k + 1, k + 1))
+    for a in range(k + 1):
+        for j in range(k - a + 1):
+            out[a, a + j] = comb(k, a) * comb(k - a, j) * (-1) ** j
+    return out
+
+
+def bernstein(u: np.ndarray, k: int) -> np.ndarray:
+    """The basis of a spline without interior knots, for ``u`` in units of its span."""
+    rest, ups, downs = 1.0 - u, [np.ones(u.size)], [np.ones(u.size)]
+    for _ in range(k):
+        ups.append(ups[-1] * u)
+        downs.append(downs[-1] * rest)
+    return np.array([comb(k, a) * ups[a] * downs[k - a] for a in range(k + 1)])
+
+
 def determines(x: np.ndarray, t: np.ndarray, k: int) -> bool:
     """Schoenberg-Whitney: every basis function gets a data point of its own."""
     n = t.size - k - 1
@@ -80,6 +101,8 @@ def solve_cells(gram: np.ndarray, rhs: np.ndarray, k: int) -> np.ndarray:
 
 def to_pieces(coef: np.ndarray, knots: np.ndarray, low: float, high: float, k: int) -> np.ndarray:
     """Power-basis coefficients, ``k + 1`` per cell, in the distance from the cell's left end."""
+    if not knots.size:
+        return (coef @ bernstein_powers(k) / (high - low) ** np.arange(k + 1))[None, :]
     t = np.concatenate([[low] * (k + 1), knots, [high] * (k + 1)])
     left = np.concatenate([[low], knots])
     span = np.concatenate([knots, [high]]) - left
@@ -101,19 +124,32 @@ class Frame:
     def __init__(self, x: np.ndarray, knots: np.ndarray, low: float, high: float, k: int) -> None:
         if low >= high or (knots.size and not (low < knots[0] and knots[-1] < high)):
             raise BadKnotsError("knots outside the data")
-        self.low, self.high, self.k = low, high, k
+        self.x, self.knots, self.low, self.high, self.k = x, knots, low, high, k
         self.t = np.concatenate([[low] * (k + 1), knots, [high] * (k + 1)])
         self.cells = knots.size + 1
-        self.cell = knots.searchsorted(x, side="right") if knots.size else np.zeros(x.size, int)
-        self.weights = basis(x, self.t, self.cell + k, k)
+        self.weights = None
         self.matrix = None
-        if x.size * (self.cells + k) <= self.dense_size:
+
+    def _build(self) -> None:
+        # Only once the knots have proved usable.
+        x, k = self.x, self.k
+        if self.knots.size:
+            self.cell = self.knots.searchsorted(x, side="right")
+            self.weights = basis(x, self.t, self.cell + k, k)
+        else:
+            self.cell = np.zeros(x.size, int)
+            self.weights = bernstein((x - self.low) / (self.high - self.low), k)
+        if self.cells == 1:
+            self.matrix = self.weights.T
+        elif x.size * (self.cells + k) <= self.dense_size:
             self.matrix = np.zeros((x.size, self.cells + k))
             at = np.arange(x.size)
             for a in range(k + 1):
                 self.matrix[at, self.cell + a] = self.weights[a]
 
     def coefficients(self, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        if self.weights is None:
+            self._build()
         if self.matrix is not None:
             rows = self.matrix[mask]
             return solve_normal(rows.T @ rows, rows.T @ y[mask])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxfold.operators.masking import mark_transits
-from fluxfold.operators.skew import HotKeys
+from fluxfold.operators.skew import HotKeys, join_per_key
 from fluxfold.schemas import EVENT
 
 
@@ -92,12 +92,9 @@ def target_bundle(
     """
     counts = tces.groupBy("target_id").agg(F.count("*").alias("n_tces"))
     star = stellar.withColumnRenamed("id", "target_id")
-    return (
-        mark_transits(obs, tces, hot=hot)
-        .join(counts, "target_id", "left")
-        .join(star, "target_id", "left")
-        .withColumn("n_tces", F.coalesce("n_tces", F.lit(0).cast("long")))
-    )
+    about = counts.join(star, "target_id", "full")
+    rows = join_per_key(mark_transits(obs, tces, hot=hot), about, ["target_id"], hot, "left")
+    return rows.withColumn("n_tces", F.coalesce("n_tces", F.lit(0).cast("long")))
 
 
 def table_request(

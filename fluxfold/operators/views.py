@@ -76,6 +76,7 @@ def bin_rows(
 def assign_bins(
     df: DataFrame, keys: list[str], x: str, num_bins: int, *,
     bin_width: float | None = None, x_min: float | None = None, x_max: float | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Bins of a plain x axis. Missing bounds default to the data range of each group."""
     if num_bins < 2:
@@ -89,7 +90,11 @@ def assign_bins(
         raise ValueError(f"bin_width must be > 0, got {bin_width}")
     if x_min is None or x_max is None:
         span = df.groupBy(*keys).agg(F.min(x).alias("_min"), F.max(x).alias("_max"))
-        rows = df.join(span, keys) if keys else df.crossJoin(F.broadcast(span))
+        if keys:
+            rows = join_per_key(df, span, keys, hot)
+        else:
+            ends = span.select(F.struct("_min", "_max")).scalar()
+            rows = df.withColumn("_span", ends).select(*df.columns, "_span.*")
     else:
         rows = df.withColumn("_min", F.lit(None)).withColumn("_max", F.lit(None))
     low = F.col("_min") if x_min is None else F.lit(float(x_min))
@@ -149,8 +154,8 @@ def _placed(events: DataFrame, frames: DataFrame, hot: HotKeys | None) -> tuple[
 
     Beyond the limit both sides are shuffled by target, and the views need no further shuffle.
     """
-    small = events.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return (F.broadcast(frames) if small and hot is None else frames), small and hot is None
+    small = hot is None and events.count() <= BROADCAST_ROWS
+    return (F.broadcast(frames) if small else frames), small
 
 
 def fold_rows(series: DataFrame, frames: DataFrame, hot: HotKeys | None = None) -> DataFrame:

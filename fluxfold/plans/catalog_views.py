@@ -46,7 +46,8 @@ def _inputs(spark, sf):
     "obs",
 )
 def assign_bins(spark, sf):
-    rows = V.assign_bins(A.observations(spark, sf), ["target_id"], "time", 10, bin_width=4.0)
+    obs, _, hot = _inputs(spark, sf)
+    rows = V.assign_bins(obs, ["target_id"], "time", 10, bin_width=4.0, hot=hot)
     return tidy(rows.select("target_id", "seq", "bin"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxfold.functions.periodic import width_secondary
+from fluxfold.operators import lookups as K
 from fluxfold.operators import masking as M
 from fluxfold.operators import normalize as N
 from fluxfold.operators import segments as G
@@ -143,3 +144,30 @@ def test_ranked_split_of_many_targets(spark):
     assert {r.split: r["count"] for r in counts.collect()} == {
         "test": 199, "validation": 300, "train": 501,
     }
+
+
+def test_bundle_and_bins(spark, skewed, hot):
+    obs, events, _, _ = skewed
+    stars = spark.createDataFrame([(1, 5.0), (3, 6.0)], "id long, radius double")
+    same(K.target_bundle(obs, events, stars), K.target_bundle(obs, events, stars, hot), "seq")
+    same(V.assign_bins(obs, ["target_id"], "time", 7),
+         V.assign_bins(obs, ["target_id"], "time", 7, hot=hot), "seq", "bin")
+
+
+def test_many_events_per_target_take_the_join(skewed, monkeypatch):
+    obs, events, _, _ = skewed
+    one = M.flag_events(obs, events), M.mark_transits(obs, events)
+    plain = [frame(d, "seq") for d in one]
+    monkeypatch.setattr(M, "EVENTS_PER_TARGET", 1)
+    for want, df in zip(plain, (M.flag_events(obs, events), M.mark_transits(obs, events)),
+                        strict=True):
+        assert "exists(" not in df._jdf.queryExecution().toString()
+        pd.testing.assert_frame_equal(frame(df, "seq")[list(want.columns)], want)
+
+
+def test_many_events_are_not_broadcast(skewed, monkeypatch):
+    obs, events, _, _ = skewed
+    values = {"a": "flux"}
+    small = V.folded_view(obs, events, V.LOCAL_VIEW, values)
+    monkeypatch.setattr(V, "BROADCAST_ROWS", 3)
+    same(small, V.folded_view(obs, events, V.LOCAL_VIEW, values), "target_id", "tce_id", "bin")
