@@ -56,9 +56,11 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
 
 
 def main() -> None:
-    from fluxfold.plans.catalog import ORACLES, QUERIES
+    import __spark_entry__ as entry_points
     from fluxfold.session import local_session
 
+    QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
