@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fluxfold.llm import sql
 from fluxfold.llm.common import read_table
+from fluxfold.llm.decontamination import contamination
+from fluxfold.llm.html_text import extract_text
+from fluxfold.llm.licenses import scan_licences
+from fluxfold.llm.line_dedup import line_report
 from fluxfold.llm.quality_rules import quality_verdicts
 from fluxfold.llm.token_counts import count_tokens
 
@@ -22,18 +26,41 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(read_table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 LLM_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op3_quality_rules,
+        op4_line_dedup,
         op5_token_counts,
+        op7_license_scans,
+        op8_html_extraction,
+        op10_benchmark_decontamination,
     )
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op3_quality_rules": sql.quality_sql(),
+    "op4_line_dedup": sql.line_sql(),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fluxfold.llm.line_dedup import MIN_CHARS
 from fluxfold.llm.quality_rules import RULES, STOP_WORDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -48,3 +49,43 @@ WITH split AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {rules} AS kept
 FROM judged"""
+
+
+def line_sql(source: str = "documents") -> str:
+    """Every window of lines with enough characters and no shorter one inside, against all earlier."""
+    return f"""
+WITH lines AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {source}
+), line AS (
+  SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p FROM lines
+), placed AS (
+  SELECT doc_id, p, lines[p] AS line,
+         sum(length(lines[p]) + 1) OVER (PARTITION BY doc_id ORDER BY p) AS upto,
+         length(lines[p]) + 1 AS chars
+  FROM line
+), spans AS (
+  SELECT a.doc_id, a.p AS s, b.p AS e, a.upto - a.chars AS before_s, b.upto AS upto_e,
+         a.chars AS chars_s, b.chars AS chars_e
+  FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + {MIN_CHARS}
+  WHERE b.upto - (a.upto - a.chars) >= {MIN_CHARS}
+    AND (b.upto - b.chars - (a.upto - a.chars) < {MIN_CHARS} OR b.upto - a.upto < {MIN_CHARS})
+), windows AS (
+  SELECT s.*, array_to_string(list_slice(l.lines, s.s, s.e), chr(10)) AS text
+  FROM spans s JOIN lines l USING (doc_id)
+), later AS (
+  SELECT doc_id, s, e FROM (
+    SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, s) AS k FROM windows)
+  WHERE k > 1
+), removed AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS p FROM later
+), runs AS (
+  SELECT doc_id, count(*) AS n_removed,
+         count(*) FILTER (p - 1 NOT IN (SELECT r.p FROM removed r WHERE r.doc_id = removed.doc_id)) AS n_runs
+  FROM removed GROUP BY doc_id
+), kept AS (
+  SELECT line.doc_id, string_agg(lines[p], chr(10) ORDER BY p) AS text
+  FROM line ANTI JOIN removed ON line.doc_id = removed.doc_id AND line.p = removed.p GROUP BY line.doc_id
+)
+SELECT l.doc_id, len(l.lines) AS n_lines, coalesce(r.n_removed, 0) AS n_removed,
+       coalesce(r.n_runs, 0) AS n_runs, md5(coalesce(k.text, '')) AS kept_md5
+FROM lines l LEFT JOIN runs r USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
