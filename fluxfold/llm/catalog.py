@@ -12,12 +12,17 @@ from fluxfold.llm.decontamination import contamination
 from fluxfold.llm.html_text import extract_text
 from fluxfold.llm.licenses import scan_licences
 from fluxfold.llm.line_dedup import line_report
+from fluxfold.llm.near_dedup import near_duplicates
 from fluxfold.llm.quality_rules import quality_verdicts
 from fluxfold.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(read_table(spark, sf_dir, "documents"))
     return verdicts.select(
@@ -51,6 +56,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 LLM_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_minhash_near_dedup,
         op3_quality_rules,
         op4_line_dedup,
         op5_token_counts,
