@@ -13,8 +13,10 @@ from fluxfold.llm.html_text import extract_text
 from fluxfold.llm.licenses import scan_licences
 from fluxfold.llm.line_dedup import line_report
 from fluxfold.llm.near_dedup import near_duplicates
+from fluxfold.llm.packing import pack_documents
 from fluxfold.llm.quality_rules import quality_verdicts
 from fluxfold.llm.token_counts import count_tokens
+from fluxfold.llm.token_files import token_file_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
 
 
+def op2_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(read_table(spark, sf_dir, "documents"))
     return verdicts.select(
@@ -39,6 +45,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read_table(spark, sf_dir, "documents"))
 
@@ -57,9 +67,11 @@ LLM_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
+        op2_token_binary_output,
         op3_quality_rules,
         op4_line_dedup,
         op5_token_counts,
+        op6_best_fit_packing,
         op7_license_scans,
         op8_html_extraction,
         op10_benchmark_decontamination,
