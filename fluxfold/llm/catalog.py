@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fluxfold.llm import sql
 from fluxfold.llm.common import read_table
 from fluxfold.llm.decontamination import contamination
@@ -77,8 +78,11 @@ LLM_QUERIES: dict[str, Query] = {
         op10_benchmark_decontamination,
     )
 }
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
 
 LLM_ORACLES: dict[str, str] = {
     "op3_quality_rules": sql.quality_sql(),
     "op4_line_dedup": sql.line_sql(),
 }
+if corpus_pipeline.ORACLE_SQL:
+    LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
