@@ -162,7 +162,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: in
             )
 
     picked = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(
-        wanted, "id", "left_semi"
+        wanted.hint("merge"), "id", "left_semi"
     )
     return picked.mapInArrow(make, "id long, n long, sketch binary, shingles binary")
 
@@ -189,7 +189,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"), F.col("shingles").alias("set_b"))
     return (
-        pairs.join(left, "a")
+        pairs.hint("merge")
+        .join(left, "a")
+        .hint("merge")
         .join(right, "b")
         .select("a", "b", "sketch_a", "sketch_b", "set_a", "set_b")
         .mapInArrow(check, "a long, b long")
@@ -261,12 +263,12 @@ def near_duplicates(
         made = keep(sketches(docs, key, text, size), "sketches")
         linkable = made.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
         sets_of = keep(linkable.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "set_reps")
-        nodes = linkable.join(sets_of.select(F.col("rep").alias("id")), "id", "left_semi")
+        nodes = linkable.join(sets_of.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
         banded = keep(
             nodes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "bands"
         )
         buckets = keep(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-        members = keep(banded.join(buckets, "bucket"), "members")
+        members = keep(banded.join(buckets.hint("merge"), "bucket"), "members")
         wanted = keep(members.groupBy("id").agg(F.sum("size").alias("company")), "candidates")
         sets = keep(_full_sets(docs, wanted, key, text, size), "full_sets")
 
@@ -312,7 +314,7 @@ def near_duplicates(
         lonely = F.col("id").isNull() | (F.col("n_shingles") == 0)
         left = made.select("id", "n_shingles", *(F.when(~lonely, F.col(k)).alias(k) for k in ("k1", "k2")))
         result = keep(
-            left.join(of_set, ["k1", "k2"], "left").select(
+            left.join(of_set.hint("merge"), ["k1", "k2"], "left").select(
                 F.col("id").alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id")
             ),
             "near_duplicates",
@@ -325,4 +327,4 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document of every group, the one with the smallest key."""
     gone = near_duplicates(docs, key, text, size, percent).where(~F.col("kept")).select(F.col(key).alias("gone"))
-    return docs.join(gone.distinct(), docs[key] == F.col("gone"), "left_anti")
+    return docs.join(gone.distinct().hint("merge"), docs[key] == F.col("gone"), "left_anti")
