@@ -16,6 +16,7 @@ from fluxfold.llm.line_dedup import line_report
 from fluxfold.llm.near_dedup import near_duplicates
 from fluxfold.llm.packing import pack_documents
 from fluxfold.llm.quality_rules import quality_verdicts
+from fluxfold.llm.substring_dedup import substring_dedup
 from fluxfold.llm.token_counts import count_tokens
 from fluxfold.llm.token_files import token_file_digests
 
@@ -58,6 +59,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -75,6 +80,7 @@ LLM_QUERIES: dict[str, Query] = {
         op6_best_fit_packing,
         op7_license_scans,
         op8_html_extraction,
+        op9_suffix_array_dedup,
         op10_benchmark_decontamination,
     )
 }
