@@ -154,4 +154,8 @@ def quality_verdicts(
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; no shuffle."""
-    return _judged(docs, rules, docs.columns, text).where("kept").select("source.*")
+    judged = _judged(docs, rules, docs.columns, text)
+    # A filter on ``kept`` alone would be pushed down, and with it copies of all the expressions
+    # it stands for, many times over; a filter that also needs a row number stays above them.
+    numbered = judged.select("source", "kept", F.monotonically_increasing_id().alias("n"))
+    return numbered.where(F.col("kept") & (F.col("n") >= 0)).select("source.*")
