@@ -42,6 +42,8 @@ _MANTISSA_BITS = 10
 _EMPTY = 0xFFFF
 _ROWS = 5
 _BANDS = _REGISTERS // _ROWS
+#: Independent one-bit minimum hashes, 64 to a word; they tell far pairs in large buckets apart.
+_MARK_WORDS = 32
 #: Buckets up to this size are paired across components; larger ones use the prefix filter.
 PAIR_BUCKET = 32
 
@@ -218,7 +220,7 @@ def _prefixes(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
                 )
 
     rows = keep(
-        sets.join(wanted.select("id"), "id", "left_semi")
+        sets.join(wanted.select("id").hint("merge"), "id", "left_semi")
         .select("id", "n", "shingles")
         .mapInArrow(unpack, "shingle long, id long, n long"),
         "shingle_rows",
@@ -231,17 +233,57 @@ def _prefixes(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
         "n_common", F.count("*").over(Window.partitionBy("id"))
     )
     length = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1 - (F.col("n") - F.col("n_common"))
-    return ranked.where(F.col("rank") <= length).join(wanted, "id").select("shingle", "id", "component", "n")
+    marks = [f"m{k}" for k in range(_MARK_WORDS)]
+    return ranked.where(F.col("rank") <= length).join(wanted, "id").select("shingle", "id", "component", "n", *marks)
 
 
 def _across(groups: DataFrame, by: str, percent: int) -> DataFrame:
-    """Pairs a < b of a group that lie in different components and are of similar size."""
-    a = groups.select(by, F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    b = groups.select(by, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    """Pairs a < b of a group that lie in different components and may be similar enough.
+
+    Sizes must allow it. Where both have minimum-hash bits, the bits must too: at similarity s a
+    bit differs with probability (1 - s) / 2, and five standard deviations are granted on top.
+    """
+    renamed = [groups.select(by, *(F.col(c).alias(c + side) for c in groups.columns if c != by)) for side in ("_a", "_b")]
+    fits = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    fits = fits & _similar_sizes("n_a", "n_b", percent)
+    if "m0" in groups.columns:
+        n, p = 64 * _MARK_WORDS, (1 - percent / 100) / 2
+        differ = sum(F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(_MARK_WORDS))
+        fits = fits & (differ <= int(n * p + 5 * (n * p * (1 - p)) ** 0.5))
+    a, b = renamed
+    joined = a.join(b, (a[by] == b[by]) & fits)
+    return joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+_MARKS = np.random.default_rng(13).integers(1, 1 << 63, (2, 64 * _MARK_WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def min_hash_bits(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of 2048 independent minimum hashes, packed into 64-bit integers."""
+    low = np.full(_MARKS.shape[1], np.iinfo(np.uint64).max)
+    for start in range(0, len(shingles), 64):
+        part = shingles[start : start + 64, None]
+        np.minimum(low, (part * _MARKS[0] ^ _MARKS[1]).min(axis=0), out=low)
+    return np.packbits((mix(low) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def _marked(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (id, component) with its minimum-hash bits m0, m1, ..."""
+    names = [f"m{k}" for k in range(_MARK_WORDS)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [min_hash_bits(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
+            flat = np.array(bits, np.int64).reshape(-1, _MARK_WORDS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(flat[:, k]) for k in range(_MARK_WORDS))],
+                ["id", "component", *names],
+            )
+
     return (
-        a.join(b, by)
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_sizes("na", "nb", percent))
-        .select("a", "b")
+        sets.join(wanted.hint("merge"), "id")
+        .select("id", "component", "shingles")
+        .mapInArrow(mark, "id long, component long, " + ", ".join(f"{n} long" for n in names))
     )
 
 
@@ -296,9 +338,14 @@ def near_duplicates(
             "placed",
         )
         apart = keep(placed.join(keep(_several(placed, "bucket"), "open_buckets"), "bucket", "left_semi"), "apart")
-        small = _across(apart.where(F.col("size") <= PAIR_BUCKET), "bucket", percent)
-        large = apart.where(F.col("size") > PAIR_BUCKET).select("id", "component").distinct()
-        rare = keep(_prefixes(sets, keep(large, "large_buckets"), percent), "rare_shingles")
+        marked = keep(_marked(sets, keep(apart.select("id", "component").distinct(), "open_ids")), "marked")
+        small = keep(
+            apart.where(F.col("size") <= PAIR_BUCKET).select("bucket", "id", "n").join(marked.hint("merge"), "id"),
+            "small_buckets",
+        )
+        small = _across(small, "bucket", percent)
+        large = keep(apart.where(F.col("size") > PAIR_BUCKET).select("id").distinct(), "large_buckets")
+        rare = keep(_prefixes(sets, marked.join(large, "id", "left_semi"), percent), "rare_shingles")
         rare = keep(rare.join(keep(_several(rare, "shingle"), "open_shingles"), "shingle", "left_semi"), "rare_open")
         second = small.union(_across(rare, "shingle", percent)).distinct().join(first, ["a", "b"], "left_anti")
         more = keep(_confirmed(keep(second, "cross_pairs"), sets, percent), "cross_links")
