@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxfold.session import materialize, ship_package
+from fluxfold.session import fresh_path, ship_package
 
 #: ASCII white space, as a Java character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -39,8 +39,11 @@ def tidy_shuffles(spark: SparkSession):
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    return materialize(df, name)
+    """Write ``df`` to the shared folder and read it back; this cuts the lineage."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def null_safe_text(name: str = "text") -> Column:

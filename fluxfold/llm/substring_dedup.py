@@ -112,8 +112,8 @@ def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The context of every listed anchor: h, id, start, context, c1 and c2 (its identity)."""
+def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The context of every listed anchor: h, id, start, size, c (a hash of its bytes)."""
     for batch in text_slices(batches):
         texts = _bytes_of(batch, 1)
         windows, anchors, hashes, starts = window_anchors(texts)
@@ -123,24 +123,40 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         first = np.flatnonzero(np.diff(anchors, prepend=-1))
         last = np.append(first[1:], len(anchors)) - 1
         owner = np.searchsorted(starts, windows[first], "right") - 1
-        # Neighbouring texts never share an anchor run: an anchor lies inside its text.
+        # Neighbouring texts never share a run of windows: an anchor lies inside its text.
         chosen = np.flatnonzero(np.isin(anchors[first], wanted))
         joined = b"".join(texts)
         begin, end = windows[first[chosen]], windows[last[chosen]] + MIN_BYTES
-        contexts = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        digests = [hashlib.blake2b(c, digest_size=16).digest() for c in contexts]
-        pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        digests = b"".join(
+            hashlib.blake2b(joined[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)
+        )
         own = owner[chosen]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(hashes[anchors[first[chosen]]].view(np.int64)),
                 batch.column(0).take(pa.array(own)),
-                pa.array(begin - starts[own]),
-                pa.array(contexts, pa.binary()),
-                pa.array(pairs[:, 0]),
-                pa.array(pairs[:, 1]),
+                pa.array((begin - starts[own]).astype(np.int32)),
+                pa.array((end - begin).astype(np.int32)),
+                pa.array(np.frombuffer(digests, np.int64)),
             ],
-            ["h", "id", "start", "context", "c1", "c2"],
+            ["h", "id", "start", "size", "c"],
+        )
+
+
+def _read_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of listed contexts: h, size (of the anchor's group), id, start, context."""
+    for batch in text_slices(batches):
+        ids, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        rows = [
+            (c["h"], c["contexts"], key, c["start"], text[c["start"] : c["start"] + c["size"]])
+            for key, text, own in zip(ids, _bytes_of(batch, 1), lists, strict=True)
+            for c in own
+        ]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            ["h", "contexts", "id", "start", "context"],
         )
 
 
@@ -265,32 +281,42 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     contexts = keep(
         base.join(per_text.hint("merge"), "id")
         .select("id", "text", "places")
-        .mapInArrow(_cut_contexts, "h long, id long, start long, context binary, c1 long, c2 long"),
+        .mapInArrow(_find_contexts, "h long, id long, start int, size int, c long"),
         "contexts",
     )
-    firsts = keep(contexts.groupBy("c1", "c2", "h").agg(F.min("id").alias("first")), "first_contexts")
-    compared = contexts.join(firsts.drop("h").hint("merge"), ["c1", "c2"])
-    end = F.col("start") + F.length("context")
-    whole = compared.where("id > first").select("id", F.col("start").alias("s"), end.alias("e"))
+    # Anchor and context hash together tell contexts apart by 128 bits.
+    firsts = keep(contexts.groupBy("h", "c").agg(F.min("id").alias("first")), "first_contexts")
+    compared = contexts.join(firsts.hint("merge"), ["h", "c"])
+    end = (F.col("start") + F.col("size")).cast("long")
+    whole = compared.where("id > first").select("id", F.col("start").cast("long").alias("s"), end.alias("e"))
+    whole = keep(whole, "whole_contexts")
     groups = keep(
         firsts.groupBy("h")
-        .agg(F.count("*").alias("size"), F.min("first").alias("low"), F.max("first").alias("high"))
+        .agg(F.count("*").alias("contexts"), F.min("first").alias("low"), F.max("first").alias("high"))
         .where("low < high")
-        .select("h", "size"),
+        .select("h", "contexts"),
         "open_anchors",
     )
     leading = keep(
-        compared.where("id = first").select("h", "id", "start", "context").join(groups.hint("merge"), "h"), "leading"
+        compared.where("id = first").select("h", "id", "start", "size").join(groups.hint("merge"), "h"), "leading"
+    )
+    wanted = leading.groupBy("id").agg(F.collect_list(F.struct("h", "contexts", "start", "size")).alias("own"))
+    cut = keep(
+        base.join(wanted.hint("merge"), "id")
+        .select("id", "text", "own")
+        .mapInArrow(_read_contexts, "h long, contexts long, id long, start long, context binary"),
+        "context_bytes",
     )
-    light = (
-        leading.where(F.col("size") <= HEAVY)
+    light = keep(
+        cut.where(F.col("contexts") <= HEAVY)
         .select("h", "id", "start", "context")
         .repartition("h")
         .sortWithinPartitions("h")
-        .mapInArrow(_repeat_spans, "id long, s long, e long")
+        .mapInArrow(_repeat_spans, "id long, s long, e long"),
+        "repeat_spans",
     )
     exploded = keep(
-        leading.where(F.col("size") > HEAVY)
+        cut.where(F.col("contexts") > HEAVY)
         .select("id", "start", "context")
         .mapInArrow(_explode_windows, "id long, s long, w1 long, w2 long"),
         "heavy_windows",
