@@ -28,7 +28,7 @@ from fluxfold.llm.common import text_slices
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noembed noframes iframe xmp".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe noembed noframes object svg math canvas audio video "
+    "head title script style template noscript iframe noembed noframes object svg math canvas audio video "
     "datalist area map param".split()
 )
 BLOCKS = frozenset(
