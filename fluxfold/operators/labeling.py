@@ -81,13 +81,9 @@ def box_summary(
     return group_quantiles(logs, ["field"], quartiles, extra=limits, hot_rows=hot_rows)
 
 
-def events_by_target(tces: DataFrame, slot: int = 1000) -> DataFrame:
-    """Events of each target as arrays of at most ``slot`` events, ordered by event id.
-
-    A target with more events gets several rows, numbered ``part``.
-    """
+def events_by_target(tces: DataFrame) -> DataFrame:
+    """One row per target: its events as an array ordered by event id, and their number."""
     event = F.struct("tce_id", "epoch", "duration", "period", "secondary_phase")
-    part = F.floor((F.col("tce_id") - 1) / F.lit(slot)).alias("part")
-    return tces.groupBy("target_id", part).agg(
+    return tces.groupBy("target_id").agg(
         F.array_sort(F.collect_list(event)).alias("events"), F.count("*").alias("n")
     )

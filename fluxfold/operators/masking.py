@@ -123,11 +123,21 @@ def mark_transits(
             .withColumn("transit", F.coalesce(last, F.lit(default)))
             .drop("events_of")
         )
-    joined = join_per_key(obs, events, ["target_id"], hot, "left", _inside())
-    # The combiner keeps one mark per observation before anything is shuffled.
-    return joined.groupBy(*obs.columns).agg(
-        F.coalesce(F.max_by("label_text", "tce_id"), F.lit(default)).alias("transit")
+    # Equal observations get equal marks: they are joined once and repeated afterwards. The
+    # combiner keeps one mark per observation before anything is shuffled.
+    distinct = obs.groupBy(*obs.columns).agg(F.count("*").alias("_copies"))
+    joined = join_per_key(distinct, events, ["target_id"], hot, "left", _inside())
+    last = F.max(
+        F.when(
+            F.col("epoch").isNotNull(),
+            F.struct("tce_id", "epoch", "period", "reach", "label_text"),
+        )
+    )
+    marked = joined.groupBy(*obs.columns, "_copies").agg(
+        F.coalesce(last["label_text"], F.lit(default)).alias("transit")
     )
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))
+    return marked.select(*obs.columns, "transit", repeated.alias("_copy")).drop("_copy")
 
 
 def split_odd_even(

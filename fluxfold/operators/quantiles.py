@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fluxfold.operators.skew import HOT_ROWS, maybe_broadcast
 from fluxfold.session import materialize
 
+LARGEST = 1.7976931348623157e308
 BUCKETS = 4096
 _ALL = "_all"
 
@@ -57,6 +58,20 @@ def _ranked(
     return out.groupBy(*keys).agg(*aggs)
 
 
+def _bucket(value: Column, low: Column, high: Column) -> Column:
+    """Bucket of a value in low..high; it rises with the value, and ``high`` has its own.
+
+    So every round parts the largest value from the smallest, whatever the values are: an
+    infinite or NaN bound is cut to the largest finite number for the division, and halves keep
+    the width of the range finite.
+    """
+    bottom, top = F.greatest(low, F.lit(-LARGEST)) / 2, F.least(high, F.lit(LARGEST)) / 2
+    share = F.coalesce(F.try_divide(value / 2 - bottom, top - bottom), F.lit(0.0))
+    share = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    inner = F.least(F.floor(share * (BUCKETS - 1)), F.lit(BUCKETS - 2))
+    return F.when(value == high, F.lit(BUCKETS - 1)).otherwise(inner)
+
+
 def _select_ranks(rows: DataFrame, wanted: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Values at given ranks: ``wanted`` holds keys, _rank, _low, _high, _below, _size.
 
@@ -73,8 +88,7 @@ def _select_ranks(rows: DataFrame, wanted: DataFrame, keys: list[str], limit: in
         )
         if open_ranks.isEmpty():
             break
-        share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))
-        bucket = F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0))
+        bucket = _bucket(F.col("_v"), F.col("_low"), F.col("_high"))
         buckets = (
             near.withColumn("_bucket", bucket)
             .groupBy(*on, "_below", "_bucket")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -56,7 +57,8 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is used.
+    Only a session on one machine (master ``local``) may do without; it gets a temporary folder.
+    Elsewhere executors would write to disks that the others cannot see, so this raises.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -64,6 +66,8 @@ def shared_dir(spark: SparkSession) -> str:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(named)
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master {context.master})")
     folder = tempfile.mkdtemp(prefix="fluxfold-")
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
