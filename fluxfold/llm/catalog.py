@@ -87,8 +87,10 @@ LLM_QUERIES: dict[str, Query] = {
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 
 LLM_ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": sql.near_sql(),
     "op3_quality_rules": sql.quality_sql(),
     "op4_line_dedup": sql.line_sql(),
+    "op9_suffix_array_dedup": sql.substring_sql(),
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

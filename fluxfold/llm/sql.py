@@ -89,3 +89,70 @@ WITH lines AS (
 SELECT l.doc_id, len(l.lines) AS n_lines, coalesce(r.n_removed, 0) AS n_removed,
        coalesce(r.n_runs, 0) AS n_runs, md5(coalesce(k.text, '')) AS kept_md5
 FROM lines l LEFT JOIN runs r USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
+def near_sql(size: int = 4, percent: int = 80, source: str = "documents") -> str:
+    """Every pair that shares a shingle, then the closure of the links."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{_WORD}') AS words
+  FROM {source}
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, greatest(len(words) - {size - 1}, 1) + 1)) AS i
+  FROM split WHERE len(words) > 0
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + {size - 1}), ' ') AS gram FROM starts
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+  FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * k >= {percent} * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM {source}
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), lowest AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM lowest LEFT JOIN sizes USING (doc_id)"""
+
+
+def substring_sql(n_bytes: int = 50, source: str = "documents") -> str:
+    """Every window of every text, written in hexadecimal digits."""
+    return f"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM {source}
+), chunks AS (
+  SELECT doc_id, k, substr(digits, 800 * k + 1, 800 + {2 * n_bytes - 2}) AS part
+  FROM (SELECT doc_id, digits, unnest(range(0, len(digits) // 800 + 1)) AS k FROM texts)
+), windows AS (
+  SELECT doc_id, 400 * k + o AS p, substr(part, 2 * o + 1, {2 * n_bytes}) AS w
+  FROM (SELECT doc_id, k, part, unnest(range(0, least(400, len(part) // 2 - {n_bytes - 1}))) AS o FROM chunks)
+), lowest AS (
+  SELECT w, min(doc_id) AS first FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, p FROM windows JOIN lowest USING (w) WHERE first < doc_id
+), runs AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {n_bytes} THEN 1 ELSE 0 END AS fresh
+        FROM hits)
+), spans AS (
+  SELECT doc_id, min(p) AS s, max(p) + {n_bytes} AS e FROM runs GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e FROM spans
+  UNION ALL
+  SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(digits, 2 * s + 1, 2 * (coalesce(e, len(digits) // 2) - s)), '' ORDER BY s) AS digits
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+), totals AS (
+  SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT t.doc_id, len(t.digits) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.digits, t.digits))) AS kept_sha256
+FROM texts t LEFT JOIN totals USING (doc_id) LEFT JOIN kept k ON k.doc_id = t.doc_id"""
