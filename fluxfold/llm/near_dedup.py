@@ -232,9 +232,13 @@ def _prefixes(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     ranked = common.withColumn("rank", F.row_number().over(order)).withColumn(
         "n_common", F.count("*").over(Window.partitionBy("id"))
     )
+    # The shingles before this one: a pair is joined on its first common shingle only.
+    ranked = ranked.withColumn(
+        "before", F.collect_list("shingle").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    )
     length = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1 - (F.col("n") - F.col("n_common"))
     marks = [f"m{k}" for k in range(_MARK_WORDS)]
-    return ranked.where(F.col("rank") <= length).join(wanted, "id").select("shingle", "id", "component", "n", *marks)
+    return ranked.where(F.col("rank") <= length).join(wanted, "id").select("shingle", "id", "component", "n", "before", *marks)
 
 
 def _across(groups: DataFrame, by: str, percent: int) -> DataFrame:
@@ -250,6 +254,8 @@ def _across(groups: DataFrame, by: str, percent: int) -> DataFrame:
         n, p = 64 * _MARK_WORDS, (1 - percent / 100) / 2
         differ = sum(F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(_MARK_WORDS))
         fits = fits & (differ <= int(n * p + 5 * (n * p * (1 - p)) ** 0.5))
+    if "before" in groups.columns:
+        fits = fits & ~F.arrays_overlap("before_a", "before_b")
     a, b = renamed
     joined = a.join(b, (a[by] == b[by]) & fits)
     return joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
