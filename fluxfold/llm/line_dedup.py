@@ -9,6 +9,11 @@ or more go on; each is joined to the earliest equal window, and the later one is
 windows carry a match to its right, backward windows to its left, so together they cover exactly
 the maximal repeated runs. All steps are DataFrame functions.
 
+``MIN_CHARS`` is about three words of ordinary length and a line end: from there on a line is a
+window of its own and goes wherever it stands again, alone or not. Shorter lines (a heading of a
+word or two, ``}``, an empty line) are often equal by chance; they go only as part of a repeated run
+that reaches the length together.
+
 Rows with the same key are one document. Null keys and null or empty texts are left as they are;
 empty tables give empty results; other columns pass through ``drop_repeated_lines``.
 """
@@ -21,7 +26,7 @@ from pyspark.sql.window import Window
 
 from fluxfold.llm.common import keep, tidy_shuffles
 
-MIN_CHARS = 100
+MIN_CHARS = 25
 
 
 def _lines(text: str) -> Column:

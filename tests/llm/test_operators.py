@@ -213,6 +213,16 @@ def test_line_dedup(spark, docs):
         assert hashlib.md5((text or "").encode()).hexdigest() == report[i].kept_md5
 
 
+def test_line_dedup_of_single_lines(spark):
+    line, short = "Share this page with all your friends today.", "Menu"
+    rows = [(i, f"own text {i} of this page\n{short}\n{line}\nmore text {i} of this page") for i in range(4)]
+    rows += [(4, f"Menu\nHome page\nContact us\nown text 4\n{short}"), (5, "text 5\nMenu\nHome page\nContact us")]
+    left = {r.doc_id: r.text for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # A line too short by itself goes with its run, and only with it.
+    want = dict(rows) | {i: rows[i][1].replace(f"\n{short}\n{line}", "") for i in (1, 2, 3)} | {5: "text 5"}
+    assert left == want
+
+
 def _removed(rows):
     first, out = {}, {}
     for i, text in sorted(rows):
