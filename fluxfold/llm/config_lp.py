@@ -2,9 +2,10 @@
 
 Everything here works on counts per length, so its size depends on the capacity only, not on the
 number of pieces. Lengths above ``SAND`` are grouped into classes of ``GRAIN`` tokens, rounded up.
-The configuration program (cover every class, with as few patterns as possible) is solved by
+The configuration program (cover every class, with as few patterns as possible) is approached by
 multiplicative weights; the pattern that is worth most at the current weights comes from a
-knapsack dynamic program. The solution is rounded down, its slots are filled with true lengths,
+knapsack dynamic program. From the patterns found, exchanges in a basis lead to the dual bound.
+The solution is rounded down, its slots are filled with true lengths,
 and what is left (fractions and all small lengths) goes best-fit, longest first, into the gaps.
 """
 
@@ -18,8 +19,11 @@ import numpy as np
 
 SAND = 1536
 GRAIN = 16
-ROUNDS = 1000
-STEP = 0.1
+STEP = 0.3
+# Rounds of multiplicative weights from one knapsack to the next.
+PRICED = 16
+# Distance from the dual bound at which the program counts as solved.
+GAP = 1e-4
 
 
 class Group(NamedTuple):
@@ -32,47 +36,92 @@ class Group(NamedTuple):
 def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
     """Unbounded knapsack: copies of each size in the pattern of highest worth."""
     best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        k = upto[room]
-        if k:
-            value = best[room - sizes[:k]] + worth[:k]
-            choice = int(value.argmax())
-            if value[choice] > best[room]:
-                best[room], taken[room] = value[choice], choice
-    copies = np.zeros(len(sizes), np.int64)
+    steps = []
+    for k, size in enumerate(sizes.tolist()):
+        # One, two, four ... copies at once: together any number that fits.
+        copies, n = capacity // size, 1
+        while copies:
+            n = min(n, copies)
+            value = best[: capacity + 1 - n * size] + n * worth[k]
+            better = value > best[n * size :]
+            best[n * size :][better] = value[better]
+            steps.append((k, n, better))
+            copies, n = copies - n, 2 * n
+    pattern = np.zeros(len(sizes), np.int64)
     room = capacity
-    while room > 0:
-        if taken[room] < 0:
-            room -= 1
+    for k, n, better in reversed(steps):
+        rest = room - n * sizes[k]
+        if rest >= 0 and better[rest]:
+            pattern[k] += n
+            room = rest
+    return pattern
+
+
+def _dual_bound(weights: np.ndarray, demand: np.ndarray, pattern: np.ndarray) -> float:
+    """Scaled by the best pattern, the weights are a feasible solution of the dual program."""
+    return float(weights @ demand / (weights @ pattern))
+
+
+def _multiply_weights(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The patterns of a solution within about ``STEP`` of the optimum, and the best dual bound.
+
+    A round raises no class by more than ``rise``, and one class by that much, so the number of
+    rounds grows with K log K / STEP ** 2. Between two knapsacks the best known pattern is used.
+    """
+    k = len(sizes)
+    eta = np.log(max(2, k)) / STEP
+    rise = STEP / eta
+    known = np.diag(capacity // sizes)
+    names = {row.tobytes() for row in known}
+    covered, total, bound = np.zeros(k), 0.0, 0.0
+    for turn in range(int(2 * k / rise) + 1):
+        weights = np.exp(-eta * (covered - covered.min())) / demand
+        if turn % PRICED == 0:
+            pattern = _best_pattern(sizes, weights, capacity)
+            bound = max(bound, _dual_bound(weights, demand, pattern))
+            if turn and total <= (1 + STEP) * bound * covered.min():
+                break
+            if pattern.tobytes() not in names:
+                names.add(pattern.tobytes())
+                known = np.vstack([known, pattern])
         else:
-            copies[taken[room]] += 1
-            room -= sizes[taken[room]]
-    return copies
+            pattern = known[int((known @ weights).argmax())]
+        used = pattern > 0
+        step = rise * float((demand[used] / pattern[used]).min())
+        covered += step * pattern / demand
+        total += step
+    return known, bound
 
 
 def solve_covering(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
-    """Fractional multiplicities of patterns that cover ``demand``, and a lower bound on their sum."""
-    covered = np.zeros(len(sizes))
-    amounts: dict[tuple[int, ...], float] = {}
-    bound = 0.0
-    eta = np.log(max(2, len(sizes))) / STEP
-    for _ in range(ROUNDS):
-        weights = np.exp(-eta * (covered - covered.min())) / demand
-        pattern = _best_pattern(sizes, weights, capacity)
-        # Scaled by the best pattern, the weights are a feasible solution of the dual program.
-        bound = max(bound, float(weights @ demand / (weights @ pattern)))
-        used = pattern > 0
-        step = STEP / max(1, len(sizes)) * float((demand[used] / pattern[used]).min())
-        covered += step * pattern / demand
-        name = tuple(np.repeat(np.arange(len(sizes)), pattern))
-        amounts[name] = amounts.get(name, 0.0) + step
-        if covered.min() >= 1:
-            break
-    scale = 1 / max(covered.min(), 1e-9) if covered.min() > 0.5 else 1 / covered.max()
-    return {p: x * scale for p, x in amounts.items()}, bound
+    """Fractional multiplicities of patterns that cover ``demand``, and a lower bound on their sum.
+
+    Multiplicative weights find the patterns; a basis of them is then exchanged, column by column,
+    until the sum is within ``GAP`` of the dual bound. The two returned values tell the gap left.
+    """
+    known, bound = _multiply_weights(sizes, demand, capacity)
+    basis = np.diag(capacity // sizes).astype(float)
+    amounts = demand / np.diag(basis)
+    # The limit only guards against cycling of equal solutions.
+    for _ in range(100 * len(sizes) + 1000):
+        weights = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        worth = known @ weights
+        pattern = known[int(worth.argmax())]
+        if worth.max() <= 1 + GAP:
+            pattern = _best_pattern(sizes, np.maximum(weights, 0), capacity)
+            bound = max(bound, _dual_bound(np.maximum(weights, 0), demand, pattern))
+            if amounts.sum() <= (1 + GAP) * bound or weights @ pattern <= 1 + 1e-9:
+                break
+            known = np.vstack([known, pattern])
+        change = np.linalg.solve(basis, pattern.astype(float))
+        ratio = np.full(len(sizes), np.inf)
+        np.divide(amounts, change, out=ratio, where=change > 1e-9)
+        out = int(ratio.argmin())
+        amounts = np.maximum(amounts - ratio[out] * change, 0)
+        amounts[out] = ratio[out]
+        basis[:, out] = pattern
+    columns = basis.T.astype(np.int64)
+    return {tuple(np.repeat(np.arange(len(sizes)), p).tolist()): x for p, x in zip(columns, amounts.tolist(), strict=True) if x > 0}, bound
 
 
 class _Bins:

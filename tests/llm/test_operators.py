@@ -184,6 +184,19 @@ def test_covering_bound():
     assert 14 <= bound <= 15 + 1e-9 and 15 <= sum(amounts.values()) + 0.5
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_covering_gap_with_many_classes(seed):
+    sizes = np.arange(97, 257)
+    demand = np.random.default_rng(seed).pareto(1, len(sizes)) * 1000 + 1
+    amounts, bound = config_lp.solve_covering(sizes, demand, 256)
+    covered = np.zeros(len(sizes))
+    for pattern, amount in amounts.items():
+        assert sizes[list(pattern)].sum() <= 256
+        np.add.at(covered, list(pattern), amount)
+    assert (covered >= demand * (1 - 1e-9)).all()
+    assert sum(amounts.values()) <= (1 + 2 * config_lp.GAP) * bound
+
+
 # -- quality, lines, substrings ---------------------------------------------------------------
 
 
