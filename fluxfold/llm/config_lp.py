@@ -1,7 +1,8 @@
 """Bin patterns from a histogram of lengths: a configuration linear program, rounded.
 
 Everything here works on counts per length, so its size depends on the capacity only, not on the
-number of pieces. Lengths above ``SAND`` are grouped into classes of ``GRAIN`` tokens, rounded up.
+number of pieces. All lengths but the shortest (``SAND``) take part: the most frequent as they are,
+the others in geometric classes, rounded up.
 The configuration program (cover every class, with as few patterns as possible) is approached by
 multiplicative weights; the pattern that is worth most at the current weights comes from a
 knapsack dynamic program. From the patterns found, exchanges in a basis lead to the dual bound.
@@ -12,13 +13,17 @@ and what is left (fractions and all small lengths) goes best-fit, longest first,
 from __future__ import annotations
 
 import bisect
+import math
 from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
 
-SAND = 1536
-GRAIN = 16
+# Pieces of at most one SAND-th of the capacity fill gaps only.
+SAND = 32
+# Lengths that are classes of their own, and geometric classes of the others.
+EXACT = 96
+SHARED = 96
 STEP = 0.3
 # Rounds of multiplicative weights from one knapsack to the next.
 PRICED = 16
@@ -137,6 +142,9 @@ class _Bins:
             bisect.insort(self.rooms, room)
         self.by_room[room][lengths] += count
 
+    def count(self) -> int:
+        return sum(sum(group.values()) for group in self.by_room.values())
+
     def place(self, length: int, count: int, capacity: int) -> None:
         """Best fit: the fullest sequences that still have room, one piece each, then again."""
         while count:
@@ -164,26 +172,54 @@ class _Bins:
             count -= used
 
 
+def length_classes(left: dict[int, int], capacity: int) -> list[list[int]]:
+    """Lengths above sand by class, each sorted; the longest of a class is its size.
+
+    The lengths with the most tokens are classes of their own, the others share classes of equal
+    ratio, so the number of classes does not grow with the histogram.
+    """
+    large = sorted(length for length in left if length * SAND > capacity)
+    exact = set(sorted(large, key=lambda x: (-x * left[x], x))[:EXACT])
+    shared = [length for length in large if length not in exact]
+    per_log = SHARED / math.log((shared[-1] + 1) / shared[0]) if shared else 0.0
+    classes: dict[tuple[str, int], list[int]] = {}
+    for length in large:
+        place = ("exact", length) if length in exact else ("shared", int(per_log * math.log(length / shared[0])))
+        classes.setdefault(place, []).append(length)
+    return sorted(classes.values(), key=lambda members: members[-1])
+
+
+def _pack(left: dict[int, int], capacity: int, amounts: dict[tuple[int, ...], float], classes: list[list[int]]) -> _Bins:
+    """The patterns, rounded down, and everything else best-fit, longest first."""
+    bins, left = _Bins(), dict(left)
+    classes = [list(members) for members in classes]
+    for pattern, amount in sorted(amounts.items(), key=lambda item: -item[1]):
+        _fill(bins, [classes[c] for c in pattern], left, int(amount + 1e-6), capacity)
+    for length in sorted(left, reverse=True):
+        if left[length]:
+            bins.place(length, left[length], capacity)
+    return bins
+
+
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Group], float]:
-    """Groups of sequences that hold every piece of the histogram once, and a lower bound."""
+    """Groups of sequences that hold every piece of the histogram once, and a lower bound.
+
+    The program rounds lengths up to classes, so that best-fit alone can be better; the plan with
+    fewer sequences is returned. Best-fit within ``GAP`` of all tokens / capacity is final.
+    """
     left = {length: n for length, n in histogram.items() if n and length < capacity}
     full = histogram.get(capacity, 0)
     total = sum(length * n for length, n in left.items())
     bound = float(-(-total // capacity))
-    bins = _Bins()
-    large = sorted(length for length in left if length > SAND)
-    if large:
-        of_class: dict[int, list[int]] = {}
-        for length in large:
-            of_class.setdefault(-(-length // GRAIN), []).append(length)
-        sizes = np.array(sorted(of_class), np.int64)
-        demand = np.array([sum(left[x] for x in of_class[s]) for s in sizes], float)
-        amounts, _ = solve_covering(sizes, demand, capacity // GRAIN)
-        for pattern, amount in sorted(amounts.items(), key=lambda item: -item[1]):
-            _fill(bins, [of_class[sizes[c]] for c in pattern], left, int(amount), capacity)
-    for length in sorted(left, reverse=True):
-        if left[length]:
-            bins.place(length, left[length], capacity)
+    bins = _pack(left, capacity, {}, [])
+    classes = length_classes(left, capacity)
+    if classes and bins.count() > (1 + GAP) * bound:
+        sizes = np.array([members[-1] for members in classes], np.int64)
+        demand = np.array([sum(left[x] for x in members) for members in classes], float)
+        amounts, least = solve_covering(sizes, demand, capacity)
+        if all(len(members) == 1 for members in classes):
+            bound = max(bound, math.ceil(least * (1 - 1e-9)))
+        bins = min(bins, _pack(left, capacity, amounts, classes), key=_Bins.count)
     groups = [Group(lengths, n) for counter in bins.by_room.values() for lengths, n in counter.items()]
     if full:
         groups.append(Group((capacity,), full))

@@ -197,6 +197,17 @@ def test_covering_gap_with_many_classes(seed):
     assert sum(amounts.values()) <= (1 + 2 * config_lp.GAP) * bound
 
 
+@pytest.mark.parametrize("histogram, fewest", [({1536: 6000, 1280: 12000}, 6000), ({1365: 3000, 1366: 3000, 1000: 10}, 2250)])
+def test_plan_of_few_lengths(histogram, fewest):
+    groups, bound = config_lp.plan(histogram, 4096)
+    held = Counter()
+    for group in groups:
+        assert sum(group.lengths) <= 4096
+        held.update({length: n * group.count for length, n in Counter(group.lengths).items()})
+    assert held == histogram
+    assert sum(g.count for g in groups) == bound == fewest
+
+
 # -- quality, lines, substrings ---------------------------------------------------------------
 
 
