@@ -103,7 +103,7 @@ def _kept(prefix: str, k: int) -> Column:
     residual = F.col("_y") - _value(f"{prefix}_pieces", f"{prefix}_low", k)
     near = F.abs(residual - F.col(f"{prefix}_centre")) <= F.col(f"{prefix}_limit")
     return F.col("_y").isNotNull() & F.coalesce(
-        F.when(F.col(f"{prefix}_limit").isNull(), F.lit(True)).otherwise(near), F.lit(False)
+        F.when(F.col(f"{prefix}_set"), near).otherwise(F.lit(True)), F.lit(False)
     )
 
 
@@ -119,10 +119,11 @@ def _no_mask(fits: DataFrame, prefix: str) -> DataFrame:
         .withColumn(f"{prefix}_low", F.lit(None).cast("double"))
         .withColumn(f"{prefix}_centre", F.lit(None).cast("double"))
         .withColumn(f"{prefix}_limit", F.lit(None).cast("double"))
+        .withColumn(f"{prefix}_set", F.lit(False))
     )
 
 
-_MASK = ["pieces", "low", "centre", "limit"]
+_MASK = ["pieces", "low", "centre", "limit", "set"]
 
 
 def _outlier_limits(
@@ -144,9 +145,11 @@ def _outlier_limits(
     sigma = F.when(F.abs(sigma) <= 1e-8, F.col("_mean") * MEAN_DEVIATION_SCALE).otherwise(sigma)
     first = materialize(mad.select(*FIT, sigma.alias("_sigma")), "sigma")
     inside = F.when(F.col("_dev") <= F.col("_sigma") * F.lit(cut), F.col("_res"))
-    second = rows.join(F.broadcast(first), FIT).groupBy(*FIT, "_centre").agg(
-        (F.stddev_pop(inside) / F.lit(trim_compensation(cut)) * F.lit(cut)).alias("_limit")
-    )
+    # With nothing inside, the first deviation stays: the mask keeps no row.
+    trimmed = F.stddev_pop(inside) / F.lit(trim_compensation(cut))
+    second = rows.join(F.broadcast(first), FIT).groupBy(*FIT, "_centre", "_sigma").agg(
+        (F.coalesce(trimmed, F.col("_sigma")) * F.lit(cut)).alias("_limit")
+    ).drop("_sigma")
     return materialize(second, "limits")
 
 
@@ -218,6 +221,7 @@ def fit_large_segments(rows: DataFrame, large: DataFrame, spec, hot_rows: int) -
             fits.join(limits, FIT)
             .withColumn("new_pieces", F.col("pieces"))
             .withColumn("new_low", F.col("low"))
+            .withColumn("new_set", F.lit(True))
             .withColumnsRenamed({"_centre": "new_centre", "_limit": "new_limit"})
         )
         both = [f"{p}_{c}" for p in ("mask", "new") for c in _MASK]

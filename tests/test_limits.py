@@ -7,6 +7,7 @@ import pytest
 
 from fluxfold import session
 from fluxfold.operators import masking
+from fluxfold.operators.detrend import SplineSpec, fit_segment_splines
 from fluxfold.operators.labeling import events_by_target
 from fluxfold.operators.quantiles import group_quantiles
 
@@ -45,6 +46,22 @@ def test_marks_of_many_events(spark, monkeypatch):
     assert rows[0] == rows[1] and len(rows[0]) == 5
 
 
+@pytest.mark.parametrize("cut", [0.001, 3.0])
+def test_long_segments(spark, cut):
+    # With the small cut no residual lies inside: a mask that keeps nothing is still a mask.
+    values = [math.sin(i / 7) + 0.1 * math.sin(i * i) for i in range(60)]
+    rows = spark.createDataFrame(
+        [(1, 1, 0, i, i / 10, v) for i, v in enumerate(values)],
+        "target_id long, quarter int, segment_id long, seq long, time double, v double",
+    )
+    spec = SplineSpec(spacings=(1.5, 2.5), sigma_cut=cut)
+    plain, split = (
+        sorted(tuple(r) for r in fit_segment_splines(rows, ["v"], spec, limit).select("spacing_id", "status", "n_points").collect())
+        for limit in (1000, 20)
+    )
+    assert plain == split and [r[1] for r in plain] == ["insufficient" if cut < 1 else "ok"] * 2
+
+
 def test_one_row_per_target(spark):
     events = spark.createDataFrame(
         [(7, i, 1.0, 1.0, 2.0, None) for i in (5000, 1, 1001)],
