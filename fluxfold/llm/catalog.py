@@ -16,6 +16,7 @@ from fluxfold.llm.line_dedup import line_report
 from fluxfold.llm.near_dedup import near_duplicates
 from fluxfold.llm.packing import pack_documents
 from fluxfold.llm.quality_rules import quality_verdicts
+from fluxfold.llm.spelling import spelling_variants
 from fluxfold.llm.substring_dedup import substring_dedup
 from fluxfold.llm.token_counts import count_tokens
 from fluxfold.llm.token_files import token_file_digests
@@ -69,6 +70,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ LLM_QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_suffix_array_dedup,
         op10_benchmark_decontamination,
+        op13_spelling_variant_grouping,
     )
 }
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
@@ -91,6 +97,7 @@ LLM_ORACLES: dict[str, str] = {
     "op3_quality_rules": sql.quality_sql(),
     "op4_line_dedup": sql.line_sql(),
     "op9_suffix_array_dedup": sql.substring_sql(),
+    "op13_spelling_variant_grouping": sql.spelling_sql(),
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

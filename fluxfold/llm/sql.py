@@ -156,3 +156,58 @@ WITH texts AS (
 SELECT t.doc_id, len(t.digits) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.digits, t.digits))) AS kept_sha256
 FROM texts t LEFT JOIN totals USING (doc_id) LEFT JOIN kept k ON k.doc_id = t.doc_id"""
+
+
+def spelling_sql(source: str = "documents") -> str:
+    """Checksums by table, near words by the words they become without one letter."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                          i::BIGINT) AS c
+    FROM range(256) r(i))
+), found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[a-zÀ-ÿ]+')) AS run
+  FROM {source}
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 7 GROUP BY ALL
+), coded AS (
+  SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+           lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+                          ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS bytes
+  FROM runs
+), summed AS (
+  SELECT run, n, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT),
+                     4294967295::BIGINT) AS h
+  FROM coded, crc
+), changed AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+              ELSE run END AS word, n
+  FROM summed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), without AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT DISTINCT x.word AS a, y.word AS b, y.n
+  FROM without x JOIN without y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION
+  SELECT x.word, y.word, y.n FROM without x JOIN words y ON x.rest = y.word
+  UNION
+  SELECT y.word, x.word, x.n FROM without x JOIN words y ON x.rest = y.word
+), best AS (
+  SELECT a, count(*) AS n_near, max(n) AS top, min(b) FILTER (k = 1) AS form
+  FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM near) GROUP BY a
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN top >= 10 * n THEN form END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n
+  FROM words LEFT JOIN best ON word = a
+), walk AS (
+  SELECT word, word AS at FROM forms
+  UNION
+  SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk w USING (word) JOIN forms last ON last.word = w.at WHERE last.form IS NULL"""
