@@ -15,6 +15,7 @@ from fluxfold.llm.licenses import scan_licences
 from fluxfold.llm.line_dedup import line_report
 from fluxfold.llm.near_dedup import near_duplicates
 from fluxfold.llm.packing import pack_documents
+from fluxfold.llm.phrases import collocations
 from fluxfold.llm.quality_rules import quality_verdicts
 from fluxfold.llm.spelling import spelling_variants
 from fluxfold.llm.substring_dedup import substring_dedup
@@ -70,6 +71,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op12_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ LLM_QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_suffix_array_dedup,
         op10_benchmark_decontamination,
+        op12_phrase_collocation_mining,
         op13_spelling_variant_grouping,
     )
 }
@@ -97,6 +103,7 @@ LLM_ORACLES: dict[str, str] = {
     "op3_quality_rules": sql.quality_sql(),
     "op4_line_dedup": sql.line_sql(),
     "op9_suffix_array_dedup": sql.substring_sql(),
+    "op12_phrase_collocation_mining": sql.phrase_sql(),
     "op13_spelling_variant_grouping": sql.spelling_sql(),
 }
 if corpus_pipeline.ORACLE_SQL:

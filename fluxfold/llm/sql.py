@@ -211,3 +211,45 @@ WITH RECURSIVE crc AS (
 )
 SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
 FROM forms f JOIN walk w USING (word) JOIN forms last ON last.word = w.at WHERE last.form IS NULL"""
+
+
+def phrase_sql(min_count: int = 100, top: int = 2000, source: str = "documents") -> str:
+    """Every phrase of one to five words of every piece."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM {source}
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces
+), starts AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split
+), found AS (
+  SELECT lang, k AS size, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase
+  FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(words)
+), counted AS (
+  SELECT lang, size, phrase, count(*) AS f FROM found GROUP BY ALL HAVING count(*) >= {min_count}
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang
+), many AS (
+  SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE size > 1
+), inside AS (
+  SELECT lang, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase, max(a) AS top
+  FROM many, (SELECT unnest([1, 2, 3, 4]) AS s), (SELECT unnest([2, 3, 4]) AS k)
+  WHERE s + k - 1 <= size AND k < size GROUP BY ALL
+), whole AS (
+  SELECT many.* FROM many LEFT JOIN inside USING (lang, phrase) WHERE top IS NULL OR 100 * top < 100 * a
+), cuts AS (
+  SELECT m.lang, m.phrase, m.a, m.k, x.f AS l, y.f AS r, t.n,
+         ((1000::HUGEINT * m.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM whole) m
+  JOIN counted x ON x.lang = m.lang AND x.phrase = array_to_string(list_slice(m.w, 1, m.k), ' ')
+  JOIN counted y ON y.lang = m.lang AND y.phrase = array_to_string(list_slice(m.w, m.k + 1, m.size), ' ')
+  JOIN totals t ON t.lang = m.lang
+), lowest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cuts) WHERE o = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {top}"""
