@@ -11,6 +11,7 @@ from fluxfold.llm import sql
 from fluxfold.llm.common import read_table
 from fluxfold.llm.decontamination import contamination
 from fluxfold.llm.html_text import extract_text
+from fluxfold.llm.jaccard_join import jaccard_groups
 from fluxfold.llm.licenses import scan_licences
 from fluxfold.llm.line_dedup import line_report
 from fluxfold.llm.near_dedup import near_duplicates
@@ -71,6 +72,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op12_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ LLM_QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_suffix_array_dedup,
         op10_benchmark_decontamination,
+        op11_ngram_jaccard_join,
         op12_phrase_collocation_mining,
         op13_spelling_variant_grouping,
     )
@@ -103,6 +109,7 @@ LLM_ORACLES: dict[str, str] = {
     "op3_quality_rules": sql.quality_sql(),
     "op4_line_dedup": sql.line_sql(),
     "op9_suffix_array_dedup": sql.substring_sql(),
+    "op11_ngram_jaccard_join": sql.join_sql(),
     "op12_phrase_collocation_mining": sql.phrase_sql(),
     "op13_spelling_variant_grouping": sql.spelling_sql(),
 }

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 PACKED = "part int, size int, hashes binary, counts binary"
 #: Entries packed at once by a task.
 PACK_ENTRIES = 3_000_000
+#: Bits of a filter: 16 for each hash, within these bounds.
+FILTER_BITS = (1 << 16, 1 << 29)
 
 
 def sum_counts(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -27,6 +29,39 @@ def sum_counts(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np
     return ordered[first], np.add.reduceat(counts.astype(np.int64), first)
 
 
+class HashFilter:
+    """A bounded set of hashes with two bits for each; it may hold more than was put in."""
+
+    def __init__(self, bits: int, words: np.ndarray) -> None:
+        self.bits, self.words = bits, words
+
+    @staticmethod
+    def of(hashes: DataFrame) -> HashFilter:
+        """Built by Spark; what comes to the driver is bounded by ``FILTER_BITS``."""
+        n = hashes.count()
+        bits = min(max(1 << (16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+        mask = bits - 1
+        places = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
+        one = F.lit(1).cast("long")
+        words = (
+            hashes.select(places.alias("at"))
+            .groupBy(F.shiftright("at", 6).alias("word"))
+            .agg(F.bit_or(F.call_function("shiftleft", one, F.col("at").bitwiseAND(63).cast("int"))).alias("bits"))
+            .toArrow()
+        )
+        table = np.zeros(bits >> 6, np.int64)
+        table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        return HashFilter(bits, table.view(np.uint64))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        mask = np.uint64(self.bits - 1)
+        found = np.ones(len(hashes), bool)
+        for shift in (np.uint64(0), np.uint64(32)):
+            at = (hashes >> shift) & mask
+            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
+
 class Packer:
     """Gathers hashes of several sizes and packs their counts by hash range."""
 

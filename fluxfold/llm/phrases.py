@@ -9,7 +9,7 @@ pass finds none. What is frequent is then counted by its own letters, which no h
 scored with DataFrame joins.
 
 Passes hash words and windows with numpy. Proposals travel as a bit filter whose size is set by
-their number and bounded (``FILTER_BITS``): a false hit only counts a phrase more. Counts are added
+their number and bounded (``hash_counts.FILTER_BITS``): a false hit only counts a phrase more. Counts are added
 up per slice, packed by hash range and added up again per range, so a phrase that stands in a third
 of all rows costs a slice one entry, and no task holds more than a range.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fluxfold.llm.common import keep, tidy_shuffles
-from fluxfold.llm.hash_counts import PACKED, Packer, add_up, packing_parts
+from fluxfold.llm.hash_counts import PACKED, HashFilter, Packer, add_up, packing_parts
 from fluxfold.llm.spans import Part, part_slices, word_spans
 from fluxfold.llm.words import BY_SPACE, mix, windows
 
@@ -40,8 +40,6 @@ MAX_WORDS = 5
 MIN_COUNT = 100
 TOP = 2000
 SAMPLE_SHARE = 0.1
-#: Bits of the proposal filter: 16 for each proposal, within these bounds.
-FILTER_BITS = (1 << 16, 1 << 29)
 #: Bytes of text whose windows one range of hashes counts.
 RANGE_BYTES = 16_000_000
 #: Bytes of text whose frequent phrases are named at once.
@@ -56,39 +54,6 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D.,;:!?]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-class HashFilter:
-    """A bounded set of hashes with two bits for each; it may hold more than was put in."""
-
-    def __init__(self, bits: int, words: np.ndarray) -> None:
-        self.bits, self.words = bits, words
-
-    @staticmethod
-    def of(hashes: DataFrame) -> HashFilter:
-        """Built by Spark; what comes to the driver is bounded by ``FILTER_BITS``."""
-        n = hashes.count()
-        bits = min(max(1 << (16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-        mask = bits - 1
-        places = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
-        one = F.lit(1).cast("long")
-        words = (
-            hashes.select(places.alias("at"))
-            .groupBy(F.shiftright("at", 6).alias("word"))
-            .agg(F.bit_or(F.call_function("shiftleft", one, F.col("at").bitwiseAND(63).cast("int"))).alias("bits"))
-            .toArrow()
-        )
-        table = np.zeros(bits >> 6, np.int64)
-        table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-        return HashFilter(bits, table.view(np.uint64))
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        mask = np.uint64(self.bits - 1)
-        found = np.ones(len(hashes), bool)
-        for shift in (np.uint64(0), np.uint64(32)):
-            at = (hashes >> shift) & mask
-            found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return found
-
-
 class Windows:
     """The windows of one to five words of some parts of texts."""
 
@@ -153,7 +118,7 @@ def count_windows(
         now = None if sent.value is None else HashFilter(*sent.value)
         old = None if sent_before.value is None else HashFilter(*sent_before.value)
         packer = Packer(parts)
-        for batch, texts in part_slices(batches, "text", _SPACE, MAX_WORDS - 1):
+        for batch, texts, _ in part_slices(batches, "text", _SPACE, MAX_WORDS - 1):
             found = Windows(texts, batch.column(1).to_pylist())
             done = dict(_border(found, old, upto, sizes)) if old is not None else {}
             for size, good in _border(found, now, upto, sizes):
@@ -249,7 +214,7 @@ def name_phrases(docs: DataFrame, frequent: DataFrame, min_count: int) -> DataFr
                 ["lang", "size", "phrase", "f"],
             )
 
-        for batch, texts in part_slices(batches, "text", _SPACE, MAX_WORDS - 1):
+        for batch, texts, _ in part_slices(batches, "text", _SPACE, MAX_WORDS - 1):
             langs = batch.column(1).to_pylist()
             found = Windows(texts, langs)
             hashes, places = [], []

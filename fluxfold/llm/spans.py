@@ -55,16 +55,21 @@ def cut(row: int, raw: bytes, space: re.Pattern, ahead: int, size: int = PART_BY
 
 def part_slices(
     batches: Iterator[pa.RecordBatch], column: str, space: re.Pattern, ahead: int
-) -> Iterator[tuple[pa.RecordBatch, list[Part]]]:
-    """The batches in slices; one with a very long text comes with some of its parts at a time."""
+) -> Iterator[tuple[pa.RecordBatch, list[Part], bool]]:
+    """The batches in slices; a very long text is a slice that comes part by part, with True as long
+    as more of it follow."""
     for batch in text_slices(batches, column):
         texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         if len(raw) == 1 and len(raw[0]) > PART_BYTES:
+            last = None
             for part in cut(0, raw[0], space, ahead):
-                yield batch, [part]
+                if last is not None:
+                    yield batch, [last], True
+                last = part
+            yield batch, [last], False
         else:
-            yield batch, [Part(i, r, len(r)) for i, r in enumerate(raw)]
+            yield batch, [Part(i, r, len(r)) for i, r in enumerate(raw)], False
 
 
 def word_spans(parts: list[Part], table: bytes) -> Spans:

@@ -253,3 +253,8 @@ WITH pieces AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {top}"""
+
+
+def join_sql(size: int = 4, percent: int = 85, source: str = "documents") -> str:
+    """The closure of the links at this threshold, without the choice of a document to keep."""
+    return f"SELECT doc_id, n_shingles, component_id FROM ({near_sql(size, percent, source)})"
