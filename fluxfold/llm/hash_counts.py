@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 PACKED = "part int, size int, hashes binary, counts binary"
 #: Entries packed at once by a task.
-PACK_ENTRIES = 3_000_000
-#: Bits of a filter: 16 for each hash, within these bounds.
-FILTER_BITS = (1 << 16, 1 << 29)
+PACK_ENTRIES = 2_000_000
+#: Tasks at most; beyond, a task takes several ranges one after another.
+MAX_TASKS = 50_000
+#: Bits of a filter: 8 to 16 for each hash, within these bounds.
+FILTER_BITS = (1 << 16, 1 << 28)
 
 
 def sum_counts(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +41,7 @@ class HashFilter:
     def of(hashes: DataFrame) -> HashFilter:
         """Built by Spark; what comes to the driver is bounded by ``FILTER_BITS``."""
         n = hashes.count()
-        bits = min(max(1 << (16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+        bits = min(max(1 << (8 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
         mask = bits - 1
         places = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
         one = F.lit(1).cast("long")
@@ -122,7 +124,7 @@ def add_up(packed: DataFrame, parts: int, minimum: int) -> DataFrame:
                 held.setdefault(size, []).append((np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.uint32)))
         yield from done()
 
-    dealt = packed.repartition(parts, "part").sortWithinPartitions("part", "size")
+    dealt = packed.repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part", "size")
     return dealt.mapInArrow(combine, "size int, h long, n long")
 
 

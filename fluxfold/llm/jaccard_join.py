@@ -48,8 +48,13 @@ SHINGLE = 5
 PERCENT = 80
 
 #: Shingles of texts that one hash range aims at, and that a task gathers before it packs them.
-RANGE_SHINGLES = 4_000_000
-PACK_SHINGLES = 3_000_000
+RANGE_SHINGLES = 1_500_000
+PACK_SHINGLES = 1_000_000
+#: Hot shingles there may be: a shingle is hot above this share of all, and above a million in all.
+HOT_SHINGLES = 4_000_000
+HOT_COUNT = 1_000_000
+#: Tasks at most; beyond, a task takes several ranges one after another.
+MAX_TASKS = 50_000
 #: Postings of one shingle, or partners of one document, that one block holds.
 BLOCK = 512
 _CELLS = 1024
@@ -218,6 +223,7 @@ def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, h
             if not held:
                 return
             nodes, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.lexsort((nodes, tokens))
             nodes, tokens = nodes[order], tokens[order]
             # The same set may have come from several tasks.
@@ -247,7 +253,7 @@ def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, h
                 held.append((np.repeat(nodes, np.frombuffer(lengths, np.uint32)), tokens))
         yield from done()
 
-    dealt = texts.mapInArrow(pack, schema).repartition(parts, "part").sortWithinPartitions("part")
+    dealt = texts.mapInArrow(pack, schema).repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(meet, "node long, tokens binary, counts binary")
 
 
@@ -453,8 +459,8 @@ def jaccard_groups(
         nodes = keep(linkable.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
         total = linkable.agg(F.sum("n")).first()[0] or 0
         parts = max(1, -(-total // RANGE_SHINGLES))
-        limit = hot_limit or max(RANGE_SHINGLES // 4, total // RANGE_SHINGLES)
-        # At most RANGE_SHINGLES of them, by the limit.
+        limit = hot_limit or max(HOT_COUNT, total // HOT_SHINGLES)
+        # At most HOT_SHINGLES of them, by the limit.
         found = read.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= limit)
         table = found.orderBy("h").toArrow()
         hot = table.column("h").to_numpy().astype(np.uint64)

@@ -5,8 +5,8 @@ threshold. Proposals are closed under parts, so the border is what stands just o
 whose two parts one word shorter are proposed. A full pass counts all proposals and the whole
 border, exactly, over every row. Border phrases that reach the threshold are failures of the
 sample: they join the proposals, and a further pass counts what that adds to the border, until a
-pass finds none. What is frequent is then counted by its own letters, which no hash can blur, and
-scored with DataFrame joins.
+pass finds none. What is frequent is then named and counted once more by its letters, so that a hash
+which two phrases share in different tasks cannot blur their counts, and scored with DataFrame joins.
 
 Passes hash words and windows with numpy. Proposals travel as a bit filter whose size is set by
 their number and bounded (``hash_counts.FILTER_BITS``): a false hit only counts a phrase more. Counts are added
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fluxfold.llm.common import keep, tidy_shuffles
-from fluxfold.llm.hash_counts import PACKED, HashFilter, Packer, add_up, packing_parts
+from fluxfold.llm.hash_counts import MAX_TASKS, PACKED, HashFilter, Packer, add_up, packing_parts
 from fluxfold.llm.spans import Part, part_slices, word_spans
 from fluxfold.llm.words import BY_SPACE, mix, windows
 
@@ -42,8 +42,8 @@ TOP = 2000
 SAMPLE_SHARE = 0.1
 #: Bytes of text whose windows one range of hashes counts.
 RANGE_BYTES = 16_000_000
-#: Bytes of text whose frequent phrases are named at once.
-NAME_BYTES = 4_000_000
+#: Phrases whose counts and letters a task holds before it hands them on.
+NAMES_HELD = 400_000
 
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _IS_BREAK = np.zeros(256, bool)
@@ -176,66 +176,102 @@ def frequent_hashes(docs: DataFrame, sample: DataFrame, share: float, min_count:
     return out
 
 
+class _Names:
+    """What a task has found of each phrase: its count and, once, its letters."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
+        self.index: dict[int, int] = {}
+        self.rows: list[tuple] = []
+        self.counts: list[int] = []
+        self.words: dict[str, int] = {}
+
+    def add(self, found: Windows, size: int, at: np.ndarray, hashes: np.ndarray, langs: list[str]) -> None:
+        # Equal hashes are taken for equal letters within a task only.
+        unique, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        s = found.spans
+        blob = s.blob.tobytes()
+        for h, w, n in zip(unique.tolist(), at[first].tolist(), counts.tolist(), strict=True):
+            k = self.index.get(h)
+            if k is not None:
+                self.counts[k] += n
+                continue
+            letters = blob[s.starts[w] : s.ends[w + size - 1]].translate(_LOWER)
+            phrase = b" ".join(_SPLIT.findall(letters)).decode("utf-8", "surrogatepass")
+            self.index[h] = len(self.counts)
+            self.counts.append(n)
+            self.rows.append(((h >> 32) * self.parts >> 32, langs[found.row[w]], size, phrase))
+
+    def add_words(self, found: Windows, langs: list[str]) -> None:
+        rows, counts = np.unique(found.row[found.spans.own], return_counts=True)
+        for r, n in zip(rows.tolist(), counts.tolist(), strict=True):
+            self.words[langs[r]] = self.words.get(langs[r], 0) + n
+
+    def take(self) -> pa.RecordBatch:
+        """One row per range of hashes: phrases, counts and so on as lists."""
+        lists: dict[int, tuple[list, list, list, list]] = {}
+        words = [(0, lang, 0, "") for lang in self.words]
+        for (part, lang, size, phrase), n in zip(
+            [*self.rows, *words], [*self.counts, *self.words.values()], strict=True
+        ):
+            for held, x in zip(lists.setdefault(part, ([], [], [], [])), (lang, size, phrase, n), strict=True):
+                held.append(x)
+        self.index, self.rows, self.counts, self.words = {}, [], [], {}
+        columns = list(zip(*lists.values(), strict=True)) if lists else [[]] * 4
+        types = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(lists), pa.int32()), *(pa.array(c, pa.list_(t)) for c, t in zip(columns, types, strict=True))],
+            ["part", "langs", "sizes", "phrases", "counts"],
+        )
+
+
+_NAMED = "part int, langs array<string>, sizes array<int>, phrases array<string>, counts array<long>"
+
+
 def name_phrases(docs: DataFrame, frequent: DataFrame, min_count: int) -> DataFrame:
     """lang, size, phrase, f: exact counts by letters of what is ``frequent`` (h), from
     ``min_count`` on; the row of size 0 of each lang has the number of its words."""
     known = HashFilter.of(frequent)
     sent = docs.sparkSession.sparkContext.broadcast((known.bits, known.words))
+    parts = packing_parts(docs, "text", RANGE_BYTES)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = HashFilter(*sent.value)
-        held, size_held = [], 0
-
-        def counted():
-            totals: dict[tuple, int] = {}
-            hashes = [np.concatenate(x) for x in zip(*(h[0] for h in held), strict=True)] if held else []
-            for size, mine in enumerate(hashes, 1):
-                slices = np.repeat(np.arange(len(held)), [len(h[0][size - 1]) for h in held])
-                at = np.concatenate([h[1][size - 1] for h in held])
-                _, first, n = np.unique(mine, return_index=True, return_counts=True)
-                # Equal hashes are taken for equal letters within these few bytes only.
-                for i, k in zip(first.tolist(), n.tolist(), strict=True):
-                    found, raw, langs = held[slices[i]][2:]
-                    w = int(at[i])
-                    s = found.spans
-                    letters = raw[int(s.starts[w]) : int(s.ends[w + size - 1])].translate(_LOWER)
-                    phrase = b" ".join(_SPLIT.findall(letters)).decode("utf-8", "surrogatepass")
-                    key = (langs[found.row[w]], size, phrase)
-                    totals[key] = totals.get(key, 0) + k
-            for found, _, langs in (h[2:] for h in held):
-                rows, n = np.unique(found.row[found.spans.own], return_counts=True)
-                for r, k in zip(rows.tolist(), n.tolist(), strict=True):
-                    key = (langs[r], 0, "")
-                    totals[key] = totals.get(key, 0) + k
-            keys = list(totals)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([k[2] for k in keys], pa.string()), pa.array(list(totals.values()), pa.int64())],
-                ["lang", "size", "phrase", "f"],
-            )
-
+        now, names = HashFilter(*sent.value), _Names(parts)
         for batch, texts, _ in part_slices(batches, "text", _SPACE, MAX_WORDS - 1):
             langs = batch.column(1).to_pylist()
             found = Windows(texts, langs)
-            hashes, places = [], []
-            for size in range(1, MAX_WORDS + 1):
-                good = found.whole(size)
-                good &= found.spans.own[: len(good)]
-                here = np.flatnonzero(good)
-                mine = found.hashes(size)[here]
-                yes = now.has(mine)
-                hashes.append(mine[yes])
-                places.append(here[yes])
-            held.append((hashes, places, found, found.spans.blob.tobytes(), langs))
-            size_held += len(found.spans.blob)
-            if size_held >= NAME_BYTES:
-                yield counted()
-                held, size_held = [], 0
-        yield counted()
-
-    named = docs.mapInArrow(name, "lang string, size int, phrase string, f long")
-    summed = named.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return summed.where((F.col("size") == 0) | (F.col("f") >= min_count))
+            for size, good in _border(found, now, MAX_WORDS, range(1, MAX_WORDS + 1)):
+                at = np.flatnonzero(good & found.spans.own[: len(good)])
+                hashes = found.hashes(size)[at]
+                yes = now.has(hashes)
+                names.add(found, size, at[yes], hashes[yes], langs)
+            names.add_words(found, langs)
+            if len(names.counts) >= NAMES_HELD:
+                yield names.take()
+        yield names.take()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, totals = None, {}
+
+        def done():
+            kept = [(*k, n) for k, n in totals.items() if k[1] == 0 or n >= min_count]
+            columns = list(zip(*kept, strict=True)) if kept else [[]] * 4
+            types = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "size", "phrase", "f"]
+            )
+
+        for batch in batches:
+            for part, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    yield done()
+                    now, totals = part, {}
+                for lang, size, phrase, n in zip(*lists, strict=True):
+                    totals[lang, size, phrase] = totals.get((lang, size, phrase), 0) + n
+        yield done()
+
+    packed = docs.mapInArrow(name, _NAMED).repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
+    return packed.mapInArrow(add, "lang string, size int, phrase string, f long")
 
 
 _SPLIT = re.compile(rb"[^\x20\x09]+")
