@@ -28,7 +28,7 @@ from fluxfold.operators.segments import (
     interpolate_masked,
     split_at_gaps,
 )
-from fluxfold.operators.skew import HotKeys, join_per_key
+from fluxfold.operators.skew import HotKeys, join_per_key, maybe_broadcast
 from fluxfold.schemas import KNOT_SPACINGS
 from fluxfold.session import materialize
 
@@ -39,7 +39,7 @@ SEGMENT_ROWS = 500_000
 FIT_SCHEMA = (
     "target_id long, quarter int, segment_id long, series int, spacing_id int, spacing double, status string, "
     "n_knots int, low double, first_knot double, n_points long, ssr double, "
-    "pieces array<double>, rejected array<int>"
+    "pieces array<double>, rejected array<long>"
 )
 
 
@@ -97,7 +97,7 @@ def _fitter(spec: SplineSpec) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
-        for key, _, x, *ys in _segments(batches):
+        for key, seq, x, *ys in _segments(batches):
             for series, y in enumerate(ys):
                 flat = None
                 for i, spacing in enumerate(spec.spacings):
@@ -110,7 +110,7 @@ def _fitter(spec: SplineSpec) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
                         (*key, series, i, spacing, fit.status, fit.n_knots, fit.low,
                          x[0] + spacing, fit.n_points, fit.ssr,
                          None if fit.pieces is None else fit.pieces.ravel(),
-                         None if fit.rejected is None else fit.rejected.astype("int32"))
+                         None if fit.rejected is None else seq[fit.rejected])
                     )
             if len(rows) >= 2000:
                 yield pd.DataFrame(rows, columns=names)
@@ -127,37 +127,53 @@ def _by_segment(named: DataFrame) -> DataFrame:
     return named.repartition(tasks, *SEGMENT).sortWithinPartitions(*SEGMENT, *ORDER)
 
 
+def _exploded(fits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fits, and their rejected rows one by one; an in-task list is no longer than its segment."""
+    rows = fits.select(*SEGMENT, "series", "spacing_id", F.explode("rejected").alias("seq"))
+    return fits.drop("rejected"), rows
+
+
 def fit_segment_splines(
     rows: DataFrame, values: list[str], spec: SplineSpec = SplineSpec(),
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
+    """The fits of ``fit_and_reject`` alone."""
+    return fit_and_reject(rows, values, spec, segment_rows)[0]
+
+
+def fit_and_reject(
+    rows: DataFrame, values: list[str], spec: SplineSpec = SplineSpec(),
+    segment_rows: int = SEGMENT_ROWS,
+) -> tuple[DataFrame, DataFrame]:
     """One row per segment, value column (``series``: its position) and knot spacing: fit status,
-    points, squares and spline pieces.
+    points, squares and spline pieces; and one row (SEGMENT, series, spacing_id, seq) for each row
+    a good fit rejects.
 
     Segments of at most ``segment_rows`` rows are fitted in one task each; longer ones by sums
-    that no task gathers.
+    that no task gathers. Both give the same.
     """
     columns = [F.col(v).cast("double").alias(f"_y{i}") for i, v in enumerate(values)]
     named = rows.select(*SEGMENT, *ORDER, *columns)
     if rows.count() <= segment_rows:
-        return _by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA)
+        return _exploded(_by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA))
     large = materialize(
         rows.groupBy(*SEGMENT)
         .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > segment_rows)
-        .select(*SEGMENT),
+        .where(F.col("_n") > segment_rows),
         "long_segment_keys",
     )
     # At most (rows / segment_rows) keys.
     if large.isEmpty():
-        return _by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA)
-    short = named.join(F.broadcast(large), SEGMENT, "left_anti")
-    fits = _by_segment(short).mapInPandas(_fitter(spec), FIT_SCHEMA)
+        return _exploded(_by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA))
+    keys = maybe_broadcast(large.select(*SEGMENT), large.count())
+    short = named.join(keys, SEGMENT, "left_anti")
+    fits, rejected = _exploded(_by_segment(short).mapInPandas(_fitter(spec), FIT_SCHEMA))
     for i in range(len(values)):
-        one = named.select(*SEGMENT, "time", F.col(f"_y{i}").alias("_y"))
-        split = fit_large_segments(one, large, spec, segment_rows)
+        one = named.select(*SEGMENT, "seq", "time", F.col(f"_y{i}").alias("_y"))
+        split, out = fit_large_segments(one, large, spec, segment_rows)
         fits = fits.unionByName(split.withColumn("series", F.lit(i)))
-    return fits
+        rejected = rejected.unionByName(out.withColumn("series", F.lit(i)))
+    return fits, rejected
 
 
 def detrend_with(

@@ -1,8 +1,8 @@
 """Spline fits of segments too long for one task.
 
 A least-squares spline needs, per knot cell, only the power sums of the points in it. Executors
-add them up with map-side combining; what is gathered per fit is one row per knot cell, a number
-set by the time span and not by the rows. Outlier rounds use the exact grouped medians.
+add them up with map-side combining; per fit, the cells stream sorted into a banded solution whose
+memory is linear in the knots. Outlier rounds use the exact grouped medians.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from fluxfold.functions.robust import (
 from fluxfold.functions.spline import basis, piecewise_value, solve_cells, to_pieces
 from fluxfold.operators.quantiles import group_medians
 from fluxfold.operators.segments import SEGMENT
+from fluxfold.operators.skew import maybe_broadcast
 from fluxfold.session import materialize
 
 FIT = [*SEGMENT, "spacing_id"]
@@ -30,13 +31,16 @@ _FRAME = ["spacing", "first_knot", "n_knots"]
 
 def enough_points(counts: np.ndarray, k: int) -> bool:
     """Schoenberg-Whitney from point counts per cell: basis ``j`` lives on cells ``j-k..j``."""
+    # Points that no cell before j-k holds must be there for the first j+1 functions, and none may
+    # need a point beyond its last cell: greedy choice, one pass over the cells.
     cell, used = 0, 0
-    for j in range(counts.size + k):
+    counts = counts.tolist()
+    for j in range(len(counts) + k):
         if cell < j - k:
             cell, used = j - k, 0
-        while cell < counts.size and used >= counts[cell]:
+        while cell < len(counts) and used >= counts[cell]:
             cell, used = cell + 1, 0
-        if cell >= counts.size or cell > j:
+        if cell >= len(counts) or cell > j:
             return False
         used += 1
     return True
@@ -69,24 +73,39 @@ def solve_moments(
 
 
 def _solver(k: int):
+    """Solve the fits of a task from their cells, which come sorted by fit and cell."""
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, row, parts = None, None, []
+
+        def solved() -> pd.DataFrame:
+            # A knot cell costs 2k+2 numbers; the solution is as long.
+            size = int(row.n_knots) + 1
+            counts, sums, products = np.zeros(size), np.zeros((size, 2 * k + 1)), np.zeros((size, k + 1))
+            for cell, found, by_value in parts:
+                counts[cell], sums[cell], products[cell] = found[:, 0], found, by_value
+            knots = row.first_knot + row.spacing * np.arange(int(row.n_knots))
+            pieces = solve_moments(counts, sums, products, knots, row.low, row.high, row.spacing, k)
+            return pd.DataFrame(
+                {**{c: [getattr(row, c)] for c in FIT}, "pieces": [None if pieces is None else pieces.ravel()]}
+            )
+
         for batch in batches:
-            found = []
-            for row in batch.itertuples():
-                size = int(row.n_knots) + 1
-                counts = np.zeros(size)
-                sums = np.zeros((size, 2 * k + 1))
-                products = np.zeros((size, k + 1))
-                for cell in row.cells:
-                    counts[cell["cell"]] = cell["sums"][0]
-                    sums[cell["cell"]] = cell["sums"]
-                    products[cell["cell"]] = cell["products"]
-                knots = row.first_knot + row.spacing * np.arange(int(row.n_knots))
-                pieces = solve_moments(
-                    counts, sums, products, knots, row.low, row.high, row.spacing, k
-                )
-                found.append(None if pieces is None else pieces.ravel())
-            yield batch[FIT].assign(pieces=found)
+            if batch.empty:
+                continue
+            keys = batch[FIT].to_numpy()
+            starts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            bounds = [0, *starts.tolist(), len(keys)]
+            for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+                here = tuple(keys[begin].tolist())
+                if now is not None and here != now:
+                    yield solved()
+                    parts = []
+                own = batch.iloc[begin:end]
+                now, row = here, next(own.itertuples())
+                parts.append((own["cell"].to_numpy(), np.stack(own["sums"]), np.stack(own["products"])))
+        if now is not None:
+            yield solved()
 
     return solve
 
@@ -108,9 +127,17 @@ def _kept(prefix: str, k: int) -> Column:
 
 
 def _with_fits(base: DataFrame, fits: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of the long segments, one copy per fit. There are few long segments, and the join
-    must not gather one: the fits are the broadcast side (counted by the caller)."""
-    return base.join(F.broadcast(fits.select(*FIT, *_FRAME, *columns)), SEGMENT)
+    """Rows of the long segments, one copy per fit. There are few long segments, and the join must
+    not gather one: rows carry ``_salt`` and a fit has a copy for each of the ``_salts`` of its
+    segment. Spark broadcasts the fits instead if their measured size allows it."""
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt")
+    side = fits.select(*FIT, *_FRAME, *columns, salt)
+    return base.join(side, [*SEGMENT, "_salt"]).drop("_salt")
+
+
+def _with_numbers(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Rows (FIT, ...) with one row of ``numbers`` per fit: three numbers a fit, counted."""
+    return rows.join(maybe_broadcast(numbers, numbers.count()), FIT)
 
 
 def _no_mask(fits: DataFrame, prefix: str) -> DataFrame:
@@ -135,9 +162,7 @@ def _outlier_limits(
     )
     rows = rows.where(F.col("_res").isNotNull())
     centre = materialize(group_medians(rows, FIT, {"_centre": "_res"}, hot_rows=hot_rows), "centre")
-    rows = rows.join(F.broadcast(centre), FIT).withColumn(
-        "_dev", F.abs(F.col("_res") - F.col("_centre"))
-    )
+    rows = _with_numbers(rows, centre).withColumn("_dev", F.abs(F.col("_res") - F.col("_centre")))
     mad = group_medians(
         rows, FIT, {"_mad": "_dev"}, extra={"_mean": F.avg("_dev")}, hot_rows=hot_rows
     )
@@ -147,7 +172,7 @@ def _outlier_limits(
     inside = F.when(F.col("_dev") <= F.col("_sigma") * F.lit(cut), F.col("_res"))
     # With nothing inside, the first deviation stays: the mask keeps no row.
     trimmed = F.stddev_pop(inside) / F.lit(trim_compensation(cut))
-    second = rows.join(F.broadcast(first), FIT).groupBy(*FIT, "_centre", "_sigma").agg(
+    second = _with_numbers(rows, first).groupBy(*FIT, "_centre", "_sigma").agg(
         (F.coalesce(trimmed, F.col("_sigma")) * F.lit(cut)).alias("_limit")
     ).drop("_sigma")
     return materialize(second, "limits")
@@ -178,36 +203,38 @@ def _refit(base: DataFrame, fits: DataFrame, k: int) -> DataFrame:
         F.array(*[F.sum(p) for p in power]).alias("sums"),
         F.array(*[F.sum(F.col("_y") * p) for p in power[: k + 1]]).alias("products"),
     )
-    listed = cells.groupBy(*FIT).agg(
-        F.collect_list(F.struct("cell", "sums", "products")).alias("cells")
-    )
     frames = fits.select(*FIT, *_FRAME, "low", "high")
     schema = "target_id long, quarter int, segment_id long, spacing_id int, pieces array<double>"
-    solved = listed.join(frames, FIT).mapInPandas(_solver(k), schema)
+    by_fit = cells.join(frames, FIT).repartition(*FIT).sortWithinPartitions(*FIT, "cell")
+    solved = by_fit.mapInPandas(_solver(k), schema)
     return materialize(fits.join(solved, FIT, "left"), "refit")
 
 
-def fit_large_segments(rows: DataFrame, large: DataFrame, spec, hot_rows: int) -> DataFrame:
-    """Fits of the segments in ``large``; ``rows`` has SEGMENT, time and ``_y``.
-
-    The columns are those of the in-task fit. The list of rejected rows is left out (NULL).
-    """
+def fit_large_segments(
+    rows: DataFrame, large: DataFrame, spec, hot_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Fits of the segments in ``large`` and the rows they reject, like the in-task fit; ``rows``
+    has SEGMENT, seq, time and ``_y``, ``large`` has SEGMENT and the row count ``_n``."""
     k, cut = spec.k, float(spec.sigma_cut)
-    base = materialize(rows.join(F.broadcast(large), SEGMENT, "left_semi"), "long_segments")
+    counted = large.select(*SEGMENT, F.ceil(F.col("_n") / F.lit(hot_rows)).alias("_salts"))
+    # At most (all rows / hot_rows) segments, counted.
+    side = maybe_broadcast(counted, counted.count())
+    salted = rows.join(side, SEGMENT).withColumn("_salt", F.pmod(F.xxhash64("seq", "time"), F.col("_salts")))
+    base = materialize(salted.drop("_salts"), "long_segments")
     spacing = F.posexplode(F.array(*[F.lit(float(s)) for s in spec.spacings])).alias(
         "spacing_id", "spacing"
     )
     span = base.groupBy(*SEGMENT).agg(F.min("time").alias("_min"), F.max("time").alias("_max"))
     first = F.col("_min") + F.col("spacing")
     knots = F.greatest(F.lit(0), F.ceil((F.col("_max") - first) / F.col("spacing")).cast("int"))
-    fits = span.select(*SEGMENT, "_min", "_max", spacing).select(
-        *FIT, "spacing", first.alias("first_knot"), knots.alias("n_knots")
+    fits = span.join(counted, SEGMENT).select(*SEGMENT, "_salts", "_min", "_max", spacing).select(
+        *FIT, "_salts", "spacing", first.alias("first_knot"), knots.alias("n_knots")
     )
     fits = materialize(_refit(base, _no_mask(fits, "mask"), k), "fits")
     done: list[DataFrame] = []
 
     def finish(part: DataFrame) -> None:
-        done.append(part.select(*FIT, *_FRAME, "low", "pieces", "_n",
+        done.append(part.select(*FIT, *_FRAME, "_salts", "low", "pieces", "_n",
                                 *[f"mask_{c}" for c in _MASK]))
 
     for _ in range(spec.max_iter - 1):
@@ -258,9 +285,14 @@ def fit_large_segments(rows: DataFrame, large: DataFrame, spec, hot_rows: int) -
     few = F.coalesce("_n", F.lit(0)) <= k
     status = F.when(few, "insufficient").when(F.col("pieces").isNull(), "bad_knots").otherwise("ok")
     ok = F.col("status") == "ok"
-    return final.join(squares, FIT, "left").withColumn("status", status).select(
-        *FIT, "spacing", "status", "n_knots", "low", "first_knot",
+    judged = materialize(final.withColumn("status", status), "judged_fits")
+    rejected = _with_fits(base, judged.where(ok), mask).where(~_kept("mask", k)).select(*FIT, "seq")
+    fits = judged.join(squares, FIT, "left").select(
+        *FIT, "spacing", "status",
+        F.when(F.col("status") != "insufficient", F.col("n_knots")).otherwise(0).alias("n_knots"),
+        F.when(ok, F.col("low")).otherwise(F.lit(float("nan"))).alias("low"), "first_knot",
         F.when(ok, F.col("_n")).otherwise(0).alias("n_points"),
         F.when(ok, F.col("ssr")).otherwise(0.0).alias("ssr"),
-        "pieces", F.lit(None).cast("array<int>").alias("rejected"),
+        F.when(ok, F.col("pieces")).alias("pieces"),
     )
+    return fits, rejected

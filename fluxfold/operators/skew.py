@@ -17,7 +17,7 @@ from fluxfold.session import materialize
 
 HOT_ROWS = 2_000_000
 BROADCAST_ROWS = 1_000_000
-# Equal-width pieces are uneven where sampling is; aim below the limit.
+# Range boundaries come from a sample; aim below the limit.
 SLACK = 4
 
 
@@ -28,7 +28,7 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """The hot groups of a table: one row per key with its row count and order range."""
+    """The hot groups of a table: one row per key with its row count and number of slices."""
 
     keys: tuple[str, ...]
     order: str
@@ -39,17 +39,18 @@ class HotKeys:
     def side(self, *extra: str) -> DataFrame:
         return maybe_broadcast(self.table.select(*self.keys, *extra), self.rows)
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        """Add ``_pieces`` and ``_piece``: the time slice of a hot row; 0 for all other rows.
+    def attach(self, df: DataFrame, groups: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+        """Add ``_piece``: the slice of a hot row; 0 for all other rows.
 
-        Slices rise with the order column, so the slices of a group are contiguous.
+        The hot rows are range-partitioned by ``groups`` (the keys or finer groups) and ``order``,
+        so slices hold about the same number of rows however these crowd on the order column, and
+        the slices of a group rise with it. They are written once: whoever reads them again sees
+        the same slices.
         """
-        out = df.join(self.side("_pieces", "_low", "_width"), list(self.keys), "left")
-        slot = F.floor(F.try_divide(F.col(self.order) - F.col("_low"), F.col("_width")))
-        piece = F.greatest(F.lit(0).cast("long"), F.least(F.col("_pieces") - 1, slot))
-        return out.withColumn("_piece", F.coalesce(piece, F.lit(0).cast("long"))).drop(
-            "_low", "_width"
-        )
+        by = [*(groups or self.keys), *(order or [self.order])]
+        ranges = self.only(df).repartitionByRange(self.pieces, *by)
+        cut = materialize(ranges.withColumn("_piece", F.spark_partition_id().cast("long")), "slices")
+        return cut.unionByName(self.rest(df).withColumn("_piece", F.lit(0).cast("long")))
 
     def only(self, df: DataFrame) -> DataFrame:
         return df.join(self.side(), list(self.keys), "left_semi")
@@ -65,16 +66,10 @@ def find_hot_keys(
     limit = HOT_ROWS if hot_rows is None else hot_rows
     if df.count() <= limit:
         return None
-    low, high = F.min(order), F.max(order)
     pieces = F.ceil(F.count("*") / F.lit(limit)) * SLACK
     hot = materialize(
         df.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            low.alias("_low"),
-            pieces.alias("_pieces"),
-            ((high - low) / pieces).alias("_width"),
-        )
+        .agg(F.count("*").alias("_n"), pieces.alias("_pieces"))
         .where(F.col("_n") > limit),
         "hot_keys",
     )

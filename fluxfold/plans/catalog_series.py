@@ -268,7 +268,9 @@ def flatten_series(spark, sf):
 
 
 def _segment_mean(rows, value):
-    means = rows.groupBy(*G.SEGMENT).agg(F.avg(value).alias("trend"))
+    # The values are cents: a decimal sum is exact, whatever the order of partial sums.
+    exact = F.sum(F.col(value).cast("decimal(28,2)")).cast("double")
+    means = rows.groupBy(*G.SEGMENT).agg((exact / F.count(value)).alias("trend"))
     return rows.join(means, G.SEGMENT)
 
 
@@ -276,9 +278,10 @@ def _segment_mean(rows, value):
     "pluggable_detrender",
     f"""
     WITH {SEGMENTS_SQL}
-    SELECT target_id, quarter, seq, round(flux / avg(flux) OVER (
-             PARTITION BY target_id, quarter, segment_id), 6) AS flat
+    SELECT target_id, quarter, seq, round(flux / (
+             CAST(sum(CAST(flux AS DECIMAL(28, 2))) OVER w AS DOUBLE) / count(flux) OVER w), 6) AS flat
     FROM segments
+    WINDOW w AS (PARTITION BY target_id, quarter, segment_id)
     """,
     "obs",
 )

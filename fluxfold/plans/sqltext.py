@@ -19,7 +19,6 @@ def view_sql(
     """
     folded = rows or f"{name}_rows"
     extra = f", {key}" if key else ""
-    same = f" AND f.{key} = g.{key}" if key else ""
     define = (
         ""
         if rows
@@ -45,11 +44,15 @@ def view_sql(
            (SELECT unnest(range({num_bins})) AS bin) i
     ),
     {name}_bins AS (
-      SELECT g.target_id, g.tce_id{extra and ', g.' + key}, g.bin, {aggregate}(f.v) AS value
-      FROM {name}_grid g JOIN {folded} f
-        ON f.target_id = g.target_id AND f.tce_id = g.tce_id{same}
-       AND f.x >= g.lo AND f.x < g.hi
-       AND f.x >= g.lo + g.bin * g.s AND f.x < g.lo + g.w + g.bin * g.s
+      SELECT target_id, tce_id{extra}, bin, {aggregate}(v) AS value
+      FROM (
+        SELECT f.*, e.lo, e.w, e.s, unnest(range(
+                 greatest(0, CAST(floor((f.x - e.lo - e.w) / e.s) AS BIGINT) - 1),
+                 least({num_bins}, CAST(floor((f.x - e.lo) / e.s) AS BIGINT) + 2))) AS bin
+        FROM {folded} f JOIN {name}_frame e USING (target_id, tce_id)
+        WHERE f.x >= e.lo AND f.x < e.hi
+      )
+      WHERE x >= lo + bin * s AND x < lo + w + bin * s
       GROUP BY ALL
     ),
     {name} AS (
