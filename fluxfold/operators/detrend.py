@@ -290,11 +290,13 @@ def flatten_series(
     hot: HotKeys | None = None,
     hot_rows: int | None = None,
     segment_rows: int = SEGMENT_ROWS,
+    trends: bool = False,
 ) -> DataFrame:
     """Divide each series by its best spline; the events do not take part in the fit.
 
     ``values`` maps an output column to a series column. Adds ``<out>`` and ``<out>_status``:
-    "ok", or "no_fit" for a target no spacing fits (its output is NULL).
+    "ok", or "no_fit" for a target no spacing fits (its output is NULL), and with ``trends`` the
+    value of the spline as ``<out>_trend``.
     """
     columns = ["target_id", "quarter", "seq", "time", *dict.fromkeys(values.values())]
     rows = prepare_segments(obs.select(*columns), events, gap, width, hot)
@@ -314,7 +316,10 @@ def flatten_series(
     out = join_per_key(rows.drop(*ys, *diffs), chosen_fits(fits, best, count), SEGMENT, hot, "left")
     results = {}
     for i, (name, value) in enumerate(values.items()):
-        results[name] = F.try_divide(F.col(value), fit_value(F.col(f"fit{i}"), spec.k))
+        trend = fit_value(F.col(f"fit{i}"), spec.k)
+        results[name] = F.try_divide(F.col(value), trend)
+        if trends:
+            results[f"{name}_trend"] = trend
         results[f"{name}_status"] = F.col(f"status{i}")
     extra = [f"{c}{i}" for i in range(count) for c in ("fit", "status")]
     return out.withColumns(results).drop(*extra)

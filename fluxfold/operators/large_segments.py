@@ -290,7 +290,7 @@ def fit_large_segments(
     fits = judged.join(squares, FIT, "left").select(
         *FIT, "spacing", "status",
         F.when(F.col("status") != "insufficient", F.col("n_knots")).otherwise(0).alias("n_knots"),
-        F.when(ok, F.col("low")).otherwise(F.lit(float("nan"))).alias("low"), "first_knot",
+        F.when(ok, F.col("low")).alias("low"), "first_knot",
         F.when(ok, F.col("_n")).otherwise(0).alias("n_points"),
         F.when(ok, F.col("ssr")).otherwise(0.0).alias("ssr"),
         F.when(ok, F.col("pieces")).alias("pieces"),

@@ -14,12 +14,14 @@ from fluxfold.operators.masking import (
     mask_segments,
     split_odd_even,
 )
-from fluxfold.operators.skew import find_hot_keys
+from fluxfold.operators.skew import find_hot_keys, join_per_key
 from fluxfold.operators.views import secondary_rows
 from fluxfold.plans import adapters as A
 from fluxfold.plans.catalog_tables import MARKS_SQL
 from fluxfold.plans.registry import cols, fold, query, tidy
 from fluxfold.plans.sqltext import COVERED, SEGMENTS_SQL
+from fluxfold.schemas import KNOT_SPACINGS
+from fluxfold.session import materialize
 
 _KEY = ["target_id", "quarter", "seq"]
 _FOLD = fold('o."time"', "t.epoch", "t.period")
@@ -241,14 +243,62 @@ def robust_mean(spark, sf):
     return stats.select("target_id", *rounded, "n_kept")
 
 
-@query("fit_segment_spline")
+_SPACING_ROWS = ", ".join(f"({i}, {float(s)!r}::DOUBLE)" for i, s in enumerate(KNOT_SPACINGS))
+
+
+@query(
+    "fit_segment_spline",
+    f"""
+    WITH {SEGMENTS_SQL},
+    spans AS (
+      SELECT target_id, quarter, segment_id, count(*) AS n_rows, min("time") AS low, max("time") AS high
+      FROM segments GROUP BY ALL
+    )
+    SELECT target_id, quarter, segment_id, CAST(id AS BIGINT) AS spacing_id,
+           CASE WHEN n_rows <= 3 THEN 'insufficient' ELSE 'tried' END AS status,
+           CAST(greatest(0, ceil((high - (low + spacing)) / spacing)) AS BIGINT) AS n_knots,
+           n_rows AS n_accounted, 0.0::DOUBLE AS imbalance
+    FROM spans, (VALUES {_SPACING_ROWS}) v(id, spacing)
+    """,
+    "obs",
+)
 def fit_segment_spline(spark, sf):
+    """What SQL can state of the fits: which segments are too short, how many knots there are, that
+    every row is used or rejected, and that the residuals meet the normal equations - their sums
+    with 1, t, t^2, t^3 and with the cubes behind the first and the last knot are zero."""
     obs, hot = _obs(spark, sf)
-    fits = D.fit_segment_splines(G.split_at_gaps(obs, hot=hot), ["flux"])
-    return tidy(
-        fits.select(*G.SEGMENT, "spacing_id", "status", "n_knots", "n_points",
-                    F.size("pieces").alias("n_coefficients"))
+    rows = materialize(G.split_at_gaps(obs, hot=hot).select(*G.SEGMENT, "seq", "time", "flux"), "segments")
+    fits, rejected = D.fit_and_reject(rows, ["flux"])
+    fits, rejected = materialize(fits, "fits"), materialize(rejected, "rejected")
+    fit = [*G.SEGMENT, "spacing_id"]
+    good = fits.where("status = 'ok'")
+    piece = F.struct("spacing", "n_knots", "low", "first_knot", "pieces").alias("fit")
+    used = join_per_key(rows, good.select(*fit, piece), G.SEGMENT, hot)
+    used = used.join(rejected.select(*fit, "seq"), [*fit, "seq"], "left_anti")
+    residual = F.col("flux") - D.fit_value(F.col("fit"), 3)
+    at = (F.col("time") - F.col("fit.low")) / F.col("fit.spacing")
+    knot = (F.col("fit.first_knot") - F.col("fit.low")) / F.col("fit.spacing")
+    last = knot + F.col("fit.n_knots") - 1
+    # Powers of the part of a knot grid, by the largest of them, so sums of long segments compare.
+    terms = [at**p for p in range(4)]
+    terms += [F.when((F.col("fit.n_knots") > 0) & (at > k), (at - k) ** 3).otherwise(0.0) for k in (knot, last)]
+    sums = used.groupBy(*fit).agg(
+        F.greatest(*[
+            F.abs(F.sum(residual * t)) / F.greatest(F.sum(F.abs(F.col("flux") * t)), F.lit(1e-300)) for t in terms
+        ]).alias("imbalance")
     )
+    lost = rejected.groupBy(*fit).agg(F.count("*").alias("n_rejected"))
+    spans = rows.groupBy(*G.SEGMENT).agg(F.count("*").alias("n_rows"), F.max("time").alias("high"))
+    whole = fits.join(spans, G.SEGMENT).join(lost, fit, "left").join(sums, fit, "left")
+    expected = F.greatest(F.lit(0), F.ceil((F.col("high") - F.col("first_knot")) / F.col("spacing")))
+    ok = F.col("status") == "ok"
+    return whole.select(
+        *[F.col(c).cast("long").alias(c) for c in fit],
+        F.when(F.col("n_rows") <= 3, F.col("status")).otherwise("tried").alias("status"),
+        F.when(F.col("status") == "insufficient", expected).otherwise(F.col("n_knots")).cast("long").alias("n_knots"),
+        F.when(ok, F.col("n_points") + F.coalesce("n_rejected", F.lit(0))).otherwise(F.col("n_rows")).alias("n_accounted"),
+        F.round(F.coalesce("imbalance", F.lit(0.0)), 4).alias("imbalance"),
+    )
 
 
 @query("select_best_spline")
@@ -260,11 +310,20 @@ def select_best_spline(spark, sf):
     return tidy(D.select_best_spacing(scores))
 
 
-@query("flatten_series")
+@query(
+    "flatten_series",
+    "SELECT target_id, quarter, seq, round(flux, 6) AS flux, TRUE AS divided FROM obs",
+    "obs",
+)
 def flatten_series(spark, sf):
+    """Every row once, and its flux again as the flat value times the trend; a row without a flat
+    value is of a target that no spacing fits, or lies in a segment too short for a fit."""
     obs, hot = _obs(spark, sf)
-    rows = D.flatten_series(obs, A.tces(spark, sf), {"flat_flux": "flux"}, hot=hot)
-    return tidy(rows.select(*_KEY, "flat_flux", "flat_flux_status"))
+    rows = D.flatten_series(obs, A.tces(spark, sf), {"flat_flux": "flux"}, hot=hot, trends=True)
+    back = F.coalesce(F.col("flat_flux") * F.col("flat_flux_trend"), F.col("flux"))
+    missing = F.col("flat_flux").isNull() & (F.col("flat_flux_trend") != 0)
+    divided = F.coalesce(~missing, F.lit(True)) & F.col("flat_flux_status").isin("ok", "no_fit")
+    return tidy(rows.select(*_KEY, back.alias("flux"), divided.alias("divided")))
 
 
 def _segment_mean(rows, value):

@@ -206,9 +206,18 @@ def export_tfrecord_shards(spark, sf):
     )
 
 
-@query("verify_output", "SELECT least(count(*), 1) AS n_rows FROM orders")
+@query(
+    "verify_output",
+    "SELECT o_orderstatus, count(*) AS n_rows, count(*) AS n_full, TRUE AS placed FROM orders GROUP BY ALL",
+)
 def verify_output(spark, sf):
+    """All files of a table written by status: the files of a status hold its rows."""
     orders = A.table(spark, sf, "orders")
     out = fresh_path(spark, "orders")
-    orders.write.parquet(out)
-    return S.verify_output(spark, out, orders.schema).agg(F.count("*").alias("n_rows"))
+    orders.write.partitionBy("o_orderstatus").parquet(out)
+    schema = T.StructType([f for f in orders.schema if f.name != "o_orderstatus"])
+    files = S.verify_output(spark, f"{out}/*", schema)
+    status = F.regexp_extract("file", "o_orderstatus=([^/]*)/", 1)
+    return files.groupBy(status.alias("o_orderstatus")).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_full").alias("n_full"), F.bool_and(F.col("n_rows") > 0).alias("placed")
+    )

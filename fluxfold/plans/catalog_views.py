@@ -303,34 +303,73 @@ def normalize_view_median_std(spark, sf):
     return tidy(N.normalize_view_by_std(raw, ["value"], std))
 
 
+#: Views of one value, as (name, shape, SQL shape, column).
+_PLAIN_VIEWS = (
+    ("local_flux", V.LOCAL_VIEW, LOCAL, "flux"),
+    ("global_flux", V.GLOBAL_VIEW, GLOBAL, "flux"),
+    ("local_centroid_shift", V.LOCAL_VIEW, LOCAL, "centroid_x"),
+    ("global_centroid_shift", V.GLOBAL_VIEW, GLOBAL, "centroid_x"),
+)
+
+
 def _named_views(spark, sf, names):
-    """The local view under each name: enough to check how views are combined and joined."""
+    """The raw views as (target_id, tce_id, view_name, view) rows."""
     obs, tces, hot = _inputs(spark, sf)
-    raw = V.folded_view(obs, tces, V.LOCAL_VIEW, {"view": "flux"}, hot)
-    arrays = V.view_arrays(raw, KEY, ["view"])
-    entries = F.array(*[F.struct(F.lit(n).alias("view_name"), F.col("view")) for n in names])
-    return arrays.select(*KEY, F.inline(entries)), tces
+    parts = []
+    for name, spec, _, column in _PLAIN_VIEWS:
+        if name in names:
+            rows = V.folded_view(obs, tces, spec, {"view": column}, hot)
+            parts.append(V.view_arrays(rows, KEY, ["view"]).withColumn("view_name", F.lit(name)))
+    if "odd_flux" in names:
+        rows = V.odd_even_views(obs, tces, V.LOCAL_VIEW, "flux", hot).withColumnRenamed("value", "view")
+        name = F.when(F.col("even"), "even_flux").otherwise("odd_flux")
+        arrays = V.view_arrays(rows, [*KEY, "even"], ["view"])
+        parts.append(arrays.select(*KEY, "view", name.alias("view_name")))
+    if "secondary_flux" in names:
+        rows = V.secondary_views(obs, tces, V.LOCAL_VIEW, "flux", hot).withColumnRenamed("value", "view")
+        parts.append(V.view_arrays(rows, KEY, ["view"]).withColumn("view_name", F.lit("secondary_flux")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, tces
+
+
+def _total_sql(view: str, name: str, where: str = "TRUE") -> str:
+    # A missing bin is NaN in the arrays, and so is the total.
+    value = "sum(coalesce(value, 'nan'::DOUBLE))"
+    return f"{name}_t AS (SELECT target_id, tce_id, count(*) AS n, round({value}, 6) AS total FROM {view} WHERE {where} GROUP BY ALL)"
+
+
+_PLAIN_SQL = ", ".join(
+    f"{view_sql(name, *shape, value=column)}, {_total_sql(name, name)}" for name, _, shape, column in _PLAIN_VIEWS
+)
+
+
+def _total(name: str) -> F.Column:
+    return F.round(F.aggregate(name, F.lit(0.0), lambda a, x: a + x), 6)
 
 
 @query(
     "combine_views",
     f"""
-    WITH {LOCAL_VIEW_SQL}
-    SELECT target_id, tce_id, CAST(count(*) AS BIGINT) AS n_first,
-           CAST(count(*) AS BIGINT) AS n_second, round(sum(value), 4) AS total
-    FROM local_view GROUP BY ALL
+    WITH {_PLAIN_SQL}
+    SELECT l.target_id, l.tce_id, l.n AS n_local, g.n AS n_global, l.total AS local_total,
+           g.total AS global_total, c.total AS centroid_total
+    FROM local_flux_t l JOIN global_flux_t g USING (target_id, tce_id)
+    JOIN local_centroid_shift_t c USING (target_id, tce_id)
     """,
     "obs tces",
 )
 def combine_views_query(spark, sf):
-    named, _ = _named_views(spark, sf, ("first", "second"))
-    wide = combine_views(named, ("first", "second"))
-    total = F.aggregate("second", F.lit(0.0), lambda a, x: a + x)
+    names = ("global_flux", "local_centroid_shift", "local_flux")
+    wide = combine_views(_named_views(spark, sf, names)[0], names)
     return wide.select(
         *KEY,
-        F.size("first").cast("long").alias("n_first"),
-        F.size("second").cast("long").alias("n_second"),
-        F.round(total, 4).alias("total"),
+        F.size("local_flux").cast("long").alias("n_local"),
+        F.size("global_flux").cast("long").alias("n_global"),
+        _total("local_flux").alias("local_total"),
+        _total("global_flux").alias("global_total"),
+        _total("local_centroid_shift").alias("centroid_total"),
     )
 
 
@@ -347,12 +386,14 @@ def _feature_sql() -> str:
         for n in _FEATURE_SCALARS
     ]
     columns = ", ".join(f"{p} AS {n}" for p, n in zip(picks, _FEATURE_SCALARS, strict=True))
+    totals = ", ".join(f"{n}_t.total AS {n}" for n in VIEW_NAMES)
+    joins = " ".join(f"JOIN {n}_t ON {n}_t.target_id = t.target_id AND {n}_t.tce_id = t.tce_id" for n in VIEW_NAMES)
     return f"""
-    WITH {LOCAL_VIEW_SQL},
-    totals AS (SELECT target_id, tce_id, round(sum(value), 4) AS total FROM local_view GROUP BY ALL)
-    SELECT t.target_id || '-' || t.tce_id AS id, {columns}, v.total
-    FROM totals v JOIN tces t ON t.target_id = v.target_id AND t.tce_id = v.tce_id
-    JOIN stellar s ON s.id = t.target_id
+    WITH {_PLAIN_SQL}, {_PARITY_ROWS} {view_sql("p", *LOCAL, rows="parity_rows", key="even")},
+    {_total_sql("p", "odd_flux", "NOT even")}, {_total_sql("p", "even_flux", "even")},
+    {_SECONDARY_ROWS} {view_sql("q", *LOCAL, rows="second_rows", events="moved")}, {_total_sql("q", "secondary_flux")}
+    SELECT t.target_id || '-' || t.tce_id AS id, {columns}, {totals}
+    FROM tces t JOIN stellar s ON s.id = t.target_id {joins}
     """
 
 
@@ -360,8 +401,7 @@ def _feature_sql() -> str:
 def join_features_query(spark, sf):
     named, tces = _named_views(spark, sf, VIEW_NAMES)
     rows = join_features(combine_views(named), tces, A.stellar(spark, sf))
-    total = F.round(F.aggregate("odd_flux", F.lit(0.0), lambda a, x: a + x), 4).alias("total")
-    return tidy(rows.select("id", *_FEATURE_SCALARS, total))
+    return tidy(rows.select("id", *_FEATURE_SCALARS, *[_total(n).alias(n) for n in VIEW_NAMES]))
 
 
 @query("create_features")

@@ -141,5 +141,16 @@ def download_manifest(
 
 
 def verify_output(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """At most one row of a written table, read with the schema it should have."""
-    return spark.read.schema(schema).parquet(path).limit(1)
+    """One row per file of a written table: its rows, read in full with the schema they should
+    have, and of how many the values of all columns could be read and are not NULL.
+
+    A file that cannot be read with that schema fails the job with its name.
+    """
+    rows = spark.read.schema(schema).parquet(path)
+    full = F.lit(True)
+    for field in schema:
+        full = full & F.col(field.name).isNotNull()
+    name = F.input_file_name()
+    return rows.select(name.alias("file"), full.alias("full")).groupBy("file").agg(
+        F.count("*").alias("n_rows"), F.count_if("full").alias("n_full")
+    )

@@ -15,9 +15,11 @@ from fluxfold.plans.catalog import ORACLES, QUERIES
 from fluxfold.plans.features import FeatureSpec, create_features
 from fluxfold.schemas import FEATURES, VIEW_NAMES
 
-ROWS_ONLY = {"fit_segment_spline", "select_best_spline", "flatten_series", "create_features"}
+ROWS_ONLY = {"select_best_spline", "create_features"}
 # Spline fits, binary codecs and the record format have no expression form.
-PYTHON_QUERIES = ROWS_ONLY | {"ingest_light_curve_files", "export_tfrecord_shards"}
+PYTHON_QUERIES = ROWS_ONLY | {
+    "fit_segment_spline", "flatten_series", "ingest_light_curve_files", "export_tfrecord_shards"
+}
 
 
 @pytest.fixture(scope="module")

@@ -1,15 +1,22 @@
 """Size limits choose between plans and never between results."""
 
 import math
+import time
 from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fluxfold import session
+from fluxfold.functions.spline import Frame, solve_banded
 from fluxfold.operators import masking
-from fluxfold.operators.detrend import SplineSpec, fit_segment_splines
+from fluxfold.operators import segments as G
+from fluxfold.operators.detrend import SplineSpec, fit_and_reject, fit_segment_splines
 from fluxfold.operators.labeling import events_by_target
 from fluxfold.operators.quantiles import group_quantiles
+from fluxfold.operators.skew import find_hot_keys
 
 INF, NAN = math.inf, math.nan
 
@@ -83,3 +90,86 @@ def test_no_local_folder_on_a_cluster(monkeypatch, tmp_path, master, ok):
     else:
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             session.shared_dir(faked)
+
+
+@pytest.mark.parametrize("burst", [False, True])
+def test_long_segments_in_all_columns(spark, burst):
+    rng = np.random.default_rng(8)
+    frames = []
+    for target, n in ((1, 500), (2, 260), (3, 30)):
+        # A burst: nearly all points within a hundredth of the time, and one far from all others.
+        x = np.sort(np.concatenate([rng.uniform(0, 0.1 if burst else 9, n - 40), rng.uniform(0, 9, 39), [12.0]]) if n > 40 else rng.uniform(0, 9, n))
+        y = 20 + np.sin(x) + rng.normal(0, 0.3, n)
+        y[::41] += 9
+        y[5] = np.nan
+        frames.append(pd.DataFrame({"target_id": target, "quarter": 1, "segment_id": 0, "time": x, "v": y}))
+    data = pd.concat(frames, ignore_index=True)
+    data.insert(3, "seq", np.arange(len(data)) + 1000)
+    schema = "target_id long, quarter int, segment_id long, seq long, time double, v double"
+    rows = spark.createDataFrame(data, schema).withColumn("v", F.expr("if(isnan(v), null, v)"))
+    spec = SplineSpec(spacings=(0.4, 1.7, 20.0), max_iter=4)
+    found = []
+    for limit in (10**6, 60):
+        fits, rejected = fit_and_reject(rows, ["v"], spec, limit)
+        out = {(r.target_id, r.spacing_id): r for r in fits.collect()}
+        found.append((out, sorted((r.target_id, r.spacing_id, r.seq) for r in rejected.collect())))
+    (whole, some), (split, others) = found
+    assert whole.keys() == split.keys() and some == others and some
+    for key, a in whole.items():
+        b = split[key].asDict()
+        assert b.keys() == a.asDict().keys()
+        for name, x in a.asDict().items():
+            same = x == b[name] if not isinstance(x, (float, list)) else np.allclose(x, b[name], rtol=1e-4, atol=1e-5, equal_nan=True)
+            assert same, (key, name, x, b[name])
+    assert {r.status for r in whole.values()} >= {"ok"}
+
+
+@pytest.mark.parametrize("kind", ["burst", "outlier", "ties"])
+def test_slices_follow_the_rows(spark, kind):
+    n, limit = 2000, 100
+    at = np.linspace(0, 1e-3, n)
+    if kind == "outlier":
+        at[-1] = 1e9
+    elif kind == "ties":
+        at[:] = np.repeat([1.0, 2.0], n // 2)
+    flux = np.where(np.arange(n) % 7 == 3, np.nan, np.arange(n) % 50)
+    data = pd.DataFrame({"target_id": 1, "quarter": 1, "seq": np.arange(n), "time": at, "flux": flux})
+    data["masked"] = np.arange(n) % 11 < 4
+    obs = spark.createDataFrame(data).withColumn("flux", F.expr("if(isnan(flux), null, flux)"))
+    hot = find_hot_keys(obs, ["target_id"], "time", limit)
+    sizes = [r["count"] for r in hot.attach(obs, None, ["time", "seq"]).groupBy("_piece").count().collect()]
+    assert max(sizes) <= limit and sum(sizes) == n
+    for gap in (1e-7, 0.5):
+        plain, cut = G.split_at_gaps(obs, gap), G.split_at_gaps(obs, gap, hot)
+        for make in (
+            lambda rows, h: rows,
+            lambda rows, h: G.scaled_diffs(rows, "flux", 2.0, h),
+            lambda rows, h: G.interpolate_masked(rows, {"filled": "flux"}, hot=h),
+        ):
+            a, b = make(plain, None), make(cut, hot)
+            names = sorted(a.columns)
+            assert sorted(map(repr, a.select(*names).collect())) == sorted(map(repr, b.select(*names).collect()))
+
+
+def test_banded_solution():
+    rng = np.random.default_rng(9)
+    for k, n, batch in ((1, 1, ()), (2, 7, ()), (3, 40, (5,)), (5, 9, (2, 3))):
+        full = np.zeros((*batch, n, n))
+        for d in range(k + 1):
+            i = np.arange(max(0, n - d))
+            full[..., i, i + d] = full[..., i + d, i] = rng.normal(0, 1, (*batch, i.size))
+        full += 2 * (k + 1) * 4 * np.eye(n)
+        band = np.zeros((*batch, k + 1, n))
+        for d in range(min(k, n - 1) + 1):
+            band[..., d, : n - d] = np.diagonal(full, d, -2, -1)
+        x = rng.normal(0, 1, (*batch, n))
+        assert np.allclose(solve_banded(band, (full @ x[..., None])[..., 0]), x)
+    # A spline of a hundred thousand cells: seconds, and no matrix.
+    cells, k = 100_000, 3
+    x = np.sort(rng.uniform(0, cells, 8 * cells))
+    knots = np.arange(1.0, cells)
+    frame = Frame(x, knots, x[0], x[-1], k)
+    start = time.perf_counter()
+    coef = frame.coefficients(np.sin(x / 3), np.ones(x.size, bool))
+    assert time.perf_counter() - start < 60
+    assert np.abs(frame.values(coef) - np.sin(x / 3)).max() < 1e-3
