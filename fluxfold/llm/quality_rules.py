@@ -149,7 +149,11 @@ def quality_verdicts(
 ) -> DataFrame:
     """``key``, the counts, one ``ok_`` column per rule, base_failed and kept."""
     judged = _judged(docs, rules, [key], text)
-    return judged.select(F.col("source")[key].alias(key), *judged.columns[1:])
+    names = judged.columns[1:]
+    # A filter on a verdict would be pushed down, and with it copies of all the expressions that it
+    # stands for; one value with a row number in it stays whole, and the filter above it.
+    whole = F.struct(F.col("source")[key].alias(key), *names, F.monotonically_increasing_id().alias("_row"))
+    return judged.select(whole.alias("_verdict")).select(*[F.col("_verdict")[c].alias(c) for c in (key, *names)])
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
