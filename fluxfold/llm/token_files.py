@@ -63,7 +63,12 @@ def write_token_files(
 
         for batch in text_slices(batches):
             ids, counts = encode.encode(batch.column(1).to_pylist())
-            ids = np.insert(ids, np.cumsum(counts), end_id)
+            # One end id behind each document.
+            ends = np.cumsum(counts) + np.arange(len(counts))
+            own, ids = ids, np.full(len(ids) + len(counts), end_id, ids.dtype)
+            place = np.ones(len(ids), bool)
+            place[ends] = False
+            ids[place] = own
             keys += batch.column(0).to_pylist()
             parts.append(ids)
             lengths.append(counts + 1)

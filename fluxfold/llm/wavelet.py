@@ -41,7 +41,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     for level in range(planes - 1, -1, -1):
         ones = (order & kind(1 << level)) != 0
         out.append(_pack(np.packbits(ones, bitorder="little").tobytes()))
-        order = np.concatenate([order[~ones], order[ones]])
+        order = np.concatenate([np.compress(~ones, order), np.compress(ones, order)])
     return b"".join(out)
 
 
