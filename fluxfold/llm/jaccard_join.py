@@ -144,13 +144,14 @@ def _read_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
-    """node, tokens, counts: per document and range, the shingles that other sets have too.
+    """bucket, nodes, totals, tokens, counts: per range and bucket of documents, the shingles that
+    other sets have too, with the size of the set they are of.
 
     A token is the upper 48 bits of a shingle's hash; two shingles with one token only count as
     more frequent than they are.
     """
     sent = texts.sparkSession.sparkContext.broadcast((hot, hot_counts))
-    schema = "part int, nodes binary, lengths binary, high binary, low binary, hot binary"
+    schema = "part int, nodes binary, totals binary, lengths binary, high binary, low binary, hot binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +162,7 @@ def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, h
         def packed():
             rows = []
             nodes = np.array(list(held), np.int64)
+            totals = np.array([len(t) for t in held.values()], np.uint32)
             tokens = np.concatenate([*held.values(), np.zeros(0, np.uint64)])
             owner = np.repeat(np.arange(len(nodes)), [len(t) for t in held.values()])
             if len(hot_tokens):
@@ -168,7 +170,7 @@ def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, h
                 is_hot = hot_tokens[at] == tokens
                 for k in np.unique(owner[is_hot]).tolist():
                     mine = tokens[is_hot & (owner == k)]
-                    rows.append((int(nodes[k]) % parts, nodes[k].tobytes(), None, None, None, mine.tobytes()))
+                    rows.append((int(nodes[k]) % parts, nodes[k].tobytes(), totals[k].tobytes(), None, None, None, mine.tobytes()))
                 tokens, owner = tokens[~is_hot], owner[~is_hot]
             part = ((tokens >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
             order = np.argsort(part.astype(np.uint32), kind="stable")
@@ -182,11 +184,11 @@ def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, h
                     lengths = np.diff(np.append(first, len(here))).astype(np.uint32)
                     own = tokens[start:end]
                     rows.append((
-                        p, nodes[here[first]].tobytes(), lengths.tobytes(), (own >> np.uint64(16)).astype(np.uint32).tobytes(),
+                        p, nodes[here[first]].tobytes(), totals[here[first]].tobytes(), lengths.tobytes(), (own >> np.uint64(16)).astype(np.uint32).tobytes(),
                         (own & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), None,
                     ))
                 start = end
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             return pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names
             )
@@ -206,73 +208,82 @@ def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, h
         hot_tokens, counts_of = sent.value
         now, held = None, []
 
-        def rows_of(nodes, tokens, counts):
-            """One row per node; the arrays are in order of nodes."""
-            first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else []
-            ends = np.append(first[1:], len(nodes)) if len(nodes) else []
+        def rows_of(*columns):
+            """One row per bucket of nodes; ``columns`` are nodes, totals, tokens, counts."""
+            bucket = columns[0].view(np.uint64) % np.uint64(parts)
+            order = np.lexsort((columns[0], bucket))
+            bucket = bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+            ends = np.append(first[1:], len(bucket)) if len(bucket) else []
+            columns = [c[order] for c in columns]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(nodes[first] if len(nodes) else [], pa.int64()),
-                    pa.array([tokens[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+                    pa.array(bucket[first].astype(np.int32) if len(bucket) else [], pa.int32()),
+                    *(pa.array([c[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for c in columns),
                 ],
-                ["node", "tokens", "counts"],
+                ["bucket", "nodes", "totals", "tokens", "counts"],
             )
 
         def done():
             if not held:
                 return
-            nodes, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+            nodes, totals, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.lexsort((nodes, tokens))
-            nodes, tokens = nodes[order], tokens[order]
+            nodes, totals, tokens = nodes[order], totals[order], tokens[order]
             # The same set may have come from several tasks.
             new = np.concatenate([[True], (nodes[1:] != nodes[:-1]) | (tokens[1:] != tokens[:-1])])
-            nodes, tokens = nodes[new], tokens[new]
+            nodes, totals, tokens = nodes[new], totals[new], tokens[new]
             first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             lengths = np.diff(np.append(first, len(tokens)))
             counts = np.repeat(lengths, lengths)
             shared = counts > 1
-            nodes, tokens, counts = nodes[shared], tokens[shared], counts[shared]
-            order = np.argsort(nodes, kind="stable")
-            yield rows_of(nodes[order], tokens[order].view(np.int64), counts[order].astype(np.int64))
+            yield rows_of(nodes[shared], totals[shared], tokens[shared].view(np.int64), counts[shared].astype(np.int64))
 
         for batch in batches:
-            for part, nodes, lengths, high, low, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, nodes, totals, lengths, high, low, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     yield from done()
                     now, held = part, []
-                nodes = np.frombuffer(nodes, np.int64)
+                nodes, totals = np.frombuffer(nodes, np.int64), np.frombuffer(totals, np.uint32)
                 if found is not None:
                     tokens = np.frombuffer(found, np.uint64)
                     counts = counts_of[np.searchsorted(hot_tokens, tokens)]
-                    yield rows_of(np.repeat(nodes, len(tokens)), tokens.view(np.int64), counts)
+                    both = (np.repeat(x, len(tokens)) for x in (nodes, totals))
+                    yield rows_of(*both, tokens.view(np.int64), counts)
                     continue
                 tokens = np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(16)
                 tokens |= np.frombuffer(low, np.uint16)
-                held.append((np.repeat(nodes, np.frombuffer(lengths, np.uint32)), tokens))
+                lengths = np.frombuffer(lengths, np.uint32)
+                held.append((np.repeat(nodes, lengths), np.repeat(totals, lengths), tokens))
         yield from done()
 
     dealt = texts.mapInArrow(pack, schema).repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "node long, tokens binary, counts binary")
+    return dealt.mapInArrow(meet, "bucket int, nodes binary, totals binary, tokens binary, counts binary")
 
 
-def _postings(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _postings(shared: DataFrame, parts: int, percent: int) -> DataFrame:
     """token, node, n, place (from 1 in the set's order), c0, c1, ...: the prefixes, and per posting
     which cells hold an odd number of the shingles behind it.
 
     Shingles of one set only come first and are not in ``shared``; all it needs is their number.
     """
     cells = [f"c{k}" for k in range(_CELL_WORDS)]
-    gathered = shared.groupBy("node").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, n, tokens, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(b"".join(tokens), np.int64)
-                # Copies of a set that came with different lists of hot shingles are the same.
-                order = np.lexsort((own, np.frombuffer(b"".join(counts), np.int64)))
-                own = own[order]
+        now, held = None, []
+
+        def done():
+            if not held:
+                return
+            nodes, totals, tokens, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((tokens, counts, nodes))
+            nodes, totals, tokens = nodes[order], totals[order], tokens[order]
+            first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+            for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(nodes)], strict=True):
+                node, n, own = int(nodes[begin]), int(totals[begin]), tokens[begin:end]
+                # Copies of a set bring their hot shingles each.
                 own = own[np.concatenate([[True], own[1:] != own[:-1]])]
                 alone = n - len(own)
                 length = prefix_length(n, percent) - alone
@@ -294,11 +305,17 @@ def _postings(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
                     ["token", "node", "n", "place", *cells],
                 )
 
-    return (
-        gathered.join(sizes.hint("merge"), "node")
-        .select("node", "n", "tokens", "counts")
-        .mapInArrow(rank, "token long, node long, n long, place long, " + ", ".join(f"{c} long" for c in cells))
-    )
+        for batch in batches:
+            for bucket, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from done()
+                    now = bucket
+                types = (np.int64, np.uint32, np.int64, np.int64)
+                held.append(tuple(np.frombuffer(c, t) for c, t in zip(columns, types, strict=True)))
+        yield from done()
+
+    dealt = shared.repartition(min(parts, MAX_TASKS), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(rank, "token long, node long, n long, place long, " + ", ".join(f"{c} long" for c in cells))
 
 
 def _needed(percent: int) -> Column:
@@ -404,7 +421,7 @@ def similar_links(
     """(labels, links) of the sets ``nodes`` (node, n, id): links are verified pairs that join all
     sets that links of any kind join. None where no prefix shingle is shared."""
     shared = keep(_shared_shingles(texts, size, parts, hot, hot_counts), "shared_shingles")
-    made = keep(_postings(shared, nodes.select("node", "n"), percent), "prefixes")
+    made = keep(_postings(shared, parts, percent), "prefixes")
     several = keep(made.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "lists")
     plain = keep(made.select("token", "node", "n").join(several.hint("merge"), "token"), "postings")
     wanted = keep(plain.groupBy("node").agg(F.sum("size").alias("company")), "candidates")
