@@ -158,9 +158,9 @@ class WaveletMatrix:
         order = np.zeros(self.n, kind)
         for level, plane in enumerate(reversed(self.planes)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
-            zeros = self.n - int(np.count_nonzero(ones))
+            first, second = np.flatnonzero(~ones), np.flatnonzero(ones)
             before = np.empty(self.n, kind)
-            before[~ones] = order[:zeros]
-            before[ones] = order[zeros:] | kind(1 << level)
+            before[first] = order[: len(first)]
+            before[second] = order[len(first) :] | kind(1 << level)
             order = before
         return self.symbols[order]
