@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +18,9 @@ from fluxfold.plans.sqltext import LOCAL_VIEW_SQL, RANKED_SPLIT_SQL
 from fluxfold.schemas import ARCHIVE_URL, LONG_CADENCE_PREFIXES
 from fluxfold.session import fresh_path
 from fluxfold.sources import tables as S
-from fluxfold.sources.fits import decode_files, encode_file
+from fluxfold.sources.convert import convert_files
+from fluxfold.sources.convert import scan_file_by_id as scan_one_id
+from fluxfold.sources.fits import encode_file
 from fluxfold.sources.sinks import TrainingRecords, write_feature_splits
 from fluxfold.streaming.ingest import ingest_available
 
@@ -74,27 +77,71 @@ def csv_convert(spark, sf):
     return tidy(S.csv_convert(spark, source, out, orders.schema, columns))
 
 
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    arrays = ["TIME", "PDCSAP_FLUX", "MOM_CENTR1", "MOM_CENTR2"]
-    for batch in batches:
-        files = []
-        for row in batch.to_dict("records"):
-            meta = {"KEPLERID": int(row["KEPLERID"]), "QUARTER": int(row["QUARTER"])}
-            path = f"kplr{meta['KEPLERID']:09d}-{meta['QUARTER']}_llc.fits"
-            files.append((path, encode_file("LIGHTCURVE", {c: row[c] for c in arrays}, meta)))
-        yield pd.DataFrame(files, columns=["path", "content"])
+def _file_writer(folder: str):
+    """Write every row as one light-curve file below ``folder``; hands on its name."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrays = ["TIME", "PDCSAP_FLUX", "MOM_CENTR1", "MOM_CENTR2"]
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        for batch in batches:
+            names = []
+            for row in batch.to_dict("records"):
+                meta = {"KEPLERID": int(row["KEPLERID"]), "QUARTER": int(row["QUARTER"])}
+                first = "none" if not len(row["TIME"]) else f"{row['TIME'][0]:.6f}"
+                name = f"kplr{meta['KEPLERID']:09d}-{meta['QUARTER']}-{first}_llc.fits"
+                data = encode_file("LIGHTCURVE", {c: row[c] for c in arrays}, meta)
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(data)
+                names.append(name)
+            yield pd.DataFrame({"name": names})
+
+    return write
+
+
+def _uri(path: str) -> str:
+    return path if ":" in path else f"file://{path}"
+
+
+def _light_curve_files(spark, sf) -> str:
+    """The observations as real files, one per target and quarter, in the shared folder."""
+    folder = fresh_path(spark, "light_curves")
+    # Small rows, much work per row: spread before the Python step.
+    series = A.raw_series(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    series.mapInPandas(_file_writer(_uri(folder)), "name string").agg(F.count("*")).first()
+    return folder
 
 
 @query(
     "ingest_light_curve_files",
-    f"SELECT {cols('target_id quarter ~time ~flux ~centroid_x ~centroid_y')} FROM obs",
+    f"SELECT {cols('target_id quarter ~time ~flux ~centroid_x ~centroid_y')} FROM obs WHERE target_id > 0",
     "obs",
 )
 def ingest_light_curve_files(spark, sf):
-    # Small rows, much work per row: spread before the Python step.
-    series = A.raw_series(spark, sf).repartition(spark.sparkContext.defaultParallelism)
-    files = series.mapInPandas(_encode, "path string, content binary")
-    return tidy(explode_series(map_series(decode_files(files))).drop("seq"))
+    """Real files, converted by target: the even targets in a first run, the others in a second.
+
+    A number of zeros only is no target id.
+    """
+    source, out = _light_curve_files(spark, sf), fresh_path(spark, "converted")
+    progress = fresh_path(spark, "progress")
+    for glob in ("kplr????????[02468]-*.fits", "*.fits"):
+        series = convert_files(spark, source, out, progress, glob=glob)
+    return tidy(explode_series(map_series(series.drop("target"))).drop("seq"))
+
+
+@query(
+    "scan_file_by_id",
+    "SELECT o_orderpriority AS id, o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders "
+    "WHERE o_orderpriority = '2-HIGH'",
+)
+def scan_file_by_id(spark, sf):
+    """A table written with a folder per id, read back for one of them by its path."""
+    orders = A.table(spark, sf, "orders")
+    out = fresh_path(spark, "orders_by_id")
+    orders.write.partitionBy("o_orderpriority").parquet(out)
+    schema = T.StructType([f for f in orders.schema if f.name in ("o_orderkey", "o_totalprice")])
+    rows = scan_one_id(spark, f"{out}/*", "2-HIGH", schema, pattern=r"(?<=o_orderpriority=)[^/]+")
+    return tidy(rows.select(F.lit("2-HIGH").alias("id"), *schema.names))
 
 
 @query(
