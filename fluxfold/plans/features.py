@@ -20,7 +20,7 @@ from fluxfold.operators.normalize import (
     views_std,
 )
 from fluxfold.operators.skew import HotKeys, find_hot_keys
-from fluxfold.operators.splitting import hash_split
+from fluxfold.operators.splitting import SPLITS, hash_split
 from fluxfold.operators.views import (
     EVENT_KEY,
     GLOBAL_VIEW,
@@ -156,12 +156,26 @@ def create_features(
     stellar: DataFrame,
     spec: FeatureSpec = FeatureSpec(),
     hot_rows: int | None = None,
+    splits: DataFrame | None = None,
 ) -> DataFrame:
-    """Feature rows plus their ``split``. Nothing passes through the driver but row counts."""
+    """Feature rows plus their ``split``. Nothing passes through the driver but row counts.
+
+    ``splits`` (target_id, split) gives the split of each target instead of the hash of its id:
+    events of targets it does not name are left out, a target in two splits has rows in both;
+    repeated rows, NULLs and other names of splits
+    count for nothing.
+    """
     obs = obs.withColumn("centroid_shift", centroid_distance(F.col("centroid_x"),
                                                              F.col("centroid_y")))
     hot = find_hot_keys(obs, ["target_id"], "time", hot_rows)
-    splits = split_targets(tces, spec)
+    given = splits is not None
+    if given:
+        splits = splits.select("target_id", "split").dropna().distinct()
+        known = splits.where(F.col("split").isin(*SPLITS))
+        splits = materialize(known, "splits")
+        tces = tces.join(splits, "target_id", "left_semi")
+    else:
+        splits = split_targets(tces, spec)
     train = splits.where(F.col("split") == "train")
     if spec.detrend:
         # Read by every view below: written once, so no fit runs twice.
@@ -184,5 +198,8 @@ def create_features(
     )
     stars = normalize_scalars(stellar, train, "id", ["id"], spec.sigma_cut)
     rows = join_features(views, scalars, stars)
+    if given:
+        named = splits.select(F.col("target_id").alias("tce_target_id"), "split")
+        return rows.join(named, "tce_target_id").select(*rows.columns, "split")
     split = hash_split(F.col("tce_target_id"), spec.test_size, spec.validation_size, spec.seed)
     return rows.withColumn("split", split)

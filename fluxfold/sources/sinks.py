@@ -19,6 +19,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from fluxfold.session import materialize
+
 FORMATS = ("parquet", "json", "tfrecord")
 
 
@@ -31,6 +33,8 @@ def write_feature_splits(df: DataFrame, output: str, format: str = "parquet") ->
         raise ValueError(f"format must be one of {FORMATS}, got {format}")
     if format == "tfrecord":
         df.sparkSession.dataSource.register(TrainingRecords)
+        # One run of the plan; the filters below read the written rows.
+        df = materialize(df, "features")
         for split in ("train", "test", "validation"):
             rows = df.where(df["split"] == split).drop("split")
             rows.write.format("tfrecord").mode("overwrite").save(f"{output}/split={split}")

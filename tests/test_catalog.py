@@ -69,3 +69,18 @@ def test_features(spark):
         by_target.setdefault(row.tce_target_id, set()).add(row.split)
     assert all(len(s) == 1 for s in by_target.values())
     assert df.where(F.col("tce_period").isNull()).count() == 0
+
+
+def test_features_with_given_splits(spark):
+    obs, tces, stars = (f(spark, SMALL) for f in (A.observations, A.tces, A.stellar))
+    spec = FeatureSpec(detrend=False)
+    place = F.element_at(F.array(*map(F.lit, ("train", "test", "validation", "other"))),
+                         (F.col("target_id") % 4 + 1).cast("int"))
+    given = tces.select("target_id", place.alias("split"))  # One row per event: repeated.
+    nulls = spark.createDataFrame([(None, "train"), (5, None)], "target_id long, split string")
+    rows = create_features(obs, tces, stars, spec, splits=given.unionByName(nulls))
+    assert [f.name for f in rows.schema] == [*FEATURES.names, "split"]
+    got = {(r.tce_target_id, r.id): r.split for r in rows.select("tce_target_id", "id", "split").collect()}
+    assert len(got) == tces.where("target_id % 4 <> 3").count() == rows.count()
+    names = ("train", "test", "validation")
+    assert all(split == names[target % 4] for (target, _), split in got.items())
