@@ -1,7 +1,8 @@
 """Detrending: spline fits per segment, choice of the knot spacing per target, flattening.
 
 The fit of a segment is the only step outside the JVM: rows stream through Arrow sorted by
-segment, so a task holds one segment at a time. Everything else - the noise level, the choice
+segment, so a task holds one long segment or a group of short ones, fitted in one stack, at a
+time. Everything else - the noise level, the choice
 among the spacings, the evaluation of the chosen spline - is DataFrame work.
 """
 
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fluxfold.functions.batched import fit_segments
 from fluxfold.functions.periodic import EventWidth, bic, width_adjusted
-from fluxfold.functions.spline import fit_segment, piecewise_value
+from fluxfold.functions.spline import SegmentFit, fit_segment, piecewise_value
 from fluxfold.operators.large_segments import fit_large_segments
 from fluxfold.operators.masking import flag_events
 from fluxfold.operators.normalize import mad_sigma
@@ -35,6 +37,9 @@ from fluxfold.session import materialize
 SQRT_2 = 1.4142135623730951
 # Rows of a segment that one task may hold.
 SEGMENT_ROWS = 500_000
+# Segments of at most so many rows are fitted together, this many at a time.
+SHORT_ROWS = 200
+TOGETHER = 1_000
 
 FIT_SCHEMA = (
     "target_id long, quarter int, segment_id long, series int, spacing_id int, spacing double, status string, "
@@ -95,28 +100,52 @@ def _segments(batches: Iterator[pd.DataFrame], limit: int = SEGMENT_ROWS) -> Ite
 def _fitter(spec: SplineSpec) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     names = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fits_of(curves: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[SegmentFit]]:
+        """For each spacing, the fit of every curve (times, values)."""
+        flat: dict[int, SegmentFit] = {}
+        for spacing in spec.spacings:
+            # All spacings wider than a segment give the same knot-free fit.
+            wide = [x[0] + spacing >= x[-1] for x, _ in curves]
+            found = [flat.get(i) if w else None for i, w in enumerate(wide)]
+            todo = [i for i, fit in enumerate(found) if fit is None]
+            some = [curves[i] for i in todo]
+            if len(some) > 1:
+                new = fit_segments(some, spacing, spec.k, spec.max_iter, spec.sigma_cut)
+            else:
+                new = [fit_segment(x, y, spacing, spec.k, spec.max_iter, spec.sigma_cut) for x, y in some]
+            for i, fit in zip(todo, new, strict=True):
+                found[i] = fit
+                if wide[i]:
+                    flat[i] = fit
+            yield found
+
+    def rows_of(group: list[tuple]) -> pd.DataFrame:
+        """All fits of some segments (key, seq, times, values...)."""
         rows: list[tuple] = []
-        for key, seq, x, *ys in _segments(batches):
-            for series, y in enumerate(ys):
-                flat = None
-                for i, spacing in enumerate(spec.spacings):
-                    # All spacings wider than the segment give the same knot-free fit.
-                    wide = x[0] + spacing >= x[-1]
-                    if not (wide and flat):
-                        fit = fit_segment(x, y, spacing, spec.k, spec.max_iter, spec.sigma_cut)
-                        flat = fit if wide else None
-                    rows.append(
-                        (*key, series, i, spacing, fit.status, fit.n_knots, fit.low,
-                         x[0] + spacing, fit.n_points, fit.ssr,
-                         None if fit.pieces is None else fit.pieces.ravel(),
-                         None if fit.rejected is None else seq[fit.rejected])
-                    )
-            if len(rows) >= 2000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+        for series in range(len(group[0]) - 3):
+            curves = [(segment[2], segment[3 + series]) for segment in group]
+            for i, (spacing, fits) in enumerate(zip(spec.spacings, fits_of(curves), strict=True)):
+                rows += [
+                    (*key, series, i, spacing, fit.status, fit.n_knots, fit.low,
+                     x[0] + spacing, fit.n_points, fit.ssr,
+                     None if fit.pieces is None else fit.pieces.ravel(),
+                     None if fit.rejected is None else seq[fit.rejected])
+                    for (key, seq, x, *_), fit in zip(group, fits, strict=True)
+                ]
+        return pd.DataFrame(rows, columns=names)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: list[tuple] = []
+        for segment in _segments(batches):
+            if len(segment[1]) > SHORT_ROWS:
+                yield rows_of([segment])
+                continue
+            group.append(segment)
+            if len(group) == TOGETHER:
+                yield rows_of(group)
+                group = []
+        if group:
+            yield rows_of(group)
 
     return fit
 
