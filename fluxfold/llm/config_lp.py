@@ -204,22 +204,24 @@ def _pack(left: dict[int, int], capacity: int, amounts: dict[tuple[int, ...], fl
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Group], float]:
     """Groups of sequences that hold every piece of the histogram once, and a lower bound.
 
-    The program rounds lengths up to classes, so that best-fit alone can be better; the plan with
-    fewer sequences is returned. Best-fit within ``GAP`` of all tokens / capacity is final.
+    The program is solved and rounded whatever the histogram. It rounds lengths up to classes, so
+    best-fit alone can still need fewer sequences; then that plan is returned.
     """
     left = {length: n for length, n in histogram.items() if n and length < capacity}
     full = histogram.get(capacity, 0)
     total = sum(length * n for length, n in left.items())
     bound = float(-(-total // capacity))
-    bins = _pack(left, capacity, {}, [])
     classes = length_classes(left, capacity)
-    if classes and bins.count() > (1 + GAP) * bound:
+    amounts: dict[tuple[int, ...], float] = {}
+    if classes:
         sizes = np.array([members[-1] for members in classes], np.int64)
         demand = np.array([sum(left[x] for x in members) for members in classes], float)
         amounts, least = solve_covering(sizes, demand, capacity)
         if all(len(members) == 1 for members in classes):
             bound = max(bound, math.ceil(least * (1 - 1e-9)))
-        bins = min(bins, _pack(left, capacity, amounts, classes), key=_Bins.count)
+    bins = _pack(left, capacity, amounts, classes)
+    if bins.count() > bound:
+        bins = min(bins, _pack(left, capacity, {}, []), key=_Bins.count)
     groups = [Group(lengths, n) for counter in bins.by_room.values() for lengths, n in counter.items()]
     if full:
         groups.append(Group((capacity,), full))

@@ -178,6 +178,20 @@ def test_plan_holds_every_piece(seed):
     assert sum(g.count for g in groups) <= 1.01 * bound + 1
 
 
+def test_plan_always_solves_the_program(monkeypatch):
+    calls = []
+    solve = config_lp.solve_covering
+    monkeypatch.setattr(config_lp, "solve_covering", lambda *a: calls.append(a) or solve(*a))
+    # Filler enough for best-fit alone to meet the bound, and a histogram without it.
+    for histogram in ({2048: 40, 700: 90, 3: 5000}, {3000: 5, 2000: 7}):
+        groups, bound = config_lp.plan(histogram, 4096)
+        assert sum(g.count for g in groups) <= 1.02 * bound + 1
+    assert len(calls) == 2
+    # Nothing above filler size, or nothing at all: there is no program.
+    assert config_lp.plan({}, 4096)[0] == [] and sum(g.count for g in config_lp.plan({5: 900}, 4096)[0]) == 2
+    assert len(calls) == 2
+
+
 def test_covering_bound():
     amounts, bound = config_lp.solve_covering(np.array([6, 5, 4]), np.array([10.0, 10.0, 10.0]), 10)
     # 6 + 4 and 5 + 5 fill every sequence: 15 are needed.
