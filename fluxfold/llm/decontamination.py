@@ -7,10 +7,12 @@ and every block meets all documents inside Arrow tasks, so no text is shuffled a
 with a hot passage. Every seed that matches fixes an alignment of item and text; there the words
 are compared one by one, and the windows with enough equal words make up the overlap.
 
-Words are runs of ASCII letters, digits and anything beyond ASCII, A-Z lower-cased. Items of fewer
-than ``MIN_ITEM_WORDS`` words (or null text) say nothing and are left out; an item of fewer than
-13 words must be there word for word. Null texts have no overlap, repeated rows are judged
-each, empty tables give empty results, and other columns pass through ``drop_contaminated``.
+Words are runs of ASCII letters, digits and anything beyond ASCII, A-Z lower-cased. Items of 8 to
+12 words must be there with as large a share of equal words as a window (one substitution in 8 or 9
+words, two in 10 to 12); a shorter mask finds each such place. Items of 3 to 7 words must be there
+word for word and are found by the hash of all their words. One or two words (or null text) are
+everyday language, not a passage, and find nothing. Null texts have no overlap, repeated rows are
+judged each, empty tables give empty results, and other columns pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -26,11 +28,16 @@ from pyspark.sql import functions as F
 from fluxfold.llm.common import text_slices
 from fluxfold.llm.words import ALPHANUMERIC, hash_words, windows
 
-#: Ones are compared, zeros may differ.
+#: Ones are compared, zeros may differ. A substitution spoils at most three of the places of
+#: ``SHORT_MASK``, which has five in 8 words and seven in 10.
 MASKS = ("11101011", "11001111")
+SHORT_MASK = "1101"
 WINDOW = 13
 MIN_MATCH = 0.8
-MIN_ITEM_WORDS = 8
+#: Items below ``EXACT_BELOW`` words are compared whole, word for word.
+EXACT_BELOW = 8
+MIN_ITEM_WORDS = 3
+ALL_MASKS = (*MASKS, SHORT_MASK, *("1" * n for n in range(MIN_ITEM_WORDS, EXACT_BELOW)))
 #: Characters of benchmark text that are handed to the tasks at once.
 BLOCK_CHARS = 4_000_000
 _FILTER_BITS = 22
@@ -46,6 +53,8 @@ class Block(NamedTuple):
     seed_items: np.ndarray
     seed_places: np.ndarray
     present: np.ndarray
+    #: The masks (positions in ALL_MASKS) that have seeds here.
+    masks: tuple[int, ...]
 
 
 def _offsets(mask: str) -> tuple[int, ...]:
@@ -53,18 +62,27 @@ def _offsets(mask: str) -> tuple[int, ...]:
 
 
 def _seeded(hashes: np.ndarray, k: int) -> np.ndarray:
-    return windows(hashes, _offsets(MASKS[k])) + np.uint64(k)
+    return windows(hashes, _offsets(ALL_MASKS[k])) + np.uint64(k)
+
+
+def _masks_of(n_words: int) -> list[int]:
+    """The masks that find an item of so many words, as positions in ALL_MASKS."""
+    if n_words < MIN_ITEM_WORDS:
+        return []
+    if n_words < EXACT_BELOW:
+        return [ALL_MASKS.index("1" * n_words, len(MASKS) + 1)]
+    return [len(MASKS)] if n_words < WINDOW else list(range(len(MASKS)))
 
 
 def make_block(items: list[tuple[int | None, str | None]]) -> Block:
     words = hash_words([text for _, text in items], ALPHANUMERIC)
     seeds, owners, places = [], [], []
+    used: set[int] = set()
     for i in range(len(items)):
         own = words.hashes[words.bounds[i] : words.bounds[i + 1]]
-        if len(own) < MIN_ITEM_WORDS:
-            continue
-        for k in range(len(MASKS)):
+        for k in _masks_of(len(own)):
             found = _seeded(own, k)
+            used.add(k)
             seeds.append(found)
             owners.append(np.full(len(found), i))
             places.append(np.arange(len(found)))
@@ -74,7 +92,9 @@ def make_block(items: list[tuple[int | None, str | None]]) -> Block:
     seeds_sorted = flat[0][order].astype(np.uint64)
     present[(seeds_sorted >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
     ids = np.array([-1 if i is None else i for i, _ in items], np.int64)
-    return Block(words.hashes, words.bounds, ids, seeds_sorted, flat[1][order], flat[2][order], present)
+    return Block(
+        words.hashes, words.bounds, ids, seeds_sorted, flat[1][order], flat[2][order], present, tuple(sorted(used))
+    )
 
 
 def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> list:
@@ -105,7 +125,7 @@ def _aligned(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, i
         return None
     equal = doc[first + shift : last + shift] == item[first:last]
     sums = np.concatenate([[0], np.cumsum(equal)])
-    needed = MIN_MATCH * size if size == WINDOW else size
+    needed = MIN_MATCH * size if size >= EXACT_BELOW else size
     good = np.flatnonzero(sums[size:] - sums[:-size] >= needed)
     if not len(good):
         return None
@@ -117,8 +137,8 @@ def overlaps(block: Block, texts: list[str | None]) -> list[list[Overlap]]:
     """Per text, one overlap for every item and alignment that passes."""
     words = hash_words(texts, ALPHANUMERIC)
     out: list[list[Overlap]] = [[] for _ in texts]
-    candidates = []
-    for k in range(len(MASKS)):
+    candidates = [np.zeros((0, 3), np.int64)]
+    for k in block.masks:
         found = _seeded(words.hashes, k)
         maybe = np.flatnonzero(block.present[(found >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         low = np.searchsorted(block.seeds, found[maybe], "left")
@@ -129,7 +149,7 @@ def overlaps(block: Block, texts: list[str | None]) -> list[list[Overlap]]:
         seed = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         text = np.searchsorted(words.bounds, at, "right") - 1
         # A window must not run over the end of its text.
-        inside = at + len(MASKS[k]) <= words.bounds[text + 1]
+        inside = at + len(ALL_MASKS[k]) <= words.bounds[text + 1]
         at, seed, text = at[inside], seed[inside], text[inside]
         shift = at - words.bounds[text] - block.seed_places[seed]
         candidates.append(np.stack([text, block.seed_items[seed], shift], axis=1))

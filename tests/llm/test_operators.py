@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their defined results for odd input."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -395,6 +396,55 @@ def test_decontamination(spark, docs):
     assert contamination(frame, bench.limit(0)).count() == 0
 
 
+def _leaks(doc, item):
+    """(start, words, equal words) of every alignment of two word lists, window by window."""
+    size = min(len(item), 13)
+    needed = size if size < 8 else -(-size * 8 // 10)
+    for shift in range(-len(item) + size, len(doc) - size + 1):
+        equal = {i: doc[i] == item[i - shift] for i in range(max(0, shift), min(len(doc), shift + len(item)))}
+        starts = [i for i in equal if i + size - 1 in equal and sum(equal[j] for j in range(i, i + size)) >= needed]
+        if starts and size >= 3:
+            reach = range(starts[0], starts[-1] + size)
+            yield starts[0], len(reach), sum(equal[i] for i in reach)
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    items = [[rng.choice(words) for _ in range(n)] for n in [*range(1, 25), 3, 8, 10, 12] for _ in range(2)]
+    docs = []
+    for i in range(4 * len(items)):
+        doc = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        part = list(items[i % len(items)])
+        for at in rng.sample(range(len(part)), min(len(part), i // len(items))):
+            part[at] = "changed"
+        docs.append(doc[:20] + part + doc[20:])
+    # One item inside a text of more than one Arrow slice, and a repeated item.
+    docs.append([rng.choice(words) + "x" for _ in range(90_000)] + items[30])
+    items.append(items[30])
+    want = sorted((d, i, *leak) for d, doc in enumerate(docs[:-1]) for i, item in enumerate(items) for leak in _leaks(doc, item))
+    far = [(len(docs) - 1, i, 90_000, len(items[30]), len(items[30])) for i in (30, len(items) - 1)]
+    frame = spark.createDataFrame([(d, " ".join(doc)) for d, doc in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    got = sorted(tuple(r) for r in contamination(frame, bench).collect())
+    assert [g for g in got if g[0] < len(docs) - 1] == want
+    assert set(far) <= set(got)
+    found = {len(items[g[1]]) for g in got}
+    assert found == set(range(3, 25))
+    kept = {r.doc_id for r in drop_contaminated(frame, bench).collect()}
+    assert kept == set(range(len(docs))) - {g[0] for g in got}
+
+
+def test_short_mask_finds_every_place():
+    from itertools import combinations
+
+    offsets = dc._offsets(dc.SHORT_MASK)
+    for n in range(dc.EXACT_BELOW, dc.WINDOW):
+        allowed = int(n - dc.MIN_MATCH * n + 1e-9)
+        for bad in combinations(range(n), allowed):
+            assert any(all(s + o not in bad for o in offsets) for s in range(n - offsets[-1]))
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     whole = {tuple(r) for r in LLM_QUERIES["op10_benchmark_decontamination"](spark, SMALL).collect()}
     monkeypatch.setattr(dc, "BLOCK_CHARS", 3000)
