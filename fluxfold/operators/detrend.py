@@ -23,7 +23,7 @@ from fluxfold.functions.spline import SegmentFit, fit_segment, piecewise_value
 from fluxfold.operators.large_segments import fit_large_segments
 from fluxfold.operators.masking import flag_events
 from fluxfold.operators.normalize import mad_sigma
-from fluxfold.operators.ordered import with_previous
+from fluxfold.operators.ordered import with_previous, with_running_sum
 from fluxfold.operators.segments import (
     ORDER,
     SEGMENT,
@@ -69,7 +69,9 @@ class SplineSpec:
             raise ValueError(f"sigma_cut must be > 0, got {self.sigma_cut}")
 
 
-def _segments(batches: Iterator[pd.DataFrame], limit: int = SEGMENT_ROWS) -> Iterator[tuple]:
+def _segments(
+    batches: Iterator[pd.DataFrame], limit: int = SEGMENT_ROWS, by: list[str] = SEGMENT
+) -> Iterator[tuple]:
     """Whole segments (key, seq, time, values...) from sorted batches; holds the last one only."""
     key, parts = None, []
 
@@ -79,7 +81,7 @@ def _segments(batches: Iterator[pd.DataFrame], limit: int = SEGMENT_ROWS) -> Ite
     for batch in batches:
         if batch.empty:
             continue
-        keys = batch[SEGMENT].to_numpy()
+        keys = batch[by].to_numpy()
         values = [batch[c].to_numpy(float) for c in batch.columns if c.startswith("_y")]
         columns = [batch["seq"].to_numpy(), batch["time"].to_numpy(float), *values]
         starts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
@@ -237,6 +239,77 @@ def segment_trend(
     return trend
 
 
+def piecewise_trend(
+    function: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    piece_rows: int = 50_000,
+    halo: int = 500,
+    hot: HotKeys | None = None,
+) -> Callable[[DataFrame, str], DataFrame]:
+    """A trend for ``detrend_with`` from a numpy function ``(time, values) -> trend`` that sees a
+    bounded part of a segment, however long that is.
+
+    A segment of ``n`` rows is cut by row number into ``ceil(n / piece_rows)`` pieces of equal
+    counts, so bursts do not fill one piece. The function gets a piece with ``halo`` rows of each
+    neighbour; over these the trends of two pieces change linearly into each other. A segment of at
+    most ``piece_rows`` rows is one piece, as in ``segment_trend``. Where one piece has no trend
+    (NaN), the other's is taken.
+    """
+    if piece_rows < 1 or not 0 <= 4 * halo <= piece_rows:
+        raise ValueError(f"halo must be in [0, piece_rows / 4], got {halo} of {piece_rows}")
+    by = [*SEGMENT, "part"]
+    schema = "target_id long, quarter int, segment_id long, part long, seq long, piece_trend double"
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, seq, x, y in _segments(batches, piece_rows + 2 * halo + 2, by):
+            frame = pd.DataFrame({"seq": seq, "piece_trend": function(x, y)})
+            yield frame.assign(**dict(zip(by, key, strict=True)))
+
+    def trend(rows: DataFrame, value: str) -> DataFrame:
+        named = rows.select(*SEGMENT, *ORDER, F.col(value).cast("double").alias("_y0"))
+        numbered = with_running_sum(
+            named.withColumn("_one", F.lit(1).cast("long")), SEGMENT, ORDER, "_one", "_row", hot
+        )
+        counts = named.groupBy(*SEGMENT).agg(F.count("*").alias("_n"))
+        spots = join_per_key(numbered.drop("_one"), counts, SEGMENT, hot)
+        parts = F.ceil(F.col("_n") / F.lit(piece_rows))
+        width, place = F.col("_n") / parts, F.col("_row") - F.lit(0.5)
+        first = F.greatest(F.lit(0).cast("long"), F.floor((place - halo) / width))
+        last = F.least(parts - 1, F.floor((place + halo) / width))
+        shared = materialize(
+            spots.select(
+                *SEGMENT, *ORDER, "_y0", place.alias("_place"), width.alias("_width"),
+                parts.alias("_parts"), F.explode(F.sequence(first, last)).alias("part"),
+            ),
+            "trend_pieces",
+        )
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pieces = shared.select(*by, *ORDER, "_y0").repartition(tasks, *by)
+        fitted = pieces.sortWithinPartitions(*by, *ORDER).mapInPandas(fit, schema)
+        blended = shared.join(fitted, [*by, "seq"]).withColumn("_w", _share(halo))
+        known = F.col("piece_trend").isNotNull() & ~F.isnan("piece_trend") & (F.col("_w") > 0)
+        whole = blended.groupBy(*SEGMENT, "seq").agg(
+            F.try_divide(
+                F.sum(F.when(known, F.col("_w") * F.col("piece_trend"))),
+                F.sum(F.when(known, F.col("_w"))),
+            ).alias("trend")
+        )
+        return rows.join(whole, [*SEGMENT, "seq"])
+
+    return trend
+
+
+def _share(halo: int) -> Column:
+    """Weight of a piece at a row: 1 inside, linear over the halo; all pieces' weights add to 1."""
+    if not halo:
+        return F.lit(1.0)
+    place, part, width = F.col("_place"), F.col("part"), F.col("_width")
+    rise = (place - (part * width - halo)) / (2.0 * halo)
+    fall = ((part + 1) * width + halo - place) / (2.0 * halo)
+    rise = F.when(part > 0, rise).otherwise(1.0)
+    fall = F.when(part < F.col("_parts") - 1, fall).otherwise(1.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least(rise, fall)))
+
+
 def score_spacings(fits: DataFrame, sigma: DataFrame, spec: SplineSpec = SplineSpec()) -> DataFrame:
     """BIC of every usable spacing of a target's series; one bad segment rules a spacing out."""
     used = F.col("status") == "ok"

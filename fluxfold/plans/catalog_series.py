@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fluxfold.operators import detrend as D
@@ -348,3 +349,51 @@ def pluggable_detrender(spark, sf):
     obs, hot = _obs(spark, sf)
     rows = D.detrend_with(G.split_at_gaps(obs, hot=hot), "flux", _segment_mean, "flat")
     return tidy(rows.select(*_KEY, "flat"))
+
+
+_PIECE, _HALO = 20, 4
+
+
+def _cents_mean(x, y):
+    # The values are cents: whole numbers add up exactly in any order.
+    return np.full(y.size, np.rint(y * 100).sum() / 100 / y.size)
+
+
+@query(
+    "pluggable_detrender_pieces",
+    f"""
+    WITH {SEGMENTS_SQL},
+    numbered AS (
+      SELECT target_id, quarter, segment_id, seq, flux, row_number() OVER s - 0.5::DOUBLE AS place,
+             count(*) OVER (PARTITION BY target_id, quarter, segment_id) AS n
+      FROM segments
+      WINDOW s AS (PARTITION BY target_id, quarter, segment_id ORDER BY "time", seq)
+    ),
+    cut AS (SELECT *, CAST(ceil(n / {_PIECE}::DOUBLE) AS BIGINT) AS parts FROM numbered),
+    sized AS (SELECT *, n / CAST(parts AS DOUBLE) AS width FROM cut),
+    seen AS (
+      SELECT *, unnest(range(
+               greatest(0, CAST(floor((place - {_HALO}) / width) AS BIGINT)),
+               least(parts - 1, CAST(floor((place + {_HALO}) / width) AS BIGINT)) + 1)) AS part
+      FROM sized
+    ),
+    fitted AS (
+      SELECT *, CAST(sum(CAST(flux AS DECIMAL(28, 2))) OVER p AS DOUBLE) / count(*) OVER p AS trend,
+             least(1, greatest(0, least(
+               CASE WHEN part > 0 THEN (place - part * width + {_HALO}) / {2.0 * _HALO} ELSE 1 END,
+               CASE WHEN part < parts - 1 THEN ((part + 1) * width + {_HALO} - place) / {2.0 * _HALO}
+                    ELSE 1 END))) AS w
+      FROM seen
+      WINDOW p AS (PARTITION BY target_id, quarter, segment_id, part)
+    )
+    SELECT target_id, quarter, seq, round(max(flux) / (sum(w * trend) / sum(w)), 6) AS flat
+    FROM fitted GROUP BY target_id, quarter, seq
+    """,
+    "obs",
+)
+def pluggable_detrender_pieces(spark, sf):
+    """The same by a numpy function that sees one bounded, overlapping piece at a time."""
+    obs, hot = _obs(spark, sf)
+    trend = D.piecewise_trend(_cents_mean, _PIECE, _HALO, hot)
+    rows = D.detrend_with(G.split_at_gaps(obs, hot=hot), "flux", trend, "flat")
+    return tidy(rows.select(*_KEY, "flat"))

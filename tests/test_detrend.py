@@ -128,3 +128,44 @@ def test_user_trends(skewed):
     small = D.segment_trend(lambda x, y: y, segment_rows=10)
     with pytest.raises(Exception, match="more than 10 rows"):
         D.detrend_with(obs, "flux", small, "flat").agg(F.sum("flat")).collect()
+
+
+def test_piecewise_trend(skewed):
+    """Pieces see a bounded part; where the function is local, they give the whole trend."""
+    obs = G.split_at_gaps(skewed[0], 1.5)
+    obs = obs.withColumn("wave", 100 + F.col("time") * 3 + F.col("time") ** 2)
+
+    def quadratic(x, y):
+        assert x.size <= 40 + 2 * 10 + 2 and (np.diff(x) >= 0).all()
+        return np.polyval(np.polyfit(x - x[0], y, min(2, x.size - 1)), x - x[0])
+
+    hot = find_hot_keys(obs, ["target_id"], "time", 50)
+    for given in (None, hot):
+        trend = D.piecewise_trend(quadratic, piece_rows=40, halo=10, hot=given)
+        got = D.detrend_with(obs, "wave", trend, "flat").toPandas()
+        assert len(got) == len(skewed[2]) and np.allclose(got.flat, 1, rtol=1e-6)
+
+
+def test_piecewise_trend_blends(skewed):
+    """Against the definition, row by row; segments of at most a piece are whole."""
+    obs = G.split_at_gaps(skewed[0], 1.5)
+    size, halo = 24, 5
+    mean = D.piecewise_trend(lambda x, y: np.full(y.size, y.mean()), size, halo)
+    got = D.detrend_with(obs, "flux", mean, "flat").toPandas().sort_values(["time", "seq"])
+    longest = 0
+    for _, part in got.groupby(G.SEGMENT):
+        y, n = part.flux.to_numpy(), len(part)
+        parts = -(-n // size)
+        longest = max(longest, parts)
+        place, width = np.arange(n) + 0.5, n / parts
+        total, weights = np.zeros(n), np.zeros(n)
+        for p in range(parts):
+            seen = (place >= p * width - halo) & (place < (p + 1) * width + halo)
+            rise = (place - (p * width - halo)) / (2 * halo) if p else np.ones(n)
+            fall = ((p + 1) * width + halo - place) / (2 * halo) if p < parts - 1 else np.ones(n)
+            w = np.clip(np.minimum(rise, fall), 0, 1) * seen
+            total, weights = total + w * y[seen].mean(), weights + w
+        assert np.allclose(weights, 1) and np.allclose(part.flat, y / total)
+    assert longest > 3
+    with pytest.raises(ValueError, match="halo"):
+        D.piecewise_trend(lambda x, y: y, 10, 5)
