@@ -351,7 +351,7 @@ def pluggable_detrender(spark, sf):
     return tidy(rows.select(*_KEY, "flat"))
 
 
-_PIECE, _HALO = 20, 4
+_PIECE, _HALO = 8, 2
 
 
 def _cents_mean(x, y):

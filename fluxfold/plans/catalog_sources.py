@@ -14,7 +14,7 @@ from fluxfold.operators.splitting import ranked_split
 from fluxfold.operators.views import EVENT_KEY, LOCAL_VIEW, folded_view, view_arrays
 from fluxfold.plans import adapters as A
 from fluxfold.plans.registry import cols, query, tidy
-from fluxfold.plans.sqltext import LOCAL_VIEW_SQL, RANKED_SPLIT_SQL
+from fluxfold.plans.sqltext import LOCAL_VIEW_SQL, RANKED_SPLIT_SQL, SEGMENTS_SQL
 from fluxfold.schemas import ARCHIVE_URL, LONG_CADENCE_PREFIXES
 from fluxfold.session import fresh_path
 from fluxfold.sources import tables as S
@@ -22,7 +22,7 @@ from fluxfold.sources.convert import convert_files
 from fluxfold.sources.convert import scan_file_by_id as scan_one_id
 from fluxfold.sources.fits import encode_file
 from fluxfold.sources.sinks import TrainingRecords, write_feature_splits
-from fluxfold.streaming.ingest import ingest_available
+from fluxfold.streaming.ingest import ingest_available, stream_gap_segments
 
 
 @query(
@@ -186,6 +186,30 @@ def incremental_ingest_stream(spark, sf):
     )
 
 
+@query(
+    "gap_segments_stream",
+    f"""
+    WITH {SEGMENTS_SQL}
+    SELECT target_id, quarter, round(min("time"), 6) AS start, round(max("time"), 6) AS "end",
+           CAST(count(*) AS BIGINT) AS n_points
+    FROM segments GROUP BY target_id, quarter, segment_id
+    """,
+    "obs",
+)
+def gap_segments_stream(spark, sf):
+    """All observations in two deliveries, unordered in time; then one that closes what is open."""
+    source, out, log = (fresh_path(spark, n) for n in ("series", "segments", "progress"))
+    obs = A.observations(spark, sf).select("target_id", "quarter", "seq", "time")
+    delivery = F.pmod(F.xxhash64("seq"), F.lit(2))
+    last = obs.agg(F.max("time")).first()[0] or 0.0
+    end = spark.createDataFrame([(-1, -1, -1, last + 5_000.0)], obs.schema)
+    for rows in (obs.where(delivery == 0), obs.where(delivery == 1), end):
+        rows.write.mode("append").parquet(source)
+        stream_gap_segments(spark, source, out, log, obs.schema, 0.75, "3000 days")
+    found = spark.read.parquet(out)
+    return tidy(found.select("target_id", "quarter", "start", "end", "n_points"))
+
+
 _ID = "CASE WHEN length(u) < 9 THEN lpad(u, 9, '0') ELSE u END"
 _PREFIXES = ", ".join(f"('{p}')" for p in LONG_CADENCE_PREFIXES)
 

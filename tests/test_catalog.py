@@ -18,7 +18,8 @@ from fluxfold.schemas import FEATURES, VIEW_NAMES
 ROWS_ONLY = {"select_best_spline", "create_features"}
 # Spline fits, binary codecs and the record format have no expression form.
 PYTHON_QUERIES = ROWS_ONLY | {
-    "fit_segment_spline", "flatten_series", "ingest_light_curve_files", "export_tfrecord_shards"
+    "fit_segment_spline", "flatten_series", "ingest_light_curve_files", "export_tfrecord_shards",
+    "pluggable_detrender_pieces",
 }
 
 
