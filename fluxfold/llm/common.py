@@ -38,6 +38,18 @@ def tidy_shuffles(spark: SparkSession):
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+@contextmanager
+def small_arrow_batches(spark: SparkSession, size: int = 4 << 20):
+    """Inside, batches sent to Python hold about ``size`` bytes, also where single rows are large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; this cuts the lineage."""
     spark = df.sparkSession

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxfold.llm.common import keep, tidy_shuffles
+from fluxfold.llm.common import keep, small_arrow_batches, tidy_shuffles
 from fluxfold.llm.graph import components
 from fluxfold.llm.hash_counts import HashFilter, sum_counts
 from fluxfold.llm.spans import part_slices, word_spans
@@ -48,7 +48,7 @@ SHINGLE = 5
 PERCENT = 80
 
 #: Shingles of texts that one hash range aims at, and that a task gathers before it packs them.
-RANGE_SHINGLES = 1_500_000
+RANGE_SHINGLES = 750_000
 PACK_SHINGLES = 1_000_000
 #: Hot shingles there may be: a shingle is hot above this share of all, and above a million in all.
 HOT_SHINGLES = 4_000_000
@@ -241,10 +241,11 @@ def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, h
             yield rows_of(nodes[shared], totals[shared], tokens[shared].view(np.int64), counts[shared].astype(np.int64))
 
         for batch in batches:
-            for part, nodes, totals, lengths, high, low, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, part in enumerate(batch.column(0).to_pylist()):
                 if part != now:
                     yield from done()
                     now, held = part, []
+                nodes, totals, lengths, high, low, found = (c[i].as_py() for c in batch.columns[1:])
                 nodes, totals = np.frombuffer(nodes, np.int64), np.frombuffer(totals, np.uint32)
                 if found is not None:
                     tokens = np.frombuffer(found, np.uint64)
@@ -306,12 +307,12 @@ def _postings(shared: DataFrame, parts: int, percent: int) -> DataFrame:
                 )
 
         for batch in batches:
-            for bucket, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
                 if bucket != now:
                     yield from done()
                     now = bucket
                 types = (np.int64, np.uint32, np.int64, np.int64)
-                held.append(tuple(np.frombuffer(c, t) for c, t in zip(columns, types, strict=True)))
+                held.append(tuple(np.frombuffer(c[i].as_py(), t) for c, t in zip(batch.columns[1:], types, strict=True)))
         yield from done()
 
     dealt = shared.repartition(min(parts, MAX_TASKS), "bucket").sortWithinPartitions("bucket")
@@ -469,7 +470,7 @@ def jaccard_groups(
     """``key``, n_shingles, component_id: one row per row of ``docs``; the component is the smallest
     key reachable over pairs of similarity ``percent`` of 100 or more."""
     texts = _texts(docs, key, text)
-    with tidy_shuffles(docs.sparkSession):
+    with tidy_shuffles(docs.sparkSession), small_arrow_batches(docs.sparkSession):
         read = keep(_read_sets(texts, size), "read_sets")
         rows = read.where("h IS NULL").select("id", "n", "node")
         linkable = rows.where("id IS NOT NULL AND n > 0")
