@@ -40,6 +40,8 @@ SEGMENT_ROWS = 500_000
 # Segments of at most so many rows are fitted together, this many at a time.
 SHORT_ROWS = 200
 TOGETHER = 1_000
+# Rows of the trends that are handed on as one frame, about.
+FRAME_ROWS = 50_000
 
 FIT_SCHEMA = (
     "target_id long, quarter int, segment_id long, series int, spacing_id int, spacing double, status string, "
@@ -219,6 +221,38 @@ def detrend_with(
     return fitted.withColumn(out, F.try_divide(F.col(value), F.col("trend"))).drop("trend")
 
 
+def _trend_frames(
+    segments: Iterator[tuple], function: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    by: list[str], name: str,
+) -> Iterator[pd.DataFrame]:
+    """``by``, seq and the trend ``name`` of segments (key, seq, time, values); the trends of many
+    segments make one frame, as a frame costs far more than a short segment."""
+    keys: list[tuple] = []
+    seqs: list[np.ndarray] = []
+    trends: list[np.ndarray] = []
+    rows = 0
+
+    def frame() -> pd.DataFrame:
+        sizes = [len(s) for s in seqs]
+        columns = {c: pd.array(column, "Int64").repeat(sizes)
+                   for c, column in zip(by, zip(*keys, strict=True), strict=True)}
+        return pd.DataFrame({**columns, "seq": np.concatenate(seqs), name: np.concatenate(trends)})
+
+    for key, seq, x, y in segments:
+        found = np.asarray(function(x, y), float)
+        if found.ndim and found.shape != seq.shape:
+            raise ValueError(f"the trend of segment {key} has shape {found.shape}, not {seq.shape}")
+        keys.append(key)
+        seqs.append(seq)
+        trends.append(np.broadcast_to(found, seq.shape))
+        rows += len(seq)
+        if rows >= FRAME_ROWS:
+            yield frame()
+            keys, seqs, trends, rows = [], [], [], 0
+    if keys:
+        yield frame()
+
+
 def segment_trend(
     function: Callable[[np.ndarray, np.ndarray], np.ndarray], segment_rows: int = SEGMENT_ROWS
 ) -> Callable[[DataFrame, str], DataFrame]:
@@ -226,9 +260,7 @@ def segment_trend(
     segment. The function needs its segment in one task, so a longer one is an error."""
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, seq, x, y in _segments(batches, segment_rows):
-            frame = pd.DataFrame({"seq": seq, "trend": function(x, y)})
-            yield frame.assign(**dict(zip(SEGMENT, key, strict=True)))
+        yield from _trend_frames(_segments(batches, segment_rows), function, SEGMENT, "trend")
 
     schema = "target_id long, quarter int, segment_id long, seq long, trend double"
 
@@ -260,9 +292,8 @@ def piecewise_trend(
     schema = "target_id long, quarter int, segment_id long, part long, seq long, piece_trend double"
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, seq, x, y in _segments(batches, piece_rows + 2 * halo + 2, by):
-            frame = pd.DataFrame({"seq": seq, "piece_trend": function(x, y)})
-            yield frame.assign(**dict(zip(by, key, strict=True)))
+        pieces = _segments(batches, piece_rows + 2 * halo + 2, by)
+        yield from _trend_frames(pieces, function, by, "piece_trend")
 
     def trend(rows: DataFrame, value: str) -> DataFrame:
         named = rows.select(*SEGMENT, *ORDER, F.col(value).cast("double").alias("_y0"))

@@ -169,3 +169,17 @@ def test_piecewise_trend_blends(skewed):
     assert longest > 3
     with pytest.raises(ValueError, match="halo"):
         D.piecewise_trend(lambda x, y: y, 10, 5)
+
+
+def test_trends_of_many_short_segments_share_a_frame():
+    def segments(count):
+        for i in range(count):
+            yield (i, 1, None if i == 7 else i % 3), np.arange(8), np.arange(8.0), np.full(8, float(i))
+
+    frames = list(D._trend_frames(segments(20_000), lambda x, y: y, list(D.SEGMENT), "trend"))
+    assert len(frames) <= 1 + 20_000 * 8 // D.FRAME_ROWS
+    rows = pd.concat(frames)
+    assert (rows["trend"] == rows["target_id"]).all() and len(rows) == 160_000
+    assert rows.loc[rows["target_id"] == 7, "segment_id"].isna().all()
+    with pytest.raises(ValueError):
+        list(D._trend_frames(segments(2), lambda x, y: y[:3], list(D.SEGMENT), "trend"))
