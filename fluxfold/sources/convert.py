@@ -30,6 +30,8 @@ FORMATS = ("parquet", "json")
 BATCH_FILES = 100_000
 #: Files of a target that one task writes; a target with more is spread over several.
 PART_FILES = 2_000
+#: Files of a batch that one task gathers and writes, about: few bytes, but much work per target.
+TASK_FILES = 1_000
 PROGRESS = "target string, n_files long"
 
 
@@ -79,7 +81,8 @@ def _write(
     if hot is not None:
         rows = rows.join(hot.side("_pieces"), "target", "left")
         part = F.pmod(F.xxhash64("path"), F.coalesce("_pieces", F.lit(1)))
-    gathered = rows.withColumn("_part", part).repartition("target", "_part")
+    tasks = max(batch.sparkSession.sparkContext.defaultParallelism, -(-batch.count() // TASK_FILES))
+    gathered = rows.withColumn("_part", part).repartition(tasks, "target", "_part")
     (
         gathered.sortWithinPartitions("target", "path")
         .select(*schema.names, "target")

@@ -1,5 +1,7 @@
 """Conversion of light-curve files by target, and reads of a folder with a file per id."""
 
+import gzip
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +180,19 @@ def test_layout_by_bucket_has_few_files(spark, tmp_path):
     files = list((tmp_path / "t").glob("_bucket=*/part*"))
     assert len(files) <= 4 * 2
     assert S.scan_by_id(spark, str(tmp_path / "t"), "id", 7, buckets=4).count() == 1334 + 1
+
+
+def test_compressed_files(spark, folder):
+    """Files compressed by gzip are converted like others; a broken one costs its target only."""
+    path, _ = folder
+    for target, quarter in ((1, 1), (1, 2), (3, 1)):
+        data = gzip.compress(curve(target, quarter))
+        assert len(data) * 8 < len(curve(target, quarter))
+        data = data if target == 1 else data[:-20]
+        (path / "in" / f"kplr{target:09d}-{quarter}_llc.fits.gz").write_bytes(data)
+    paths = (f"{path}/in", f"{path}/out", f"{path}/progress")
+    with pytest.raises(ConversionError, match="1 files could not be read, first .*000000003-1"):
+        convert_files(spark, *paths, glob="*.fits.gz")
+    assert pairs(converted(spark, f"{path}/out")) == expected((1, 1), (1, 2))
+    file = f"{path}/in/kplr000000001-1_llc.fits.gz"
+    assert file_schema(spark, file, "LIGHTCURVE", ["TIME"], ["OBJECT"]).names == ["OBJECT", "TIME"]
