@@ -11,8 +11,15 @@ document with a smaller key. Suffix arrays are built where repeats can be, in th
    suffix array with common-prefix lengths over them is stack-scanned into the interval tree, and
    intervals with different bytes to their left are the maximal repeats, with all occurrences.
 
+Contexts are found in one pass over the texts, packed by hash range of their anchors and compared per
+range; what one task has seen of an anchor is compared before that, so a common passage is sent once
+per pack.
+
 Anchors with more than ``HEAVY`` different contexts (ends of a very common passage) are not
-gathered in one task: their windows are grouped by hash instead, which gives the same spans.
+gathered in one task. Their contexts are parted: of two equal windows the anchor has as many bytes
+before it, so windows with at most 15 bytes before it also share the 15 bytes behind it, and the others
+the bytes before it. Each part of a context meets the parts with the same shared bytes, as contexts do;
+parts of which there still are too many are parted again, down to single windows.
 
 Null or empty texts and texts below ``MIN_BYTES`` bytes lose nothing. Rows with null keys lose
 nothing and are no source. Rows with the same key are one document (no source for each other).
@@ -23,13 +30,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxfold.llm.common import keep, text_slices, tidy_shuffles
+from fluxfold.llm.common import keep, small_arrow_batches, text_slices, tidy_shuffles
+from fluxfold.llm.hash_counts import packing_parts
 from fluxfold.llm.words import mix
 
 MIN_BYTES = 50
@@ -39,6 +50,17 @@ _WINDOW = MIN_BYTES - _GRAM + 1
 _WIDTH = _WINDOW - 1 + MIN_BYTES
 #: Low bits of a hash that hold the position while the smallest one is looked for.
 _PLACE = 22
+#: Bytes of text whose contexts one hash range aims at, and contexts that a task packs at once.
+RANGE_BYTES = 12 << 20
+PACK_CONTEXTS = 500_000
+#: Rows of a blob that is not bound to a range.
+_BLOB = 50_000
+#: Contexts of an anchor that has too many for one task, and the id of the row that says so.
+_MANY = np.int64(1) << np.int64(40)
+_LAST = np.iinfo(np.int64).max
+_WEIGHTS = np.random.default_rng(11).integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Tasks at most; beyond, a task takes several ranges one after another.
+MAX_TASKS = 50_000
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -72,75 +94,188 @@ def window_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     rest = _WINDOW - size
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
     anchors = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    windows = np.arange(len(anchors), dtype=np.int64)
-    owner = np.searchsorted(starts, windows, "right") - 1
-    inside = windows + MIN_BYTES <= starts[owner + 1]
-    return windows[inside], anchors[inside], hashes, starts
+    ends = np.repeat(starts[1:], np.diff(starts))[: len(anchors)]
+    windows = np.flatnonzero(np.arange(MIN_BYTES, MIN_BYTES + len(anchors)) <= ends)
+    return windows, anchors[windows], hashes, starts
 
 
 def _bytes_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).to_pylist()]
 
 
-def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h and the number of texts of the slice that hold it."""
-    for batch in text_slices(batches):
-        _, anchors, hashes, starts = window_anchors(_bytes_of(batch, 1))
-        anchors = np.unique(anchors)
-        owner = np.searchsorted(starts, anchors, "right") - 1
-        order = np.lexsort((owner, hashes[anchors]))
-        h, owner = hashes[anchors][order], owner[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        values, counts = np.unique(h[fresh], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["h", "n"])
-
-
-def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, id and place (in the text) of every anchor."""
-    for batch in text_slices(batches):
-        _, anchors, hashes, starts = window_anchors(_bytes_of(batch, 1))
-        anchors = np.unique(anchors)
-        owner = np.searchsorted(starts, anchors, "right") - 1
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(hashes[anchors].view(np.int64)),
-                batch.column(0).take(pa.array(owner)),
-                pa.array((anchors - starts[owner]).astype(np.int32)),
-            ],
-            ["h", "id", "place"],
-        )
+class Contexts(NamedTuple):
+    """Columns: lower 48 bits of the anchor's hash (the smallest of many: by its upper bits, the first
+    ranges would get most), a hash of the context's bytes, id, start and size."""
 
+    h: np.ndarray
+    c: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Contexts:
+        return Contexts(*(x[rows] for x in self))
+
+    @staticmethod
+    def of(held: list[Contexts]) -> Contexts:
+        return Contexts(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+_KINDS = (np.uint64, np.uint64, np.int64, np.int32, np.uint8)
+_NONE = Contexts(*(np.zeros(0, kind) for kind in _KINDS))
+
+
+def text_contexts(ids: np.ndarray, texts: list[bytes]) -> Contexts:
+    """The contexts of all anchors of some texts."""
+    windows, anchors, hashes, starts = window_anchors(texts)
+    if not len(windows):
+        return _NONE
+    # Neighbouring texts never share a run of windows: an anchor lies inside its text.
+    first = np.flatnonzero(np.diff(anchors, prepend=-1))
+    last = np.append(first[1:], len(anchors)) - 1
+    begin, end = windows[first], windows[last] + MIN_BYTES
+    owner = np.searchsorted(starts, begin, "right") - 1
+    # Four strings of 20 bytes cover the 50 to 80 bytes.
+    c = (end - begin).astype(np.uint64)
+    for places, weight in zip((begin, begin + _GRAM, end - 2 * _GRAM, end - _GRAM), _WEIGHTS, strict=True):
+        c += hashes[places] * weight
+    columns = (hashes[anchors[first]] & np.uint64((1 << 48) - 1), mix(c), ids[owner], begin - starts[owner], end - begin)
+    return Contexts(*(x.astype(kind) for x, kind in zip(columns, _KINDS, strict=True)))
 
-def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The context of every listed anchor: h, id, start, size, c (a hash of its bytes)."""
-    for batch in text_slices(batches):
-        texts = _bytes_of(batch, 1)
-        windows, anchors, hashes, starts = window_anchors(texts)
-        wanted = np.concatenate(
-            [np.asarray(p, np.int64) + s for p, s in zip(batch.column(2).to_pylist(), starts[:-1], strict=True)]
-        )
-        first = np.flatnonzero(np.diff(anchors, prepend=-1))
-        last = np.append(first[1:], len(anchors)) - 1
-        owner = np.searchsorted(starts, windows[first], "right") - 1
-        # Neighbouring texts never share a run of windows: an anchor lies inside its text.
-        chosen = np.flatnonzero(np.isin(anchors[first], wanted))
-        joined = b"".join(texts)
-        begin, end = windows[first[chosen]], windows[last[chosen]] + MIN_BYTES
-        digests = b"".join(
-            hashlib.blake2b(joined[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)
-        )
-        own = owner[chosen]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(hashes[anchors[first[chosen]]].view(np.int64)),
-                batch.column(0).take(pa.array(own)),
-                pa.array((begin - starts[own]).astype(np.int32)),
-                pa.array((end - begin).astype(np.int32)),
-                pa.array(np.frombuffer(digests, np.int64)),
-            ],
-            ["h", "id", "start", "size", "c"],
-        )
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    return np.flatnonzero(np.concatenate([values[:1] == values[:1], values[1:] != values[:-1]]))
+
+
+def compare_contexts(rows: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of contexts that stand under a smaller id as a whole; of the others, those of anchors with
+    different contexts under several ids, and how many contexts their anchors have.
+
+    A context of size 0 marks an anchor that has too many.
+    """
+    order = np.argsort(rows.h)
+    begins = _runs(rows.h[order])
+    counts = np.diff(np.append(begins, len(order)))
+    order = order[np.repeat(counts > 1, counts)]
+    if not len(order):
+        return order, order, order
+    order = order[np.lexsort((rows.ids[order], rows.c[order], rows.h[order]))]
+    h, c, ids = rows.h[order], rows.c[order], rows.ids[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+    head = np.flatnonzero(new)
+    first = ids[head][np.cumsum(new) - 1]
+    group = _runs(h[head])
+    of_row = np.repeat(np.arange(len(group)), np.diff(np.append(head[group], len(order))))
+    real = rows.sizes[order] > 0
+    low, high = np.minimum.reduceat(ids[head], group), np.maximum.reduceat(ids[head], group)
+    marked = np.minimum.reduceat(rows.sizes[order], head[group]) == 0
+    contexts = np.where(marked, _MANY, np.diff(np.append(group, len(head))))
+    later = real & (ids > first)
+    leading = real & (ids == first) & ((low < high) | marked)[of_row]
+    return order[later], order[leading], contexts[of_row[leading]]
+
+
+def _met_contexts(base: DataFrame, parts: int, heavy: int) -> DataFrame:
+    """id, s, e of contexts that stand under a smaller id as a whole (h null), and of those that are left
+    to compare, with h and the number of contexts of the anchor."""
+    import zstandard
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        turn = TaskContext.get().partitionId()
+
+        def squeezed(rows: Contexts) -> bytes:
+            steps = np.diff(rows.ids, prepend=0)
+            return squeeze(steps.tobytes() + rows.starts.tobytes() + rows.sizes.tobytes())
+
+        def blobs(rows: Contexts, anchors: bool) -> Iterator[tuple]:
+            nonlocal turn
+            for at in range(0, len(rows.h), _BLOB):
+                some = rows.take(slice(at, at + _BLOB))
+                turn += 1
+                yield turn % parts, len(some.h), some.h.tobytes() if anchors else None, None, None, squeezed(some)
+
+        def packed(rows: Contexts) -> pa.RecordBatch:
+            later, leading, contexts = compare_contexts(rows)
+            many = leading[contexts > heavy]
+            out = [*blobs(rows.take(later), False), *blobs(rows.take(many), True)]
+            kept = np.ones(len(rows.h), bool)
+            kept[later] = kept[many] = False
+            marks = np.unique(rows.h[many])
+            rows = Contexts.of([rows.take(kept), _NONE._replace(
+                h=marks, c=np.zeros(len(marks), np.uint64), ids=np.full(len(marks), _LAST),
+                starts=np.zeros(len(marks), np.int32), sizes=np.zeros(len(marks), np.uint8),
+            )])
+            part = ((rows.h >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+            rows, part = rows.take(order), part[order]
+            begins = _runs(part)
+            for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(part)], strict=True):
+                some = rows.take(slice(begin, end))
+                out.append((
+                    int(part[begin]), end - begin, (some.h >> np.uint64(16)).astype(np.uint32).tobytes(),
+                    (some.h & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), some.c.tobytes(), squeezed(some),
+                ))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "size", "high", "low", "c", "rest"]
+            )
+
+        held, entries = [], 0
+        for batch in text_slices(batches):
+            held.append(text_contexts(np.asarray(batch.column(0)), _bytes_of(batch, 1)))
+            entries += len(held[-1].h)
+            if entries >= PACK_CONTEXTS:
+                yield packed(Contexts.of(held))
+                held, entries = [], 0
+        if held:
+            yield packed(Contexts.of(held))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_up = zstandard.ZstdDecompressor().decompress
+        now, held = None, []
+
+        def spans(rows: Contexts, contexts: np.ndarray | None) -> pa.RecordBatch:
+            begin = rows.starts.astype(np.int64)
+            none = contexts is None
+            h = pa.nulls(len(begin), pa.int64()) if none else pa.array(rows.h.view(np.int64))
+            n = pa.nulls(len(begin), pa.int64()) if none else pa.array(contexts.astype(np.int64))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows.ids), pa.array(begin), pa.array(begin + rows.sizes), h, n], ["id", "s", "e", "h", "contexts"]
+            )
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = Contexts.of(held)
+                held.clear()
+                later, leading, contexts = compare_contexts(rows)
+                yield spans(rows.take(later), None)
+                yield spans(rows.take(leading), contexts)
+
+        for batch in batches:
+            for part, n, high, low, c, rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if part != now:
+                    yield from done()
+                    now = part
+                rest = open_up(rest)
+                ids = np.cumsum(np.frombuffer(rest, np.int64, n))
+                starts = np.frombuffer(rest, np.int32, n, 8 * n)
+                sizes = np.frombuffer(rest, np.uint8, n, 12 * n)
+                if c is None:
+                    h = np.zeros(n, np.uint64) if high is None else np.frombuffer(high, np.uint64)
+                    rows = Contexts(h, h, ids, starts, sizes)
+                    yield spans(rows, None if high is None else np.full(n, _MANY))
+                    continue
+                h = np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(16)
+                h |= np.frombuffer(low, np.uint16)
+                held.append(Contexts(h, np.frombuffer(c, np.uint64), ids, starts, sizes))
+        yield from done()
+
+    blobs = base.mapInArrow(pack, "part int, size long, high binary, low binary, c binary, rest binary")
+    dealt = blobs.repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "id long, s long, e long, h long, contexts long")
 
 
 def _read_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,80 +391,85 @@ def _repeat_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from ready(True)
 
 
-def _explode_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _part_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts whose windows have ``least`` to ``most`` bytes before the anchor, in two halves of that
+    range: h (a hash of the bytes all windows of a half share), c, id, start, context, least, most."""
+    kinds = [*[pa.int64()] * 4, pa.binary(), pa.int32(), pa.int32()]
     for batch in batches:
-        ids, starts, contexts = (c.to_pylist() for c in batch.columns)
-        rows, digests = [], []
-        for key, start, context in zip(ids, starts, contexts, strict=True):
-            for o in range(len(context) - MIN_BYTES + 1):
-                rows.append((key, start + o))
-                digests.append(hashlib.blake2b(context[o : o + MIN_BYTES], digest_size=16).digest())
-        flat = np.array(rows, np.int64).reshape(-1, 2)
-        pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        if not batch.num_rows:
+            continue
+        ids, begins, contexts, leasts, mosts = (c.to_pylist() for c in batch.columns)
+        windows, anchors, _, starts = window_anchors(contexts)
+        places = (anchors[np.searchsorted(windows, starts[:-1])] - starts[:-1]).tolist()
+        rows = []
+        for key, start, context, least, most, place in zip(ids, begins, contexts, leasts, mosts, places, strict=True):
+            middle = (least + most + 1) // 2
+            for low, high in ((least, middle - 1), (middle, most)):
+                first = max(place - high, 0)
+                end = min(place - low + MIN_BYTES, len(context))
+                if end - first < MIN_BYTES:
+                    continue
+                shared = context[place - low : place - high + MIN_BYTES] + bytes([low, high])
+                own = context[first:end]
+                digests = (hashlib.blake2b(x, digest_size=8).digest() for x in (shared, own))
+                h, c = (int.from_bytes(d, "little", signed=True) for d in digests)
+                rows.append((h, c, key, start + first, own, low, high))
+        columns = list(zip(*rows, strict=True)) or [()] * 7
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (flat[:, 0], flat[:, 1], pairs[:, 0], pairs[:, 1])], ["id", "s", "w1", "w2"]
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "c", "id", "start", "context", "least", "most"]
         )
 
 
+def _parted(heavy: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The spans (id, s, e) of parts that stand under a smaller id as a whole, and the parts left to
+    compare, all of groups of ``limit`` contexts or fewer.
+
+    Every round halves the range of a part; parts of single windows are equal as a whole.
+    """
+    known, left = [], []
+    heavy = heavy.withColumns({"least": F.lit(0), "most": F.lit(MIN_BYTES - _GRAM)})
+    schema = "h long, c long, id long, start long, context binary, least int, most int"
+    while True:
+        halves = heavy.select("id", "start", "context", "least", "most").mapInArrow(_part_contexts, schema)
+        halves = keep(halves, "parted_contexts")
+        # Both hashes together tell parts apart by 128 bits.
+        firsts = keep(halves.groupBy("h", "c").agg(F.min("id").alias("first")), "first_parts")
+        compared = keep(halves.join(firsts.hint("merge"), ["h", "c"]), "compared_parts")
+        end = F.col("start") + F.length("context")
+        known.append(compared.where("id > first").select("id", F.col("start").alias("s"), end.alias("e")))
+        groups = (
+            firsts.groupBy("h")
+            .agg(F.count("*").alias("contexts"), F.min("first").alias("low"), F.max("first").alias("high"))
+            .where("low < high")
+            .select("h", "contexts")
+        )
+        rest = keep(compared.where("id = first").join(keep(groups, "open_parts").hint("merge"), "h"), "left_parts")
+        left.append(rest.where(F.col("contexts") <= limit).select("h", "id", "start", "context"))
+        heavy = rest.where(F.col("contexts") > limit)
+        if heavy.isEmpty():
+            return reduce(DataFrame.union, known), reduce(DataFrame.union, left)
+
+
 def repeated_spans(base: DataFrame) -> DataFrame:
     """id, s, e of byte spans that also stand under a smaller id; ``base``: id long, text binary."""
-    counted = base.mapInArrow(_count_anchors, "h long, n long")
-    shared = keep(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "shared_anchors")
-    listed = base.mapInArrow(_list_anchors, "h long, id long, place int")
-    places = keep(listed.join(shared.hint("merge"), "h", "left_semi").select("id", "place"), "anchor_places")
-    per_text = places.groupBy("id").agg(F.collect_list("place").alias("places"))
-    contexts = keep(
-        base.join(per_text.hint("merge"), "id")
-        .select("id", "text", "places")
-        .mapInArrow(_find_contexts, "h long, id long, start int, size int, c long"),
-        "contexts",
-    )
-    # Anchor and context hash together tell contexts apart by 128 bits.
-    firsts = keep(contexts.groupBy("h", "c").agg(F.min("id").alias("first")), "first_contexts")
-    compared = contexts.join(firsts.hint("merge"), ["h", "c"])
-    end = (F.col("start") + F.col("size")).cast("long")
-    whole = compared.where("id > first").select("id", F.col("start").cast("long").alias("s"), end.alias("e"))
-    whole = keep(whole, "whole_contexts")
-    groups = keep(
-        firsts.groupBy("h")
-        .agg(F.count("*").alias("contexts"), F.min("first").alias("low"), F.max("first").alias("high"))
-        .where("low < high")
-        .select("h", "contexts"),
-        "open_anchors",
-    )
-    leading = keep(
-        compared.where("id = first").select("h", "id", "start", "size").join(groups.hint("merge"), "h"), "leading"
-    )
-    wanted = leading.groupBy("id").agg(F.collect_list(F.struct("h", "contexts", "start", "size")).alias("own"))
+    parts = packing_parts(base, "text", RANGE_BYTES)
+    met = keep(_met_contexts(base, parts, HEAVY), "met_contexts")
+    spans = met.where("h IS NULL").select("id", "s", "e")
+    own = F.struct("h", "contexts", F.col("s").alias("start"), (F.col("e") - F.col("s")).alias("size"))
+    wanted = met.where("h IS NOT NULL").groupBy("id").agg(F.collect_list(own).alias("own"))
     cut = keep(
         base.join(wanted.hint("merge"), "id")
         .select("id", "text", "own")
         .mapInArrow(_read_contexts, "h long, contexts long, id long, start long, context binary"),
         "context_bytes",
     )
-    light = keep(
-        cut.where(F.col("contexts") <= HEAVY)
-        .select("h", "id", "start", "context")
-        .repartition("h")
-        .sortWithinPartitions("h")
-        .mapInArrow(_repeat_spans, "id long, s long, e long"),
-        "repeat_spans",
-    )
-    exploded = keep(
-        cut.where(F.col("contexts") > HEAVY)
-        .select("id", "start", "context")
-        .mapInArrow(_explode_windows, "id long, s long, w1 long, w2 long"),
-        "heavy_windows",
-    )
-    lowest = keep(
-        exploded.groupBy("w1", "w2")
-        .agg(F.min("id").alias("low"), F.max("id").alias("high"))
-        .where("low < high")
-        .select("w1", "w2", "low"),
-        "lowest_windows",
-    )
-    heavy = exploded.join(lowest, ["w1", "w2"]).where("id > low").select("id", "s", (F.col("s") + MIN_BYTES).alias("e"))
-    return whole.union(light).union(heavy)
+    light = cut.where(F.col("contexts") <= HEAVY).select("h", "id", "start", "context")
+    heavy = cut.where(F.col("contexts") > HEAVY)
+    if not heavy.isEmpty():
+        whole, parted = _parted(heavy, HEAVY)
+        spans, light = spans.union(whole), light.union(parted)
+    found = light.repartition("h").sortWithinPartitions("h").mapInArrow(_repeat_spans, "id long, s long, e long")
+    return spans.union(keep(found, "repeat_spans"))
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -366,7 +506,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``."""
-    with tidy_shuffles(docs.sparkSession):
+    with tidy_shuffles(docs.sparkSession), small_arrow_batches(docs.sparkSession):
         source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
         identity = [F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), F.length("text").alias("size")]
         known = source.select("id", *identity).where(F.col("id").isNotNull() & (F.col("size") >= MIN_BYTES))

@@ -17,6 +17,7 @@ from fluxfold.llm import decontamination as dc
 from fluxfold.llm import licenses as lic
 from fluxfold.llm import sql
 from fluxfold.llm.catalog import LLM_ORACLES, LLM_QUERIES
+from fluxfold.llm.common import keep
 from fluxfold.llm.decontamination import contamination, drop_contaminated
 from fluxfold.llm.html_text import extract_text, page_text
 from fluxfold.llm.licenses import scan_licences
@@ -24,7 +25,7 @@ from fluxfold.llm.line_dedup import drop_repeated_lines, line_report
 from fluxfold.llm.near_dedup import drop_near_duplicates, near_duplicates
 from fluxfold.llm.packing import cut_pieces, pack_documents, packed_sequences, place_pieces
 from fluxfold.llm.quality_rules import quality_filter, quality_verdicts
-from fluxfold.llm.substring_dedup import maximal_repeats, substring_dedup
+from fluxfold.llm.substring_dedup import maximal_repeats, substring_dedup, text_contexts
 from fluxfold.llm.token_counts import count_tokens
 from fluxfold.llm.token_files import token_file_digests
 from fluxfold.llm.wavelet import WaveletMatrix, encode
@@ -286,6 +287,36 @@ def test_substring_dedup(docs, monkeypatch, heavy):
     assert got == _removed(texts())
 
 
+def test_substring_dedup_of_a_common_passage(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    passage, ends = letters(140), [letters(n) for n in (1, 3, 9, 20, 33)]
+    rows = [(i, letters(60) + ends[i % 5][: i % 4] + passage[i % 2 :] + ends[i % 3] + letters(60)) for i in range(80)]
+    sizes = {}
+
+    def kept(df, name):
+        out = keep(df, name)
+        sizes[name] = max(out.count(), sizes.get(name, 0))
+        return out
+
+    module = "fluxfold.llm.substring_dedup."
+    for name, value in (("keep", kept), ("HEAVY", 10), ("PACK_CONTEXTS", 400), ("RANGE_BYTES", 4000), ("_BLOB", 7)):
+        monkeypatch.setattr(module + name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = {r[0]: tuple(r[1:]) for r in substring_dedup(docs).collect()}
+    assert got == _removed(rows)
+    # Contexts of very common anchors are parted in halves, not taken apart into all their windows.
+    assert sizes["parted_contexts"] > 0
+    assert max(sizes.values()) <= 3 * sizes["context_bytes"]
+
+
+def test_contexts_fill_their_ranges_evenly():
+    rng = np.random.default_rng(9)
+    h = text_contexts(np.array([1, 2]), [bytes(rng.integers(97, 123, 100_000).astype(np.uint8)) for _ in range(2)]).h
+    counts = np.bincount((h >> np.uint64(44)).astype(int), minlength=16)
+    assert len(counts) == 16 and counts.max() < 1.5 * counts.mean()
+
+
 def test_maximal_repeats():
     rng = np.random.default_rng(3)
     shared = bytes(rng.integers(97, 123, 60).astype(np.uint8))
