@@ -38,8 +38,13 @@ def tidy_shuffles(spark: SparkSession):
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+#: Bytes of a batch on its way to Python or back. Arrow and Netty pool buffers of up to 4 MB and vectors
+#: grow by doubling; larger ones are native memory of the JVM's threads, which keep much of it.
+SMALL_BATCH = 1 << 20
+
+
 @contextmanager
-def small_arrow_batches(spark: SparkSession, size: int = 4 << 20):
+def small_arrow_batches(spark: SparkSession, size: int = SMALL_BATCH):
     """Inside, batches sent to Python hold about ``size`` bytes, also where single rows are large."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key, None)
@@ -50,6 +55,18 @@ def small_arrow_batches(spark: SparkSession, size: int = 4 << 20):
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], size: int = SMALL_BATCH) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``size`` bytes, one row at least."""
+    for batch in batches:
+        rows = batch.num_rows
+        step = max(1, rows * size // max(batch.nbytes, 1))
+        if step >= rows:
+            yield batch
+            continue
+        for start in range(0, rows, step):
+            yield batch.slice(start, step)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; this cuts the lineage."""
     spark = df.sparkSession

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxfold.llm.common import keep, small_arrow_batches, tidy_shuffles
+from fluxfold.llm.common import keep, small_arrow_batches, small_batches, tidy_shuffles
 from fluxfold.llm.graph import components
 from fluxfold.llm.hash_counts import HashFilter, sum_counts
 from fluxfold.llm.spans import part_slices, word_spans
@@ -140,7 +140,7 @@ def _read_sets(texts: DataFrame, size: int) -> DataFrame:
                 held, entries = [], 0
         yield batch_of([], [], *often())
 
-    return texts.mapInArrow(read, "id long, n long, node long, h long, c long")
+    return texts.mapInArrow(lambda batches: small_batches(read(batches)), "id long, n long, node long, h long, c long")
 
 
 def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
@@ -259,8 +259,11 @@ def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, h
                 held.append((np.repeat(nodes, lengths), np.repeat(totals, lengths), tokens))
         yield from done()
 
-    dealt = texts.mapInArrow(pack, schema).repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "bucket int, nodes binary, totals binary, tokens binary, counts binary")
+    packs = texts.mapInArrow(lambda batches: small_batches(pack(batches)), schema)
+    dealt = packs.repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(
+        lambda batches: small_batches(meet(batches)), "bucket int, nodes binary, totals binary, tokens binary, counts binary"
+    )
 
 
 def _postings(shared: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -372,7 +375,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 )
 
     found = texts.where("id IS NOT NULL").select("id", "text", F.xxhash64("id").alias("h"))
-    read = found.mapInArrow(pick, "id long, node long, shingles binary")
+    read = found.mapInArrow(lambda batches: small_batches(pick(batches)), "id long, node long, shingles binary")
     return read.join(wanted.hint("merge"), ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "shingles")
 
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxfold.llm.common import keep, small_arrow_batches, text_slices, tidy_shuffles
+from fluxfold.llm.common import keep, small_arrow_batches, small_batches, text_slices, tidy_shuffles
 from fluxfold.llm.hash_counts import packing_parts
 from fluxfold.llm.words import mix
 
@@ -273,9 +273,11 @@ def _met_contexts(base: DataFrame, parts: int, heavy: int) -> DataFrame:
                 held.append(Contexts(h, np.frombuffer(c, np.uint64), ids, starts, sizes))
         yield from done()
 
-    blobs = base.mapInArrow(pack, "part int, size long, high binary, low binary, c binary, rest binary")
+    blobs = base.mapInArrow(lambda batches: small_batches(pack(batches)), "part int, size long, high binary, low binary, c binary, rest binary")
     dealt = blobs.repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "id long, s long, e long, h long, contexts long")
+    return dealt.mapInArrow(
+        lambda batches: small_batches(meet(batches)), "id long, s long, e long, h long, contexts long"
+    )
 
 
 def _read_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from fluxfold.llm.common import small_batches
 from fluxfold.llm.jaccard_join import jaccard_groups, prefix_length
 from fluxfold.llm.phrases import collocations, mine_phrases
 from fluxfold.llm.spans import PART_BYTES, cut
@@ -277,3 +279,10 @@ def test_spelling_of_odd_tables(spark, empty):
     docs = spark.createDataFrame([(1, text, None, None, None, None)], SCHEMA)
     got = {r.word: (r.form, r.root) for r in spelling_variants(docs.withColumn("doc_id", F.lit(4))).collect()}
     assert got["abcdeih"] == ("abcdefh", "abcdefg") and got["abcdefg"] == (None, "abcdefg")
+
+
+def test_batches_on_their_way_are_small():
+    batch = pa.record_batch({"n": pa.array(range(1000)), "b": pa.array([bytes(3000)] * 1000)})
+    cut = list(small_batches(iter([batch, batch.slice(0, 0), batch.slice(7, 1)]), 1 << 18))
+    assert pa.Table.from_batches(cut).to_pydict() == pa.Table.from_batches([batch, batch.slice(7, 1)]).to_pydict()
+    assert max(c.nbytes for c in cut) <= 1 << 18
