@@ -12,7 +12,8 @@ prefixes, so postings of prefix shingles are joined, and a pair must pass
 all three of which lose nothing. Every pair that is left is verified once, on the full sets.
 
 Frequencies are exact for shingles that are not hot: texts are packed by hash range and counted per
-range, which also gives the shingles of one document only, where no pair can meet. Hot shingles
+range, which also gives the shingles of one document only, where no pair can meet. A pack
+numbers its documents, so what is sent of a shingle is its place in the range and two bytes. Hot shingles
 (above a count that bounds their number) come last in the order; their counts are taken
 beforehand, and since a document knows how many it has, those within its prefix are known without
 moving any. Equal sets are one node from the start.
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,8 @@ PERCENT = 80
 #: Shingles of texts that one hash range aims at, and that a task gathers before it packs them.
 RANGE_SHINGLES = 750_000
 PACK_SHINGLES = 1_000_000
+#: Documents of a pack at most; two bytes number them.
+PACK_DOCUMENTS = 1 << 16
 #: Hot shingles there may be: a shingle is hot above this share of all, and above a million in all.
 HOT_SHINGLES = 4_000_000
 HOT_COUNT = 1_000_000
@@ -57,6 +61,11 @@ HOT_COUNT = 1_000_000
 MAX_TASKS = 50_000
 #: Postings of one shingle, or partners of one document, that one block holds.
 BLOCK = 512
+#: Postings handed on as one batch, about.
+POSTING_ROWS = 5_000
+_PACKS = "part int, pack long, kind int, entries binary"
+#: Kinds of rows: nodes and sizes of a pack's documents; tokens of a range; hot tokens.
+_NODES, _RARE, _HOT = range(3)
 _CELLS = 1024
 _CELL_WORDS = _CELLS // 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -143,127 +152,161 @@ def _read_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(lambda batches: small_batches(read(batches)), "id long, n long, node long, h long, c long")
 
 
-def _shared_shingles(texts: DataFrame, size: int, parts: int, hot: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
-    """bucket, nodes, totals, tokens, counts: per range and bucket of documents, the shingles that
-    other sets have too, with the size of the set they are of.
+def _planes(numbers: np.ndarray, width: int) -> np.ndarray:
+    """The lower ``width`` bytes of each number, one row per byte: bytes that change little lie together."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
 
-    A token is the upper 48 bits of a shingle's hash; two shingles with one token only count as
-    more frequent than they are.
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _range_start(part: int, parts: int) -> int:
+    """Smallest token of a range."""
+    return -(-(part << 32) // parts) << 16
+
+
+def _place_width(parts: int) -> int:
+    """Bytes of a token's place in its range."""
+    return -(-((-(-(1 << 32) // parts) << 16) - 1).bit_length() // 8)
+
+
+def _packs(texts: DataFrame, nodes: DataFrame, size: int, parts: int, hot) -> DataFrame:
+    """part, pack, kind, entries: the sets of a task, cut by hash range of their tokens.
+
+    A pack numbers its documents, so a document takes two bytes beside each token, however many
+    ranges there are; its node and size go once, to the pack's home. Equal sets are told by the
+    first key of their node: a filter leaves out nearly all copies, one that it lets through only
+    makes its tokens more frequent and its postings double, which nothing behind counts on.
     """
-    sent = texts.sparkSession.sparkContext.broadcast((hot, hot_counts))
-    schema = "part int, nodes binary, totals binary, lengths binary, high binary, low binary, hot binary"
-    names = [c.split()[0] for c in schema.split(", ")]
+    chosen = HashFilter.of(nodes.select(F.xxhash64("id").alias("h")))
+    some_sent = texts.sparkSession.sparkContext.broadcast((chosen.bits, chosen.words))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_tokens, _ = sent.value
+        some, (hot_tokens, _) = HashFilter(*some_sent.value), hot.value
+        task, packs = TaskContext.get().partitionId(), 0
+        starts = np.array([_range_start(p, parts) for p in range(parts)], np.uint64)
+        width = _place_width(parts)
         held: dict[int, np.ndarray] = {}
         entries = 0
 
         def packed():
-            rows = []
-            nodes = np.array(list(held), np.int64)
-            totals = np.array([len(t) for t in held.values()], np.uint32)
+            number, home = task << 32 | packs, (31 * task + packs) % parts
+            sizes = [len(t) for t in held.values()]
+            totals = np.array(sizes, np.uint32)
+            rows = [(home, number, _NODES, np.array(list(held), np.int64).tobytes() + totals.tobytes())]
             tokens = np.concatenate([*held.values(), np.zeros(0, np.uint64)])
-            owner = np.repeat(np.arange(len(nodes)), [len(t) for t in held.values()])
+            owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            new = np.ones(len(tokens), bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+            tokens, owner = tokens[new], owner[new]
             if len(hot_tokens):
                 at = np.minimum(np.searchsorted(hot_tokens, tokens), len(hot_tokens) - 1)
                 is_hot = hot_tokens[at] == tokens
-                for k in np.unique(owner[is_hot]).tolist():
-                    mine = tokens[is_hot & (owner == k)]
-                    rows.append((int(nodes[k]) % parts, nodes[k].tobytes(), totals[k].tobytes(), None, None, None, mine.tobytes()))
+                if is_hot.any():
+                    found = np.concatenate([_planes(owner[is_hot], 2), _planes(tokens[is_hot], 8)])
+                    rows.append((home, number, _HOT, found.tobytes()))
                 tokens, owner = tokens[~is_hot], owner[~is_hot]
             part = ((tokens >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
             order = np.argsort(part.astype(np.uint32), kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            ends = np.searchsorted(part[order], np.arange(parts, dtype=np.uint64), "right")
+            tokens, owner, part = tokens[order], owner[order], part[order]
+            sent = np.concatenate([_planes(owner, 2), _planes(tokens - starts[part], width)])
+            ends = np.searchsorted(part, np.arange(parts, dtype=np.uint64), "right")
             start = 0
             for p, end in enumerate(ends.tolist()):
                 if end > start:
-                    here = owner[start:end]
-                    first = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
-                    lengths = np.diff(np.append(first, len(here))).astype(np.uint32)
-                    own = tokens[start:end]
-                    rows.append((
-                        p, nodes[here[first]].tobytes(), totals[here[first]].tobytes(), lengths.tobytes(), (own >> np.uint64(16)).astype(np.uint32).tobytes(),
-                        (own & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), None,
-                    ))
+                    rows.append((p, number, _RARE, sent[:, start:end].tobytes()))
                 start = end
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names
-            )
+            return _rows(_PACKS, rows)
 
-        for _, sets in document_sets(batches, size):
-            for shingles in sets:
-                node = _node(shingles)
-                if len(shingles) and node not in held:
-                    held[node] = shingles >> np.uint64(16)
-                    entries += len(shingles)
-            if entries >= PACK_SHINGLES:
-                yield packed()
-                held, entries = {}, 0
-        yield packed()
+        for batch in batches:
+            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            batch = batch.filter(pa.array(some.has(hashes)))
+            for _, sets in document_sets(iter([batch]), size):
+                for shingles in sets:
+                    node = _node(shingles)
+                    if len(shingles) and node not in held:
+                        held[node] = shingles >> np.uint64(16)
+                        entries += len(shingles)
+                        if entries >= PACK_SHINGLES or len(held) == PACK_DOCUMENTS:
+                            yield packed()
+                            held, entries, packs = {}, 0, packs + 1
+        if held:
+            yield packed()
+
+    known = texts.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), "text")
+    return known.mapInArrow(lambda batches: small_batches(pack(batches)), _PACKS)
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of ``schema``, which has int, long and binary columns."""
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _shared_shingles(
+    texts: DataFrame, nodes: DataFrame, size: int, parts: int, hot: np.ndarray, hot_counts: np.ndarray
+) -> DataFrame:
+    """part, pack, kind, entries: of every pack its nodes and sizes, and per range the shingles that
+    other sets have too, with the number of those sets.
+
+    A token is the upper 48 bits of a shingle's hash; two shingles with one token only count as
+    more frequent than they are.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((hot, hot_counts))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_tokens, counts_of = sent.value
-        now, held = None, []
-
-        def rows_of(*columns):
-            """One row per bucket of nodes; ``columns`` are nodes, totals, tokens, counts."""
-            bucket = columns[0].view(np.uint64) % np.uint64(parts)
-            order = np.lexsort((columns[0], bucket))
-            bucket = bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-            ends = np.append(first[1:], len(bucket)) if len(bucket) else []
-            columns = [c[order] for c in columns]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[first].astype(np.int32) if len(bucket) else [], pa.int32()),
-                    *(pa.array([c[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for c in columns),
-                ],
-                ["bucket", "nodes", "totals", "tokens", "counts"],
-            )
+        now, packs, held = None, [], []
 
         def done():
             if not held:
                 return
-            nodes, totals, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((nodes, tokens))
-            nodes, totals, tokens = nodes[order], totals[order], tokens[order]
-            # The same set may have come from several tasks.
-            new = np.concatenate([[True], (nodes[1:] != nodes[:-1]) | (tokens[1:] != tokens[:-1])])
-            nodes, totals, tokens = nodes[new], totals[new], tokens[new]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            lengths = np.diff(np.append(first, len(tokens)))
-            counts = np.repeat(lengths, lengths)
+            sizes = [h.shape[1] for h in held]
+            ends = np.cumsum(sizes)
+            entries = np.concatenate(held, axis=1)
+            tokens = _numbers(entries[2:])
+            order = np.argsort(tokens)
+            ordered = tokens[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            lengths = np.diff(np.append(first, len(ordered)))
+            counts = np.empty(len(tokens), np.uint64)
+            counts[order] = np.repeat(lengths, lengths)
             shared = counts > 1
-            yield rows_of(nodes[shared], totals[shared], tokens[shared].view(np.int64), counts[shared].astype(np.int64))
+            entries = np.concatenate([entries[:, shared], _planes(counts[shared], 4)])
+            ends = np.cumsum(shared)[ends - 1].tolist()
+            rows = [
+                (now, pack, _RARE, entries[:, start:end].tobytes())
+                for pack, start, end in zip(packs, [0, *ends[:-1]], ends, strict=True) if end > start
+            ]
+            packs.clear()
+            held.clear()
+            yield _rows(_PACKS, rows)
 
         for batch in batches:
-            for i, part in enumerate(batch.column(0).to_pylist()):
+            passed = []
+            for part, pack, kind, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     yield from done()
-                    now, held = part, []
-                nodes, totals, lengths, high, low, found = (c[i].as_py() for c in batch.columns[1:])
-                nodes, totals = np.frombuffer(nodes, np.int64), np.frombuffer(totals, np.uint32)
-                if found is not None:
-                    tokens = np.frombuffer(found, np.uint64)
-                    counts = counts_of[np.searchsorted(hot_tokens, tokens)]
-                    both = (np.repeat(x, len(tokens)) for x in (nodes, totals))
-                    yield rows_of(*both, tokens.view(np.int64), counts)
-                    continue
-                tokens = np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(16)
-                tokens |= np.frombuffer(low, np.uint16)
-                lengths = np.frombuffer(lengths, np.uint32)
-                held.append((np.repeat(nodes, lengths), np.repeat(totals, lengths), tokens))
+                    now = part
+                if kind == _HOT:
+                    found = np.frombuffer(entries, np.uint8).reshape(10, -1)
+                    counts = counts_of[np.searchsorted(hot_tokens, _numbers(found[2:]))]
+                    entries = np.concatenate([found, _planes(counts, 8)]).tobytes()
+                if kind == _RARE:
+                    packs.append(pack)
+                    held.append(np.frombuffer(entries, np.uint8).reshape(2 + _place_width(parts), -1))
+                else:
+                    passed.append((part, pack, kind, entries))
+            yield _rows(_PACKS, passed)
         yield from done()
 
-    packs = texts.mapInArrow(lambda batches: small_batches(pack(batches)), schema)
-    dealt = packs.repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(
-        lambda batches: small_batches(meet(batches)), "bucket int, nodes binary, totals binary, tokens binary, counts binary"
-    )
+    dealt = _packs(texts, nodes, size, parts, sent).repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(lambda batches: small_batches(meet(batches)), _PACKS)
 
 
 def _postings(shared: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -275,51 +318,63 @@ def _postings(shared: DataFrame, parts: int, percent: int) -> DataFrame:
     cells = [f"c{k}" for k in range(_CELL_WORDS)]
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, heads, found = None, [], []
+        width = _place_width(parts)
 
         def done():
-            if not held:
+            if not found:
                 return
-            nodes, totals, tokens, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((tokens, counts, nodes))
-            nodes, totals, tokens = nodes[order], totals[order], tokens[order]
-            first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
-            for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(nodes)], strict=True):
-                node, n, own = int(nodes[begin]), int(totals[begin]), tokens[begin:end]
-                # Copies of a set bring their hot shingles each.
-                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+            ((nodes, totals),) = heads
+            owner, tokens, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((tokens, counts, owner))
+            owner, tokens = owner[order].astype(np.int64), tokens[order]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            made, rows = [], 0
+            for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(owner)], strict=True):
+                n, own = int(totals[owner[begin]]), tokens[begin:end]
                 alone = n - len(own)
                 length = prefix_length(n, percent) - alone
                 if length <= 0:
                     continue
-                cell = (mix(own.view(np.uint64)) >> np.uint64(64 - 10)).astype(np.int64)
+                cell = (mix(own) >> np.uint64(64 - 10)).astype(np.int64)
                 bits = np.zeros((len(own), _CELL_WORDS), np.uint64)
                 bits[np.arange(len(own)), cell >> 6] = np.uint64(1) << (cell & 63).astype(np.uint64)
                 # XOR of everything behind each place.
                 behind = np.bitwise_xor.accumulate(bits[::-1], axis=0)[::-1]
                 behind = np.concatenate([behind[1:], np.zeros((1, _CELL_WORDS), np.uint64)])[:length]
                 m = len(behind)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(own[:m]), pa.array(np.full(m, node)), pa.array(np.full(m, n)),
-                        pa.array(alone + 1 + np.arange(m)),
-                        *(pa.array(np.ascontiguousarray(behind[:, k]).view(np.int64)) for k in range(_CELL_WORDS)),
-                    ],
-                    ["token", "node", "n", "place", *cells],
-                )
+                made.append((own[:m].view(np.int64), np.full(m, nodes[owner[begin]]), np.full(m, n), alone + 1 + np.arange(m), behind))
+                rows += m
+                if rows >= POSTING_ROWS:
+                    yield batch_of(made)
+                    made, rows = [], 0
+            if made:
+                yield batch_of(made)
+
+        def batch_of(made):
+            *columns, behind = (np.concatenate(x) for x in zip(*made, strict=True))
+            words = (np.ascontiguousarray(behind[:, k]).view(np.int64) for k in range(_CELL_WORDS))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *words)], ["token", "node", "n", "place", *cells])
 
         for batch in batches:
-            for i, bucket in enumerate(batch.column(0).to_pylist()):
-                if bucket != now:
+            for part, pack, kind, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if pack != now:
                     yield from done()
-                    now = bucket
-                types = (np.int64, np.uint32, np.int64, np.int64)
-                held.append(tuple(np.frombuffer(c[i].as_py(), t) for c, t in zip(batch.columns[1:], types, strict=True)))
+                    now, heads, found = pack, [], []
+                if kind == _NODES:
+                    m = len(entries) // 12
+                    heads.append((np.frombuffer(entries, np.int64, m), np.frombuffer(entries, np.uint32, m, 8 * m)))
+                    continue
+                start, places = (0, 8) if kind == _HOT else (_range_start(part, parts), width)
+                planes = np.frombuffer(entries, np.uint8).reshape(2 + places + (8 if kind == _HOT else 4), -1)
+                tokens = _numbers(planes[2 : 2 + places]) + np.uint64(start)
+                found.append((_numbers(planes[:2]), tokens, _numbers(planes[2 + places :])))
         yield from done()
 
-    dealt = shared.repartition(min(parts, MAX_TASKS), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(rank, "token long, node long, n long, place long, " + ", ".join(f"{c} long" for c in cells))
+    dealt = shared.repartition(min(parts, MAX_TASKS), "pack").sortWithinPartitions("pack")
+    return dealt.mapInArrow(
+        lambda batches: small_batches(rank(batches)), "token long, node long, n long, place long, " + ", ".join(f"{c} long" for c in cells)
+    )
 
 
 def _needed(percent: int) -> Column:
@@ -424,7 +479,7 @@ def similar_links(
 ) -> tuple[DataFrame, DataFrame] | None:
     """(labels, links) of the sets ``nodes`` (node, n, id): links are verified pairs that join all
     sets that links of any kind join. None where no prefix shingle is shared."""
-    shared = keep(_shared_shingles(texts, size, parts, hot, hot_counts), "shared_shingles")
+    shared = keep(_shared_shingles(texts, nodes, size, parts, hot, hot_counts), "shared_shingles")
     made = keep(_postings(shared, parts, percent), "prefixes")
     several = keep(made.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "lists")
     plain = keep(made.select("token", "node", "n").join(several.hint("merge"), "token"), "postings")

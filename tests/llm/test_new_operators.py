@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxfold.llm.common import small_batches
+from fluxfold.llm import jaccard_join
 from fluxfold.llm.jaccard_join import jaccard_groups, prefix_length
 from fluxfold.llm.phrases import collocations, mine_phrases
 from fluxfold.llm.spans import PART_BYTES, cut
@@ -96,6 +97,25 @@ def test_jaccard_of_odd_tables(spark, empty):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, -1), (7, 7), (7, 7), (9, 7)]
 
 
+def test_jaccard_ranges_cost_no_bytes(spark):
+    """A document's number goes beside each token, not its node once per range it has tokens in."""
+    base = prose(1, 300)
+    texts = [edited(base, s, 0.05) for s in range(30)] + [edited(base, 1, 0.05), base + " One one", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    read = jaccard_join._read_sets(docs, 4)
+    nodes = read.where("h IS NULL AND n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    shingles = nodes.agg(F.sum("n")).first()[0]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sent = spark.sparkContext.broadcast(none)
+    found = []
+    for parts in (1, 7, 400):
+        packed = jaccard_join._packs(docs, nodes, 4, parts, sent)
+        assert packed.agg(F.sum(F.length("entries"))).first()[0] <= 8 * shingles + 12 * len(texts)
+        shared = jaccard_join._shared_shingles(docs, nodes, 4, parts, *none)
+        found.append(sorted(map(tuple, jaccard_join._postings(shared, parts, 85).collect())))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_jaccard_of_a_very_long_text(spark):
     vocabulary = [f"w{k}é" for k in range(50_000)]
     long = prose(5, 400_000, vocabulary)
