@@ -14,6 +14,8 @@ from fluxfold.functions.spline import SegmentFit, bernstein_powers, interior_kno
 
 #: Numbers in the largest array of one stack.
 STACK = 4_000_000
+#: The longest segment of a stack has at most so many times the points of the shortest.
+PADDING = 1.5
 
 
 def row_medians(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -206,9 +208,12 @@ def fit_segments(
         start = 0
         while start < len(members):
             stop = start
+            widest = PADDING * segments[members[start][0]][0].size
             while stop < len(members):
                 width = segments[members[stop][0]][0].size
-                if stop > start and (stop + 1 - start) * width * (n_knots + 1 + k) > STACK:
+                if stop > start and (
+                    width > widest or (stop + 1 - start) * width * (n_knots + 1 + k) > STACK
+                ):
                     break
                 stop += 1
             part = members[start:stop]

@@ -250,10 +250,22 @@ def piecewise_value(
     k: int,
 ) -> Column:
     """Value at ``x`` of a stored spline (cells of equal ``spacing`` from ``first_knot`` on)."""
+    cell = piece_cell(x, first_knot, spacing, n_knots)
+    return cell_value(cell, cell_distance(x, cell, low, first_knot, spacing), pieces, k)
+
+
+def piece_cell(x: Column, first_knot: Column, spacing: Column, n_knots: Column) -> Column:
     slot = F.floor((x - first_knot) / spacing) + 1
-    cell = F.greatest(F.lit(0).cast("long"), F.least(n_knots.cast("long"), slot))
-    left = F.when(cell == 0, low).otherwise(first_knot + (cell - 1) * spacing)
-    distance = x - left
+    return F.greatest(F.lit(0).cast("long"), F.least(n_knots.cast("long"), slot))
+
+
+def cell_distance(
+    x: Column, cell: Column, low: Column, first_knot: Column, spacing: Column
+) -> Column:
+    return x - F.when(cell == 0, low).otherwise(first_knot + (cell - 1) * spacing)
+
+
+def cell_value(cell: Column, distance: Column, pieces: Column, k: int) -> Column:
     start = (cell * (k + 1)).cast("int")
     out = F.get(pieces, start + k)
     for power in range(k - 1, -1, -1):

@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 
 from fluxfold.functions.batched import fit_segments
 from fluxfold.functions.periodic import EventWidth, bic, width_adjusted
-from fluxfold.functions.spline import SegmentFit, fit_segment, piecewise_value
+from fluxfold.functions.spline import (
+    SegmentFit,
+    cell_distance,
+    cell_value,
+    fit_segment,
+    piece_cell,
+    piecewise_value,
+)
 from fluxfold.operators.large_segments import fit_large_segments
 from fluxfold.operators.masking import flag_events
 from fluxfold.operators.normalize import mad_sigma
@@ -37,15 +44,16 @@ from fluxfold.session import materialize
 SQRT_2 = 1.4142135623730951
 # Rows of a segment that one task may hold.
 SEGMENT_ROWS = 500_000
-# Segments of at most so many rows are fitted together, this many at a time.
+# Segments of at most so many rows are fitted together, about this many rows at a time.
 SHORT_ROWS = 200
-TOGETHER = 1_000
+TOGETHER_ROWS = 25_000
 # Rows of the trends that are handed on as one frame, about.
 FRAME_ROWS = 50_000
 
+# A fit is one row, also where several spacings have it in common.
 FIT_SCHEMA = (
-    "target_id long, quarter int, segment_id long, series int, spacing_id int, spacing double, status string, "
-    "n_knots int, low double, first_knot double, n_points long, ssr double, "
+    "target_id long, quarter int, segment_id long, series int, spacing_ids array<int>, status string, "
+    "n_knots int, low double, first double, n_points long, ssr double, "
     "pieces array<double>, rejected array<long>"
 )
 
@@ -101,53 +109,59 @@ def _segments(
         yield whole()
 
 
-def _fitter(spec: SplineSpec) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _fitter(spec: SplineSpec, listed: bool = True) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The fits of sorted rows; ``listed`` with the rows they reject."""
     names = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
 
-    def fits_of(curves: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[SegmentFit]]:
-        """For each spacing, the fit of every curve (times, values)."""
-        flat: dict[int, SegmentFit] = {}
-        for spacing in spec.spacings:
+    def fits_of(curves: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple]]:
+        """For each curve (times, values) its different fits with the numbers of their spacings."""
+        out: list[list[tuple]] = [[] for _ in curves]
+        flat: dict[int, list[int]] = {}
+        for number, spacing in enumerate(spec.spacings):
             # All spacings wider than a segment give the same knot-free fit.
             wide = [x[0] + spacing >= x[-1] for x, _ in curves]
-            found = [flat.get(i) if w else None for i, w in enumerate(wide)]
-            todo = [i for i, fit in enumerate(found) if fit is None]
+            todo = []
+            for i, w in enumerate(wide):
+                if w and i in flat:
+                    flat[i].append(number)
+                else:
+                    todo.append(i)
             some = [curves[i] for i in todo]
             if len(some) > 1:
                 new = fit_segments(some, spacing, spec.k, spec.max_iter, spec.sigma_cut)
             else:
                 new = [fit_segment(x, y, spacing, spec.k, spec.max_iter, spec.sigma_cut) for x, y in some]
             for i, fit in zip(todo, new, strict=True):
-                found[i] = fit
+                out[i].append(([number], fit))
                 if wide[i]:
-                    flat[i] = fit
-            yield found
+                    flat[i] = out[i][-1][0]
+        return out
 
     def rows_of(group: list[tuple]) -> pd.DataFrame:
-        """All fits of some segments (key, seq, times, values...)."""
-        rows: list[tuple] = []
-        for series in range(len(group[0]) - 3):
-            curves = [(segment[2], segment[3 + series]) for segment in group]
-            for i, (spacing, fits) in enumerate(zip(spec.spacings, fits_of(curves), strict=True)):
-                rows += [
-                    (*key, series, i, spacing, fit.status, fit.n_knots, fit.low,
-                     x[0] + spacing, fit.n_points, fit.ssr,
-                     None if fit.pieces is None else fit.pieces.ravel(),
-                     None if fit.rejected is None else seq[fit.rejected])
-                    for (key, seq, x, *_), fit in zip(group, fits, strict=True)
-                ]
+        """All fits of some segments (key, seq, times, values...); their series go together."""
+        count = len(group[0]) - 3
+        members = [(segment, series) for segment in group for series in range(count)]
+        found = fits_of([(segment[2], segment[3 + series]) for segment, series in members])
+        rows = [
+            (*segment[0], series, ids, fit.status, fit.n_knots, fit.low, segment[2][0], fit.n_points, fit.ssr,
+             None if fit.pieces is None else fit.pieces.ravel(),
+             None if fit.rejected is None or not listed else segment[1][fit.rejected])
+            for (segment, series), fits in zip(members, found, strict=True) for ids, fit in fits
+        ]
         return pd.DataFrame(rows, columns=names)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group: list[tuple] = []
+        rows = 0
         for segment in _segments(batches):
             if len(segment[1]) > SHORT_ROWS:
                 yield rows_of([segment])
                 continue
             group.append(segment)
-            if len(group) == TOGETHER:
+            rows += len(segment[1])
+            if rows >= TOGETHER_ROWS:
                 yield rows_of(group)
-                group = []
+                group, rows = [], 0
         if group:
             yield rows_of(group)
 
@@ -160,10 +174,73 @@ def _by_segment(named: DataFrame) -> DataFrame:
     return named.repartition(tasks, *SEGMENT).sortWithinPartitions(*SEGMENT, *ORDER)
 
 
-def _exploded(fits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _spaced(fits: DataFrame, spec: SplineSpec) -> DataFrame:
+    """One row per fit and spacing."""
+    spacing = F.element_at(F.array(*[F.lit(float(d)) for d in spec.spacings]), F.col("spacing_id") + 1)
+    each = fits.withColumn("spacing_id", F.explode("spacing_ids")).withColumn("spacing", spacing)
+    return each.drop("spacing_ids")
+
+
+def _exploded(fits: DataFrame, spec: SplineSpec) -> tuple[DataFrame, DataFrame]:
     """Fits, and their rejected rows one by one; an in-task list is no longer than its segment."""
-    rows = fits.select(*SEGMENT, "series", "spacing_id", F.explode("rejected").alias("seq"))
-    return fits.drop("rejected"), rows
+    spaced = _spaced(fits, spec).withColumn("first_knot", F.col("first") + F.col("spacing"))
+    rows = spaced.select(*SEGMENT, "series", "spacing_id", F.explode("rejected").alias("seq"))
+    columns = [*SEGMENT, "series", "spacing_id", "spacing", "status", "n_knots", "low", "first_knot", "n_points", "ssr", "pieces"]
+    return spaced.select(*columns), rows
+
+
+def _named(rows: DataFrame, values: list[str]) -> DataFrame:
+    columns = [F.col(v).cast("double").alias(f"_y{i}") for i, v in enumerate(values)]
+    return rows.select(*SEGMENT, *ORDER, *columns)
+
+
+def _long_segments(rows: DataFrame, segment_rows: int) -> DataFrame | None:
+    """The segments of more than ``segment_rows`` rows; None if there are none."""
+    if rows.count() <= segment_rows:
+        return None
+    large = materialize(
+        rows.groupBy(*SEGMENT)
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > segment_rows),
+        "long_segment_keys",
+    )
+    # At most (rows / segment_rows) keys.
+    return None if large.isEmpty() else large
+
+
+def _fits(
+    rows: DataFrame, values: list[str], spec: SplineSpec, segment_rows: int, listed: bool = True
+) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]:
+    """The fits of the segments that a task may hold, and for each series those of the longer ones
+    with the rows they reject."""
+    named = _named(rows, values)
+    large = _long_segments(rows, segment_rows)
+    if large is None:
+        return _by_segment(named).mapInPandas(_fitter(spec, listed), FIT_SCHEMA), []
+    keys = maybe_broadcast(large.select(*SEGMENT), large.count())
+    short = named.join(keys, SEGMENT, "left_anti")
+    long = []
+    for i in range(len(values)):
+        one = named.select(*SEGMENT, "seq", "time", F.col(f"_y{i}").alias("_y"))
+        found = fit_large_segments(one, large, spec, segment_rows)
+        long.append(tuple(part.withColumn("series", F.lit(i)) for part in found))
+    return _by_segment(short).mapInPandas(_fitter(spec, listed), FIT_SCHEMA), long
+
+
+def common_fits(
+    rows: DataFrame, values: list[str], spec: SplineSpec, segment_rows: int = SEGMENT_ROWS
+) -> DataFrame:
+    """The fits of ``fit_and_reject``; one that several spacings have in common is one row.
+
+    ``spacing_ids`` has the numbers of the spacings, and ``first_knot`` is NULL where it is the
+    spacing after ``first``, the first time of the segment.
+    """
+    short, long = _fits(rows, values, spec, segment_rows, listed=False)
+    fits = short.drop("rejected").withColumn("first_knot", F.lit(None).cast("double"))
+    for split, _ in long:
+        alone = split.withColumn("spacing_ids", F.array("spacing_id")).drop("spacing_id", "spacing")
+        fits = fits.unionByName(alone.withColumn("first", F.lit(None).cast("double")))
+    return fits
 
 
 def fit_segment_splines(
@@ -185,27 +262,10 @@ def fit_and_reject(
     Segments of at most ``segment_rows`` rows are fitted in one task each; longer ones by sums
     that no task gathers. Both give the same.
     """
-    columns = [F.col(v).cast("double").alias(f"_y{i}") for i, v in enumerate(values)]
-    named = rows.select(*SEGMENT, *ORDER, *columns)
-    if rows.count() <= segment_rows:
-        return _exploded(_by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA))
-    large = materialize(
-        rows.groupBy(*SEGMENT)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > segment_rows),
-        "long_segment_keys",
-    )
-    # At most (rows / segment_rows) keys.
-    if large.isEmpty():
-        return _exploded(_by_segment(named).mapInPandas(_fitter(spec), FIT_SCHEMA))
-    keys = maybe_broadcast(large.select(*SEGMENT), large.count())
-    short = named.join(keys, SEGMENT, "left_anti")
-    fits, rejected = _exploded(_by_segment(short).mapInPandas(_fitter(spec), FIT_SCHEMA))
-    for i in range(len(values)):
-        one = named.select(*SEGMENT, "seq", "time", F.col(f"_y{i}").alias("_y"))
-        split, out = fit_large_segments(one, large, spec, segment_rows)
-        fits = fits.unionByName(split.withColumn("series", F.lit(i)))
-        rejected = rejected.unionByName(out.withColumn("series", F.lit(i)))
+    short, long = _fits(rows, values, spec, segment_rows)
+    fits, rejected = _exploded(short, spec)
+    for split, out in long:
+        fits, rejected = fits.unionByName(split), rejected.unionByName(out)
     return fits, rejected
 
 
@@ -382,16 +442,22 @@ def noise_levels(
 
 def chosen_fits(fits: DataFrame, best: DataFrame, count: int) -> DataFrame:
     """One row per segment: the chosen fit of series ``i`` as ``fit<i>`` (NULL where the segment
-    has none) and its target's ``status<i>``."""
-    winners = best.select("target_id", "series", F.col("spacing_id").alias("_best"))
+    has none) and its target's ``status<i>``. ``fits`` are those of ``common_fits``."""
+    winners = best.select("target_id", "series", F.col("spacing_id").alias("_best"), "spacing")
     marked = fits.join(winners, ["target_id", "series"], "left")
-    piece = F.struct("spacing", "n_knots", "low", "first_knot", "pieces")
-    wins = (F.col("status") == "ok") & (F.col("spacing_id") == F.col("_best"))
+    # Of a segment's fits only the chosen ones go on with their pieces; its first one, as every
+    # segment has a row, without.
+    wins = (F.col("status") == "ok") & F.array_contains("spacing_ids", F.col("_best"))
+    knot = F.coalesce(F.col("first_knot"), F.col("first") + F.col("spacing"))
+    piece = F.struct("spacing", "n_knots", "low", knot.alias("first_knot"), "pieces")
+    marked = marked.where(wins | F.array_contains("spacing_ids", F.lit(0))).select(
+        *SEGMENT, "series", "_best", F.when(wins, piece).alias("_fit")
+    )
     columns = []
     for i in range(count):
         here = F.col("series") == i
         columns += [
-            F.first(F.when(here & wins, piece), ignorenulls=True).alias(f"fit{i}"),
+            F.first(F.when(here, F.col("_fit")), ignorenulls=True).alias(f"fit{i}"),
             F.coalesce(
                 F.max(F.when(here & F.col("_best").isNotNull(), F.lit("ok"))), F.lit("no_fit")
             ).alias(f"status{i}"),
@@ -444,15 +510,30 @@ def flatten_series(
     # Read by the noise level, the fit and the evaluation: written once, not computed thrice.
     rows = materialize(rows, "segments")
     sigma = noise_levels(rows, diffs, hot, hot_rows)
-    fits = materialize(fit_segment_splines(rows, ys, spec, segment_rows), "fits")
-    best = select_best_spacing(score_spacings(fits, sigma, spec))
-    out = join_per_key(rows.drop(*ys, *diffs), chosen_fits(fits, best, count), SEGMENT, hot, "left")
+    fits = materialize(common_fits(rows, ys, spec, segment_rows), "fits")
+    best = select_best_spacing(score_spacings(_spaced(fits, spec), sigma, spec))
+    chosen = chosen_fits(fits, best, count)
+    out = join_per_key(rows.drop(*ys, *diffs), chosen, SEGMENT, hot, "left")
+    # Columns of their own: inside one expression they would be computed anew at every mention.
+    fits_of = [F.col(f"fit{i}") for i in range(count)]
+    out = out.withColumns({
+        f"_cell{i}": piece_cell(F.col("time"), *(fit[c] for c in ("first_knot", "spacing", "n_knots")))
+        for i, fit in enumerate(fits_of)
+    }).withColumns({
+        f"_at{i}": cell_distance(F.col("time"), F.col(f"_cell{i}"), *(fit[c] for c in ("low", "first_knot", "spacing")))
+        for i, fit in enumerate(fits_of)
+    })
+    trends_of = {
+        f"_trend{i}": F.when(fit.isNotNull(), cell_value(F.col(f"_cell{i}"), F.col(f"_at{i}"), fit["pieces"], spec.k))
+        for i, fit in enumerate(fits_of)
+    }
+    out = out.withColumns(trends_of)
     results = {}
     for i, (name, value) in enumerate(values.items()):
-        trend = fit_value(F.col(f"fit{i}"), spec.k)
+        trend = F.col(f"_trend{i}")
         results[name] = F.try_divide(F.col(value), trend)
         if trends:
             results[f"{name}_trend"] = trend
         results[f"{name}_status"] = F.col(f"status{i}")
-    extra = [f"{c}{i}" for i in range(count) for c in ("fit", "status")]
+    extra = [f"{c}{i}" for i in range(count) for c in ("fit", "status", "_cell", "_at", "_trend")]
     return out.withColumns(results).drop(*extra)

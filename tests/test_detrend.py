@@ -183,3 +183,22 @@ def test_trends_of_many_short_segments_share_a_frame():
     assert rows.loc[rows["target_id"] == 7, "segment_id"].isna().all()
     with pytest.raises(ValueError):
         list(D._trend_frames(segments(2), lambda x, y: y[:3], list(D.SEGMENT), "trend"))
+
+
+def test_common_fits_are_one_row(spark):
+    """Spacings wider than a segment share one fit, which is one row of the table the choice reads."""
+    rng = np.random.default_rng(8)
+    rows = [(t, 1, s, t * 1000 + s * 100 + i, s * 9.0 + i * 0.07, float(v), float(v * v))
+            for t in range(4) for s in range(3) for i, v in enumerate(rng.normal(10, 1, 30))]
+    df = spark.createDataFrame(
+        rows, "target_id long, quarter int, segment_id long, seq long, time double, v double, w double"
+    )
+    spec = D.SplineSpec(spacings=(0.5, 1.0, 5.0, 7.0, 9.0))
+    common = D.common_fits(df, ["v", "w"], spec)
+    assert common.count() == 4 * 3 * 2 * 3
+    columns = ["target_id", "segment_id", "series", "spacing_id", "spacing", "status", "n_knots", "n_points"]
+    whole = D.fit_segment_splines(df, ["v", "w"], spec).select(*columns).collect()
+    assert len(whole) == 4 * 3 * 2 * 5
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, D._spaced(common, spec).select(*columns).collect()))
+    long = D.common_fits(df, ["v", "w"], spec, segment_rows=20)
+    assert long.count() == len(whole) and set(long.columns) == set(common.columns)
