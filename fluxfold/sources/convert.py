@@ -5,6 +5,10 @@ an earlier run has recorded, decode, gather the files of a target, write them be
 ``target=<id>`` and record the target. Work goes in batches of whole targets, and a batch is
 written with dynamic overwrite before it is recorded, so a run that was broken off at any point
 is repeated without doubled or lost rows.
+
+The workers list and read the files by themselves (``listing``), so the driver holds no list of
+them. Only patterns and stores that the workers' file library does not reach go through Spark's
+reader, which keeps every file's status on the driver.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ from pyspark.sql import types as T
 
 from fluxfold.operators.skew import find_hot_keys
 from fluxfold.schemas import RAW_SERIES
-from fluxfold.session import materialize
+from fluxfold.session import many_small_files, materialize
 from fluxfold.sources.fits import broken_files, decode_files
+from fluxfold.sources.listing import list_files, read_files, worker_uris
 from fluxfold.sources.tables import file_target_ids, not_processed, target_of_path
 
 TARGET_PATTERN = r"(?<=kplr)\d{9}"
@@ -52,7 +57,9 @@ def target_files(
 ) -> DataFrame:
     """path and target of the files below ``inputs``. Only names are read, no content; files of
     no target are dropped."""
-    return file_target_ids(_files(spark, inputs, glob).select("path"), pattern)
+    uris = worker_uris(spark, inputs)
+    files = _files(spark, inputs, glob).select("path") if uris is None else list_files(spark, uris, glob)
+    return file_target_ids(files, pattern)
 
 
 def _contents(
@@ -60,31 +67,48 @@ def _contents(
 ) -> DataFrame:
     """path and content of the files of a batch's targets.
 
-    The filter is on the file name, so files of other targets are not opened. Its list holds as
-    many targets as a batch has files at most.
+    Workers read the files by name. Through Spark's reader the filter is on the file name, so files
+    of other targets are not opened; its list holds as many targets as a batch has files at most.
     """
+    if worker_uris(batch.sparkSession, inputs) is not None:
+        return read_files(batch.select("path").repartition(_tasks(batch)))
     targets = [row.target for row in batch.select("target").distinct().toLocalIterator()]
     wanted = target_of_path(F.col("_metadata.file_path"), pattern).isin(targets)
     return _files(batch.sparkSession, inputs, glob).where(wanted).select("path", "content")
 
 
-def _write(
-    batch: DataFrame, content: DataFrame, output: str, progress: str, pattern: str,
-    schema: T.StructType, extension: str | int, format: str, part_files: int,
-) -> None:
-    """Decode the files of ``batch``, write them by target and record the targets."""
-    rows = decode_files(content, extension, schema, keep=["path"]).withColumn(
-        "target", target_of_path(F.col("path"), pattern)
-    )
+def _tasks(batch: DataFrame) -> int:
+    return max(batch.sparkSession.sparkContext.defaultParallelism, -(-batch.count() // TASK_FILES))
+
+
+def _gathered(rows: DataFrame, batch: DataFrame, part_files: int) -> DataFrame:
+    """The rows (path, target, ...) of a target in one task; those of a large one in several."""
     hot = find_hot_keys(batch, ["target"], "path", part_files)
     part = F.lit(0).cast("long")
     if hot is not None:
         rows = rows.join(hot.side("_pieces"), "target", "left")
         part = F.pmod(F.xxhash64("path"), F.coalesce("_pieces", F.lit(1)))
-    tasks = max(batch.sparkSession.sparkContext.defaultParallelism, -(-batch.count() // TASK_FILES))
-    gathered = rows.withColumn("_part", part).repartition(tasks, "target", "_part")
+    parted = rows.withColumn("_part", part).repartition(_tasks(batch), "target", "_part")
+    return parted.drop("_part", "_pieces")
+
+
+def _write(
+    batch: DataFrame, inputs: str | Sequence[str], glob: str, output: str, progress: str, pattern: str,
+    schema: T.StructType, extension: str | int, format: str, part_files: int,
+) -> None:
+    """Decode the files of ``batch``, write them by target and record the targets."""
+    if worker_uris(batch.sparkSession, inputs) is not None:
+        # Only names are moved; a task reads, decodes and writes its targets.
+        content = read_files(_gathered(batch.select("path", "target"), batch, part_files))
+        rows = decode_files(content, extension, schema, keep=["path", "target"])
+    else:
+        content = _contents(batch, inputs, pattern, glob)
+        rows = decode_files(content, extension, schema, keep=["path"]).withColumn(
+            "target", target_of_path(F.col("path"), pattern)
+        )
+        rows = _gathered(rows, batch, part_files)
     (
-        gathered.sortWithinPartitions("target", "path")
+        rows.sortWithinPartitions("target", "path")
         .select(*schema.names, "target")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -124,6 +148,17 @@ def convert_files(
     """
     if format not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}, got {format}")
+    with many_small_files(spark):
+        _convert(
+            spark, inputs, output, progress, pattern, schema, extension, format, glob, batch_files, part_files
+        )
+        return converted(spark, output, schema, format)
+
+
+def _convert(
+    spark: SparkSession, inputs: str | Sequence[str], output: str, progress: str, pattern: str,
+    schema: T.StructType, extension: str | int, format: str, glob: str, batch_files: int, part_files: int,
+) -> None:
     # Empty appends make tables of what the first run does not find.
     spark.createDataFrame([], PROGRESS).write.mode("append").parquet(progress)
     nothing = spark.createDataFrame([], _with_target(schema)).write.mode("append")
@@ -132,15 +167,15 @@ def convert_files(
     todo = materialize(not_processed(target_files(spark, inputs, pattern, glob), done, "target"), "files")
     batches = -(-todo.count() // batch_files)
     failed, first = 0, None
-    options = (output, progress, pattern, schema, extension, format, part_files)
+    options = (inputs, glob, output, progress, pattern, schema, extension, format, part_files)
     for number in range(batches):
         batch = todo.where(F.pmod(F.xxhash64("target"), F.lit(batches)) == number)
         if batch.isEmpty():
             continue
-        content = _contents(batch, inputs, pattern, glob)
         try:
-            _write(batch, content, *options)
+            _write(batch, *options)
         except (PySparkException, Py4JError):
+            content = _contents(batch, inputs, pattern, glob)
             broken = materialize(broken_files(content, extension, schema), "broken")
             if broken.isEmpty():
                 raise
@@ -149,10 +184,9 @@ def convert_files(
             lost = broken.select(target_of_path(F.col("path"), pattern).alias("target")).distinct()
             rest = materialize(batch.join(lost, "target", "left_anti"), "rest")
             if not rest.isEmpty():
-                _write(rest, _contents(rest, inputs, pattern, glob), *options)
+                _write(rest, *options)
     if failed:
         raise ConversionError(f"{failed} files could not be read, first {first.path}: {first.error}")
-    return converted(spark, output, schema, format)
 
 
 def converted(
