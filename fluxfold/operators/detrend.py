@@ -174,11 +174,15 @@ def _by_segment(named: DataFrame) -> DataFrame:
     return named.repartition(tasks, *SEGMENT).sortWithinPartitions(*SEGMENT, *ORDER)
 
 
+def spacing_of(number: Column, spec: SplineSpec = SplineSpec()) -> Column:
+    """The knot spacing of a number."""
+    return F.element_at(F.array(*[F.lit(float(d)) for d in spec.spacings]), number + 1)
+
+
 def _spaced(fits: DataFrame, spec: SplineSpec) -> DataFrame:
     """One row per fit and spacing."""
-    spacing = F.element_at(F.array(*[F.lit(float(d)) for d in spec.spacings]), F.col("spacing_id") + 1)
-    each = fits.withColumn("spacing_id", F.explode("spacing_ids")).withColumn("spacing", spacing)
-    return each.drop("spacing_ids")
+    each = fits.withColumn("spacing_id", F.explode("spacing_ids"))
+    return each.withColumn("spacing", spacing_of(F.col("spacing_id"), spec)).drop("spacing_ids")
 
 
 def _exploded(fits: DataFrame, spec: SplineSpec) -> tuple[DataFrame, DataFrame]:
@@ -238,11 +242,16 @@ def common_fits(
     short, long = _fits(rows, values, spec, segment_rows, listed=False)
     fits = short.drop("rejected").withColumn("first_knot", F.lit(None).cast("double"))
     for split, _ in long:
-        alone = split.withColumn("spacing_ids", F.array("spacing_id")).drop("spacing_id", "spacing")
-        fits = fits.unionByName(alone.withColumn("first", F.lit(None).cast("double")))
+        fits = fits.unionByName(_alone(split))
     return fits
 
 
+def _alone(split: DataFrame) -> DataFrame:
+    """Fits of long segments, which no spacings have in common, in the shape of the shared ones."""
+    alone = split.withColumn("spacing_ids", F.array("spacing_id")).drop("spacing_id", "spacing")
+    return alone.withColumn("first", F.lit(None).cast("double"))
+
+
 def fit_segment_splines(
     rows: DataFrame, values: list[str], spec: SplineSpec = SplineSpec(),
     segment_rows: int = SEGMENT_ROWS,
@@ -253,7 +262,7 @@ def fit_segment_splines(
 
 def fit_and_reject(
     rows: DataFrame, values: list[str], spec: SplineSpec = SplineSpec(),
-    segment_rows: int = SEGMENT_ROWS,
+    segment_rows: int = SEGMENT_ROWS, shared: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """One row per segment, value column (``series``: its position) and knot spacing: fit status,
     points, squares and spline pieces; and one row (SEGMENT, series, spacing_id, seq) for each row
@@ -261,14 +270,35 @@ def fit_and_reject(
 
     Segments of at most ``segment_rows`` rows are fitted in one task each; longer ones by sums
     that no task gathers. Both give the same.
+
+    With ``shared`` a fit that several spacings have in common is one row, as in ``common_fits``,
+    with the number ``n_rejected`` of the rows it rejects; these name it by the first of its
+    ``spacing_ids``. The fits are then made once for both tables, and written.
     """
     short, long = _fits(rows, values, spec, segment_rows)
+    if shared:
+        return _shared(short, long)
     fits, rejected = _exploded(short, spec)
     for split, out in long:
         fits, rejected = fits.unionByName(split), rejected.unionByName(out)
     return fits, rejected
 
 
+def _shared(short: DataFrame, long: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    fit = [*SEGMENT, "series", "spacing_id"]
+    short = materialize(short, "fits")
+    lost = F.coalesce(F.array_size("rejected"), F.lit(0)).cast("long")
+    fits = short.withColumn("first_knot", F.lit(None).cast("double")).withColumn("n_rejected", lost).drop("rejected")
+    first = F.element_at("spacing_ids", 1).alias("spacing_id")
+    rejected = short.select(*SEGMENT, "series", first, F.explode("rejected").alias("seq"))
+    for split, out in long:
+        out = materialize(out.select(*fit, "seq"), "rejected")
+        counts = out.groupBy(*fit).agg(F.count("*").alias("n_rejected"))
+        fits = fits.unionByName(_alone(split.join(counts, fit, "left").fillna(0, ["n_rejected"])))
+        rejected = rejected.unionByName(out)
+    return fits, rejected
+
+
 def detrend_with(
     rows: DataFrame, value: str, trend: Callable[[DataFrame, str], DataFrame], out: str
 ) -> DataFrame:

@@ -269,35 +269,48 @@ def fit_segment_spline(spark, sf):
     with 1, t, t^2, t^3 and with the cubes behind the first and the last knot are zero."""
     obs, hot = _obs(spark, sf)
     rows = materialize(G.split_at_gaps(obs, hot=hot).select(*G.SEGMENT, "seq", "time", "flux"), "segments")
-    fits, rejected = D.fit_and_reject(rows, ["flux"])
-    fits, rejected = materialize(fits, "fits"), materialize(rejected, "rejected")
-    fit = [*G.SEGMENT, "spacing_id"]
-    good = fits.where("status = 'ok'")
-    piece = F.struct("spacing", "n_knots", "low", "first_knot", "pieces").alias("fit")
-    used = join_per_key(rows, good.select(*fit, piece), G.SEGMENT, hot)
-    used = used.join(rejected.select(*fit, "seq"), [*fit, "seq"], "left_anti")
-    residual = F.col("flux") - D.fit_value(F.col("fit"), 3)
+    return _checked_fits(rows, *D.fit_and_reject(rows, ["flux"], shared=True), hot)
+
+
+def _checked_fits(rows, fits, rejected, hot):
+    """A row per fit and spacing. A fit that spacings share is checked once: its sums and what they
+    are compared with scale alike. Rows carry the numbers of the fits that reject them, so a row
+    meets all fits of its segment in one join, and the sums need no further exchange."""
+    out = rejected.groupBy(*G.SEGMENT, "seq").agg(F.collect_set("spacing_id").alias("out"))
+    marked = rows.join(out, [*G.SEGMENT, "seq"], "left")
+    number = F.element_at("spacing_ids", 1)
+    spacing = D.spacing_of(number)
+    knot = F.coalesce(F.col("first_knot"), F.col("first") + spacing)
+    piece = F.struct(spacing.alias("spacing"), "n_knots", "low", knot.alias("first_knot"), "pieces").alias("fit")
+    kept = ["spacing_ids", "status", "n_knots", "first", "first_knot", "n_points", "n_rejected"]
+    each = join_per_key(marked, fits.select(*G.SEGMENT, *kept, piece), G.SEGMENT, hot)
+    used = (F.col("status") == "ok") & ~F.coalesce(F.array_contains("out", number), F.lit(False))
+    each = each.withColumn("residual", F.when(used, F.col("flux") - D.fit_value(F.col("fit"), 3)))
     at = (F.col("time") - F.col("fit.low")) / F.col("fit.spacing")
     knot = (F.col("fit.first_knot") - F.col("fit.low")) / F.col("fit.spacing")
     last = knot + F.col("fit.n_knots") - 1
     # Powers of the part of a knot grid, by the largest of them, so sums of long segments compare.
     terms = [at**p for p in range(4)]
     terms += [F.when((F.col("fit.n_knots") > 0) & (at > k), (at - k) ** 3).otherwise(0.0) for k in (knot, last)]
-    sums = used.groupBy(*fit).agg(
+    sums = each.groupBy(*G.SEGMENT, *kept).agg(
+        F.count("*").alias("n_rows"),
+        F.max("time").alias("high"),
         F.greatest(*[
-            F.abs(F.sum(residual * t)) / F.greatest(F.sum(F.abs(F.col("flux") * t)), F.lit(1e-300)) for t in terms
-        ]).alias("imbalance")
+            F.abs(F.sum(F.col("residual") * t))
+            / F.greatest(F.sum(F.when(used, F.abs(F.col("flux") * t))), F.lit(1e-300))
+            for t in terms
+        ]).alias("imbalance"),
     )
-    lost = rejected.groupBy(*fit).agg(F.count("*").alias("n_rejected"))
-    spans = rows.groupBy(*G.SEGMENT).agg(F.count("*").alias("n_rows"), F.max("time").alias("high"))
-    whole = fits.join(spans, G.SEGMENT).join(lost, fit, "left").join(sums, fit, "left")
-    expected = F.greatest(F.lit(0), F.ceil((F.col("high") - F.col("first_knot")) / F.col("spacing")))
+    spaced = sums.withColumn("spacing_id", F.explode("spacing_ids"))
+    spaced = spaced.withColumn("spacing", D.spacing_of(F.col("spacing_id")))
+    first_knot = F.coalesce(F.col("first_knot"), F.col("first") + F.col("spacing"))
+    expected = F.greatest(F.lit(0), F.ceil((F.col("high") - first_knot) / F.col("spacing")))
     ok = F.col("status") == "ok"
-    return whole.select(
-        *[F.col(c).cast("long").alias(c) for c in fit],
+    return spaced.select(
+        *[F.col(c).cast("long").alias(c) for c in (*G.SEGMENT, "spacing_id")],
         F.when(F.col("n_rows") <= 3, F.col("status")).otherwise("tried").alias("status"),
         F.when(F.col("status") == "insufficient", expected).otherwise(F.col("n_knots")).cast("long").alias("n_knots"),
-        F.when(ok, F.col("n_points") + F.coalesce("n_rejected", F.lit(0))).otherwise(F.col("n_rows")).alias("n_accounted"),
+        F.when(ok, F.col("n_points") + F.col("n_rejected")).otherwise(F.col("n_rows")).alias("n_accounted"),
         F.round(F.coalesce("imbalance", F.lit(0.0)), 4).alias("imbalance"),
     )
 
