@@ -17,9 +17,9 @@ from fluxfold.plans import adapters as A
 from fluxfold.plans.registry import cols, query, tidy
 from fluxfold.plans.sqltext import LOCAL_VIEW_SQL, RANKED_SPLIT_SQL, SEGMENTS_SQL
 from fluxfold.schemas import ARCHIVE_URL, LONG_CADENCE_PREFIXES
-from fluxfold.session import fresh_path, many_small_files, materialize
+from fluxfold.session import fresh_path
 from fluxfold.sources import tables as S
-from fluxfold.sources.convert import convert_files
+from fluxfold.sources.convert import compacted, convert_files
 from fluxfold.sources.convert import scan_file_by_id as scan_one_id
 from fluxfold.sources.fits import encode_file
 from fluxfold.sources.sinks import TrainingRecords, write_feature_splits
@@ -127,11 +127,9 @@ def ingest_light_curve_files(spark, sf):
     source, out = _light_curve_files(spark, sf), fresh_path(spark, "converted")
     progress = fresh_path(spark, "progress")
     for glob in ("kplr????????[02468]-*.fits.gz", "*.fits.gz"):
-        series = None  # The listing of the run before is not kept on the driver.
-        series = convert_files(spark, source, out, progress, glob=glob)
-    # A file per target: read here, where a task takes many of them.
-    with many_small_files(spark):
-        return materialize(tidy(explode_series(map_series(series.drop("target"))).drop("seq")), "series")
+        convert_files(spark, source, out, progress, glob=glob, listed=False)
+    series = compacted(spark, out)
+    return tidy(explode_series(map_series(series.drop("target"))).drop("seq"))
 
 
 @query(

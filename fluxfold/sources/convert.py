@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from fluxfold.operators.skew import find_hot_keys
 from fluxfold.schemas import RAW_SERIES
-from fluxfold.session import many_small_files, materialize
+from fluxfold.session import fresh_path, many_small_files, materialize
 from fluxfold.sources.fits import broken_files, decode_files
 from fluxfold.sources.listing import list_files, read_files, worker_uris
 from fluxfold.sources.tables import file_target_ids, not_processed, target_of_path
@@ -37,6 +38,8 @@ BATCH_FILES = 100_000
 PART_FILES = 2_000
 #: Files of a batch that one task gathers and writes, about: few bytes, but much work per target.
 TASK_FILES = 1_000
+#: Files of the result that the driver lists at a time.
+LISTED_FILES = 10_000
 PROGRESS = "target string, n_files long"
 
 
@@ -136,9 +139,11 @@ def convert_files(
     glob: str = "*.fits",
     batch_files: int = BATCH_FILES,
     part_files: int = PART_FILES,
-) -> DataFrame:
+    listed: bool = True,
+) -> DataFrame | None:
     """Convert all files of targets that the table ``progress`` does not list yet; returns what
-    ``output`` then holds, ``schema`` plus ``target``.
+    ``output`` then holds, ``schema`` plus ``target`` (nothing without ``listed``: that table's
+    folders are then not listed on the driver, and ``compacted`` reads them part by part).
 
     Array fields of ``schema`` are table columns of a file, the others header values. A target
     with a file that cannot be read is left out and not recorded; everything else is converted,
@@ -152,7 +157,7 @@ def convert_files(
         _convert(
             spark, inputs, output, progress, pattern, schema, extension, format, glob, batch_files, part_files
         )
-        return converted(spark, output, schema, format)
+        return converted(spark, output, schema, format) if listed else None
 
 
 def _convert(
@@ -196,6 +201,31 @@ def converted(
     return spark.read.format(format).schema(_with_target(schema)).load(output)
 
 
+def compacted(
+    spark: SparkSession, output: str, schema: T.StructType = RAW_SERIES, format: str = "parquet",
+    part_files: int = LISTED_FILES,
+) -> DataFrame:
+    """The rows of ``converted``, read for about ``part_files`` files at a time and written to one
+    table: the driver holds no more of the folders, however many targets there are."""
+    with many_small_files(spark):
+        uris = worker_uris(spark, output)
+        if uris is None:
+            return materialize(converted(spark, output, schema, format), "compacted")
+        files = materialize(list_files(spark, uris, "*"), "files")
+        table = fresh_path(spark, "compacted")
+        spark.createDataFrame([], _with_target(schema)).write.parquet(table)
+        reader = spark.read.format(format).schema(_with_target(schema))
+        reader = reader.option("basePath", output).option("__globPaths__", False)
+        parts = -(-files.count() // part_files)
+        for number in range(parts):
+            some = files.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == number)
+            # A path that is no pattern is taken as it is, without the quoting of a URI.
+            paths = [unquote(row.path) for row in some.toLocalIterator()]
+            if paths:
+                reader.load(paths).write.mode("append").parquet(table)
+        return spark.read.schema(_with_target(schema)).parquet(table)
+
+
 def _with_target(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema, T.StructField("target", T.StringType())])
 

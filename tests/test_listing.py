@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fluxfold.session import many_small_files, ship_package
 from fluxfold.sources import convert
-from fluxfold.sources.convert import ConversionError, convert_files, converted, target_files
+from fluxfold.sources.convert import ConversionError, compacted, convert_files, converted, target_files
 from fluxfold.sources.fits import encode_file
 from fluxfold.sources.listing import list_files, read_files, worker_uris
 
@@ -76,6 +76,27 @@ def test_conversion_through_both_readers(spark, tmp_path, monkeypatch, reached):
     assert sorted((r.target, r.n_files) for r in done.collect()) == [(str(t), 3) for t in range(1, 8) if t != 3]
 
 
+@pytest.mark.parametrize("format", ["parquet", "json"])
+def test_result_is_read_part_by_part(spark, tmp_path, monkeypatch, format):
+    ship_package(spark)
+    (tmp_path / "in").mkdir()
+    for target in range(1, 8):
+        for quarter in range(1, 3):
+            (tmp_path / "in" / f"kplr{target:09d}-{quarter}_llc.fits").write_bytes(curve(target, quarter))
+    paths = (f"{tmp_path}/in", f"{tmp_path}/out of it", f"{tmp_path}/progress")
+    (tmp_path / "out of it").mkdir()
+    assert compacted(spark, paths[1]).count() == 0
+    assert convert_files(spark, *paths, format=format, listed=False) is None
+    want = sorted(map(repr, converted(spark, paths[1], format=format).collect()))
+    assert len(want) == 14 and all("target=" in r for r in want)
+    for part_files in (3, 100):
+        got = compacted(spark, paths[1], format=format, part_files=part_files)
+        assert sorted(map(repr, got.collect())) == want
+        assert not [f for f in got.inputFiles() if "target=" in f]
+    monkeypatch.setattr(convert, "worker_uris", lambda spark, inputs: None)
+    assert sorted(map(repr, compacted(spark, paths[1], format=format).collect())) == want
+
+
 def test_small_files_share_tasks(spark, tmp_path):
     for i in range(200):
         (tmp_path / f"{i}.bin").write_bytes(b"x" * 100)
